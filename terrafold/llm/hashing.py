@@ -40,8 +40,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row offsets in them) of runs of whole texts of about CHUNK bytes. Nulls are empty."""
+def text_chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets in them) of runs of whole texts of about so many bytes. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -49,7 +49,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -74,16 +74,19 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashed
 
 
+def rolling(hashed: np.ndarray, width: int, base: np.uint64 = _WINDOW) -> np.ndarray:
+    """Hash of the so many words from each word on, row ends ignored."""
+    total = np.zeros(max(0, len(hashed) - width + 1), np.uint64)
+    for k in range(width if len(total) else 0):
+        total = total * base + hashed[k : k + len(total)]
+    return mixed(total)
+
+
 def windows(hashed: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of so many words within a row, and the index of its first word."""
-    n = len(hashed) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total = total * _WINDOW + hashed[k : k + n]
-    at = np.flatnonzero(row[:n] == row[width - 1 :])
-    return mixed(total[at]), at
+    total = rolling(hashed, width)
+    at = np.flatnonzero(row[: len(total)] == row[width - 1 :]) if len(total) else np.zeros(0, np.int64)
+    return total[at], at
 
 
 ship(__name__)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, lang_id, line_dedup, mixing, near_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, html_extract, lang_id, line_dedup, mixing, near_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,11 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_html_extraction, op5_url_filter, op6_source_mixing, op7_chat_formatting, op8_line_dedup, op10_minhash_near_dedup, op2_benchmark_decontamination, op9_embedding_near_dedup)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_html_extraction, op5_url_filter, op6_source_mixing, op7_chat_formatting, op8_line_dedup, op10_minhash_near_dedup, op2_benchmark_decontamination, op9_embedding_near_dedup, op3_substring_dedup)}
 
 _TERM = r"(^|[^\p{L}\p{N}])(%s)($|[^\p{L}\p{N}])"
 _SOFT = " + ".join(f"CASE WHEN regexp_matches(u, '{_TERM % t}') THEN 1 ELSE 0 END" for t in url_filter.SOFT)
