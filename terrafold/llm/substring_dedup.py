@@ -57,11 +57,17 @@ def _distinct(key: np.ndarray, doc: np.ndarray, check: np.ndarray | None = None)
     return key[keep], doc[keep], None if check is None else check[keep], new[keep]
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    if len(values):
+        cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
+        yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def _by_doc(doc: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(doc, kind="stable")
     doc, key = doc[order], key[order]
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+    for a, b in _runs(doc):
         yield int(doc[a]), key[a:b].tobytes()
 
 
@@ -80,8 +86,7 @@ class _Out:
         order = np.argsort(bucket, kind="stable")
         bucket, key, doc = bucket[order], key[order], doc[order]
         check = None if check is None else check[order]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        for a, b in _runs(bucket):
             base = int(doc[a:b].min())
             wide = int(doc[a:b].max()) - base >= 1 << 32
             docs = doc[a:b].tobytes() if wide else (doc[a:b] - base).astype(np.uint32).tobytes()
