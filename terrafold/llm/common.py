@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but a space or the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that go to Python at a time while a table is saved: whole texts are long, and buffers are kept off the heap.
+ARROW_ROWS = "1000"
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Rows of a per-source or per-item side table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -45,7 +49,12 @@ def saved(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.partitionBy(*partition_by).parquet(path)
+    rows = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, ARROW_ROWS)
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_ARROW, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
