@@ -67,27 +67,29 @@ def paths(nodes: DataFrame, all_leaves: bool = False) -> DataFrame:
     """
     base = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = base.select("tree", F.col("node").alias("parent")).withColumn("__known", F.lit(True))
-    up = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("__known"), F.col("parent")).alias("j0"), "score", F.lit(1).alias("hops"))
+    first = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("__known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).alias("hops"))
     longest = base.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
-    rounds = max(0, int(longest - 1).bit_length())
-    up = saved(up.withColumn("total", F.col("score")), "reply-up")
-    for k in range(rounds):
-        above = up.select("tree", F.col("node").alias(f"j{k}"), F.col(f"j{k}").alias(f"j{k + 1}"), F.col("total").alias("__t"), F.col("hops").alias("__h"))
-        up = up.join(above, ["tree", f"j{k}"], "left")
-        up = saved(up.withColumns({"total": F.col("total") + F.coalesce("__t", F.lit(0.0)), "hops": F.col("hops") + F.coalesce("__h", F.lit(0))}).drop("__t", "__h"), "reply-up")
-    rooted = up.where(F.col(f"j{rounds}").isNull())
-    inner = rooted.where(F.col("j0").isNotNull()).select("tree", F.col("j0").alias("node")).distinct()
-    leaves = rooted.join(inner, ["tree", "node"], "left_anti")
+    first = saved(first, "reply-nodes")
+    done, active, jumps = first.where("up is null"), first.where("up is not null"), []
+    for _ in range(int(max(longest - 1, 0)).bit_length()):
+        # Only nodes that have not reached their root go on; the others are looked up.
+        jumps.append(active.select("tree", "node", "up"))
+        above = done.unionByName(active).select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("total").alias("__t"), F.col("hops").alias("__h"))
+        reach = active.join(above, ["tree", "up"]).select("tree", "node", F.col("__up").alias("up"), (F.col("total") + F.col("__t")).alias("total"), (F.col("hops") + F.col("__h")).alias("hops"))
+        reach = saved(reach, "reply-nodes")
+        done, active = done.unionByName(reach.where("up is null")), reach.where("up is not null")
+    inner = first.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    leaves = done.join(inner, ["tree", "node"], "left_anti")
     if all_leaves:
         chosen = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))).select("tree", F.col("node").alias("leaf"), "rank", "node")
     else:
         best = leaves.groupBy("tree").agg(F.min_by("node", F.struct(-F.col("total"), F.col("node"))).alias("node"))
         chosen = best.select("tree", F.col("node").alias("leaf"), F.lit(1).alias("rank"), "node")
-    for k in range(rounds, -1, -1):
-        step = chosen.join(up.select("tree", "node", F.col(f"j{k}").alias("__up")), ["tree", "node"]).where(F.col("__up").isNotNull())
-        chosen = chosen.unionByName(step.select("tree", "leaf", "rank", F.col("__up").alias("node")))
-        chosen = saved(chosen, "reply-down")
-    return chosen.join(up.select("tree", "node", F.col("hops").alias("depth")), ["tree", "node"]).select("tree", "leaf", "rank", "depth", "node")
+    chosen = saved(chosen, "reply-paths")
+    for jump in reversed(jumps):
+        step = chosen.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))
+        chosen = chosen.unionByName(saved(step, "reply-paths"))
+    return chosen.join(done.select("tree", "node", F.col("hops").alias("depth")), ["tree", "node"]).select("tree", "leaf", "rank", "depth", "node")
 
 
 def format_trees(nodes: DataFrame, all_leaves: bool = False) -> DataFrame:
