@@ -258,7 +258,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     chunk. Null and empty texts have no words. Rows with null ids are neither matched nor changed. Rows that share an id
     are compared with smaller ids only, not with each other. An empty table gives no rows; other columns are ignored.
     """
-    read = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    # No alias where the name is right already: Spark drops a redundant one in one of the two joins only, and the texts'
+    # exchange, which both need, would not be reused.
+    read = docs.select(F.col(key).cast("long").alias("doc"), F.col(text) if text == "text" else F.col(text).alias("text"))
     known = read.where("doc is not null")
     seen = known.agg(F.sum(F.length("text")), F.percentile_approx("doc", F.array(*[F.lit(k / batches) for k in range(1, batches)]) if batches > 1 else F.array(F.lit(1.0)), F.lit(1000))).head()
     log = FingerprintLog(max(16, -(-(seen[0] or 0) // BUCKET_CHARS)), width)
