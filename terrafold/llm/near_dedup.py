@@ -22,8 +22,12 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, in 64-bit columns.
 BITS = 512
 SKETCH = [f"s{k}" for k in range(BITS // 64)]
-#: A candidate is confirmed exactly unless its sketch puts it so far below the threshold (over six deviations).
-SLACK = 0.3
+#: A candidate is confirmed exactly unless its sketch puts it so far below the threshold (about five deviations).
+SLACK = 0.2
+#: Bands of more classes than this are compared in blocks of so many, inside tasks; a pair there is never a row.
+SMALL_BAND, BLOCK = 32, 1024
+#: Document ids that are broadcast (16 MB); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Shingles hashed at a time for samples.
 PART = 4096
 
@@ -112,9 +116,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                same = int((y[at] == x).sum()) if len(x) else 0
+                same = _same(x, y)
                 keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -122,6 +124,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def block_links(percent: int):
+    """Links between classes of one pair of blocks that are not yet in one part; only those that join parts are given."""
+    most = most_bits(percent / 100 - SLACK)
+
+    def run(rows: pa.Table) -> pa.Table:
+        doc, part, block, n = (rows.column(c).to_numpy() for c in ("doc", "part", "block", "n"))
+        sketch = np.stack([rows.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        inner = rows.column("low")[0] == rows.column("high")[0]
+        part = np.unique(part, return_inverse=True)[1]
+        edges = []
+        for i in range(len(doc)):
+            j = np.arange(i + 1, len(doc))
+            j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if not inner:
+                j = j[block[j] != block[i]]
+            bits = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
+            j = j[bits <= most][np.argsort(bits[bits <= most], kind="stable")]
+            for k in j:
+                if part[k] != part[i]:
+                    same = _same(sets[i], sets[k])
+                    if 100 * same >= percent * (len(sets[i]) + len(sets[k]) - same):
+                        edges.append((doc[i], doc[k]))
+                        part[part == part[k]] = part[i]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
 def likely(percent: int, left: str, right: str) -> Column:
     """Neither the sets' sizes nor their odd sketches rule the pair out."""
     bits = sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{left}.{SKETCH[0]}").bitwiseXOR(F.col(f"{right}.{SKETCH[0]}"))))
@@ -135,8 +172,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Documents with equal sets become one class, whose smallest id stands for it. In each band, the smallest class is
     compared with every other (a star); the classes that it links leave few others, and these are compared with all
     classes of the band that are not yet in their component. So every candidate pair is either confirmed, refuted, or
-    inside one component already, without all pairs of a hot band. Sizes and odd sketches sort out candidates before
-    the sets are fetched.
+    inside one component already, without all pairs of a hot band. Bands of many classes that hang together are compared
+    in blocks: a task gets two blocks of sets, and returns no pairs but the links that join components. Sizes and odd
+    sketches sort out candidates before the sets are fetched or compared.
 
     Null and empty texts and texts without words have no shingles and link with nothing. Null ids link with nothing and
     have a null component_id and are kept. Rows that share an id are one document. An empty table gives no rows; columns
@@ -159,23 +197,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
+    def sets_of(needed: DataFrame) -> DataFrame:
+        needed = saved(needed.distinct(), "needed")
+        if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            needed = F.broadcast(needed)
+        return saved(packed_sets(source.join(needed, "doc", "left_semi"), width, lower).dropDuplicates(["doc"]), "sets")
+
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = saved(judged(pairs), "candidates")
-        needed = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        sets = saved(packed_sets(source.join(needed, "doc", "left_semi"), width, lower).dropDuplicates(["doc"]), "sets")
+        sets = sets_of(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))))
         return saved(confirmed(pairs, sets, percent), "links")
 
     star = linked(rows.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")))
-    groups = components(star)
-    placed = saved(rows.join(groups.withColumnsRenamed({"node": "doc", "component": "__c"}), "doc", "left").select("band", "doc", F.coalesce("__c", "doc").alias("part")), "placed")
+    groups = components(star).withColumnsRenamed({"node": "doc", "component": "__c"})
+    placed = saved(rows.join(groups, "doc", "left").select("band", "leader", "doc", F.coalesce("__c", "doc").alias("part")), "placed")
     parts = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
-    top = parts.groupBy("band").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("main"))
-    mixed_bands = placed.join(top, "band")
-    rest = mixed_bands.where("part <> main").select("band", F.col("doc").alias("a"), F.col("part").alias("part_a"))
-    others = mixed_bands.select("band", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("main"))
-    pairs = rest.join(others, "band").where("part_a <> part_b and (part_b = main or a < b)")
-    more = linked(pairs.select("a", "b"))
-    final = saved(components(star.unionByName(more)), "components")
+    top = parts.groupBy("band").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    top = top.where("parts > 1").select("band", F.col("top.part").alias("main"), "size")
+    mixed_bands = saved(placed.join(top, "band"), "mixed-bands")
+
+    few = mixed_bands.where(F.col("size") <= SMALL_BAND)
+    rest = few.where("part <> main").select("band", F.col("doc").alias("a"), F.col("part").alias("part_a"))
+    others = few.select("band", F.col("doc").alias("b"), F.col("part").alias("part_b"), "main")
+    more = linked(rest.join(others, "band").where("part_a <> part_b and (part_b = main or a < b)").select("a", "b"))
+
+    many = mixed_bands.where(F.col("size") > SMALL_BAND)
+    tied = components(many.select(F.col("doc").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "doc", "component": "cluster"})
+    sized = tied.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    tied = saved(tied.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "clusters")
+    tied = tied.join(sets_of(tied.select("doc")), "doc").join(slim, "doc").join(many.groupBy("doc").agg(F.min("part").alias("part")), "doc")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tied = tied.withColumn("__k", other).withColumns({"low": F.least("block", "__k"), "high": F.greatest("block", "__k")})
+    blocked = saved(tied.select("cluster", "low", "high", "block", "doc", "part", "n", "shingles", *SKETCH).groupBy("cluster", "low", "high").applyInArrow(block_links(percent), "a long, b long"), "links")
+    final = saved(components(star.unionByName(more).unionByName(blocked)), "components")
 
     out = sig.join(reps, "digest", "left").join(final.withColumnsRenamed({"node": "rep", "component": "__c"}), "rep", "left")
     comp = F.when(F.col("n") > 0, F.coalesce("__c", "rep", "doc")).otherwise(F.col("doc"))

@@ -401,8 +401,10 @@ def brute_near(rows, width, lower=True):
     return {k: (len(v), comp.get(k)) for k, v in sets.items()}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_copies_against_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "small_band"), [(2, 64), (5, 64), (5, 2)])
+def test_near_copies_against_brute_force(spark, monkeypatch, width, small_band):
+    monkeypatch.setattr(near_dedup, "SMALL_BAND", small_band)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
     rng = random.Random(12)
     rows = []
     for g in range(12):
