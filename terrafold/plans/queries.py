@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scope
 from ..functions import article, geo, text, values
-from ..operators import importers, market, mentions, predicates, profile, relations, resolve, search, spatial, upsert
+from ..operators import detail, importers, market, mentions, predicates, profile, relations, resolve, reviews, search, spatial, upsert
 from ..operators.state import QueryState
 from ..sources import publish, readers
 from ..streaming import bundles
@@ -705,3 +705,118 @@ SELECT id, entry_type, entry_index, entry FROM u""")
 def q_unpivot_lists(t):
     p = t.policies.select("id", F.array("first_school").alias("a"), F.array("second_school").alias("b"))
     return upsert.unpivot_lists(p, {"a": "first", "b": "second"}, ["id"])
+
+
+# --- dossiers, panels, metrics ---
+
+
+def _records(t: Tables) -> DataFrame:
+    """Annual school records: a school of positive balance has one for each year in which it admits."""
+    schools = t.places.where("kind = 'school' and primary_school").select(F.col("id").alias("school_id"))
+    return t.admissions.join(schools, "school_id", "left_semi").select(F.col("school_id").alias("entity_id"), F.col("school_id").alias("official_id"), "year").distinct()
+
+
+_RECORDS = "rec AS (SELECT DISTINCT school_id AS entity_id, year FROM admissions WHERE school_id IN (SELECT id FROM places WHERE kind = 'school' AND primary_school))"
+_LINKED = _RECORDS + ", linked AS (SELECT DISTINCT l.campus_id AS id, l.official_school_id AS school_id, l.year FROM links l JOIN rec ON rec.entity_id = l.official_school_id AND rec.year = l.year WHERE l.campus_id IN (SELECT id FROM places))"
+
+
+@query("WITH " + _LINKED + " SELECT id, school_id, year FROM linked")
+def q_linked_records(t):
+    return detail.linked_records(t.places.select("id"), t.links, _records(t))
+
+
+@query("WITH " + _LINKED + """, a AS (SELECT DISTINCT * FROM admissions),
+u AS (SELECT a.school_id AS place, a.* FROM a WHERE a.school_id IN (SELECT id FROM places) UNION SELECT k.id, a.* FROM a JOIN linked k ON k.school_id = a.school_id AND k.year = a.year)
+SELECT place AS id, year, count(*) AS n FROM u GROUP BY place, year""")
+def q_detail_admissions(t):
+    ids = t.places.where("kind = 'school'").select("id")
+    rows = t.admissions.withColumnRenamed("id", "admission_id").distinct()
+    found = detail.year_guarded(ids, rows, "school_id", detail.linked_records(ids, t.links, _records(t)))
+    return found.groupBy("id", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH pc AS (SELECT entity_id, count(*) AS n FROM post_places GROUP BY 1), pr AS (SELECT entity_id, count(*) AS n FROM prices GROUP BY 1), pj AS (SELECT entity_id, count(*) AS n FROM projects GROUP BY 1),
+oy AS (SELECT campus_id, count(DISTINCT year) AS n FROM links GROUP BY 1)
+SELECT id, coalesce(pc.n, 0) AS posts, coalesce(pr.n, 0) AS prices, coalesce(pj.n, 0) AS projects, coalesce(oy.n, 0) AS official_years
+FROM places LEFT JOIN pc ON pc.entity_id = id LEFT JOIN pr ON pr.entity_id = id LEFT JOIN pj ON pj.entity_id = id LEFT JOIN oy ON oy.campus_id = id""")
+def q_bootstrap(t):
+    e = t.entities
+    none = t.admissions.limit(0)
+    r = detail.bootstrap(
+        e.drop("candidate"), e.where("candidate is not null").select(F.col("id").alias("entity_id"), "candidate"), t.post_places, t.prices, t.projects.select("entity_id", F.col("parking").alias("name")),
+        none.select(F.col("school_id").alias("entity_id"), F.col("school_id").alias("official_id"), "year"), t.links, none.select(F.col("home_id").alias("group_id"), "school_id", F.col("school_id").alias("official_id"), "active"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return r.select("id", zero("post_count").alias("posts"), zero(F.size("price_filter")).alias("prices"), zero("project_count").alias("projects"), zero(F.size("official_years")).alias("official_years"))
+
+
+@query("""
+WITH l AS (SELECT campus_id AS id, count(*) AS n FROM links WHERE year = '1998' GROUP BY 1),
+p AS (SELECT first_school AS id, year, kind FROM policies UNION ALL SELECT second_school, year, kind FROM policies),
+c AS (SELECT id, count(*) FILTER (WHERE year = '1998') AS cur, count(*) FILTER (WHERE kind = 'local_policy_archive' AND year <> 'unknown' AND year <> '1998') AS oth FROM p GROUP BY 1)
+SELECT s.id, coalesce(l.n, 0) AS year_links, coalesce(cur, 0) AS current_policies, coalesce(oth, 0) AS other_archives FROM places s LEFT JOIN l ON l.id = s.id LEFT JOIN c ON c.id = s.id WHERE s.kind = 'school'""")
+def q_evidence_panel(t):
+    policies = t.policies.select("year", "kind", F.array("first_school", "second_school").alias("school_ids"))
+    return detail.evidence_panel(t.places.where("kind = 'school'").select("id"), t.links, policies, "1998")
+
+
+@query("SELECT p.entity_id AS id, count(DISTINCT p.post_id) AS posts FROM post_places p JOIN posts q ON q.id = p.post_id WHERE q.deep_read AND p.entity_id IN (SELECT id FROM places) GROUP BY 1")
+def q_posts_to_places(t):
+    return detail.post_places_of(t.posts.where("deep_read"), t.post_places, t.places)
+
+
+@query("SELECT DISTINCT a.entity_id AS selected_id, b.entity_id FROM post_places a JOIN post_places b ON a.post_id = b.post_id AND a.entity_id <> b.entity_id WHERE a.entity_id LIKE 'school:%' AND a.entity_id IN (SELECT id FROM places) AND b.entity_id IN (SELECT id FROM places)")
+def q_other_places(t):
+    return detail.other_places(t.post_places, t.places.where("kind = 'school'").select("id"), t.places)
+
+
+@query("SELECT home_id, count(*) AS rows, array_to_string(list_sort(list(DISTINCT admission_type)), ' / ') AS types, count(DISTINCT school_id) AS schools FROM (SELECT DISTINCT ON (id) * FROM admissions WHERE active AND year = '1998') a GROUP BY home_id")
+def q_relation_groups(t):
+    return detail.active_relations(t.admissions, ASIA).select("home_id", "rows", "types", "schools")
+
+
+@query("SELECT entity_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) AS rn FROM history WHERE snapshot_date = DATE '2024-01-05') x WHERE rn = 1")
+def q_snapshot(t):
+    return detail.snapshot(t.history, "2024-01-05").select("entity_id", "event_id")
+
+
+@query("""
+SELECT 'rows:places' AS metric, count(*) AS value FROM places UNION ALL SELECT 'rows:links', count(*) FROM links UNION ALL SELECT 'prices:' || kind, count(*) FROM prices GROUP BY kind
+UNION ALL SELECT 'admissions:' || admission_type, count(*) FROM admissions GROUP BY admission_type UNION ALL SELECT 'prices:fully_priced', count(*) FROM prices WHERE total_wan > 0 AND unit_yuan_sqm > 0""")
+def q_metrics(t):
+    return detail.metrics({"places": t.places, "links": t.links}, t.prices, t.admissions)
+
+
+@query("""
+SELECT 'links' AS check, count(*) AS bad_rows, count(*) = 0 AS ok FROM links WHERE official_school_id NOT IN (SELECT id FROM places)
+UNION ALL SELECT 'admissions', count(*), count(*) = 0 FROM admissions WHERE home_id NOT IN (SELECT id FROM places)""")
+def q_verification(t):
+    return detail.verification({"links": publish.orphans(t.links, "official_school_id", t.places, "id"), "admissions": publish.orphans(t.admissions, "home_id", t.places, "id")})
+
+
+@query("SELECT kind, CASE WHEN kind = 'reference' THEN CASE WHEN unit_yuan_sqm > 0 THEN 'unit' ELSE 'undisclosed' END WHEN total_wan > 0 THEN 'total' WHEN unit_yuan_sqm > 0 THEN 'unit' ELSE 'undisclosed' END AS headline, 'day' AS precision, count(*) AS n FROM prices GROUP BY 1, 2")
+def q_price_headlines(t):
+    return detail.headlines(t.prices).groupBy("kind", "headline", "precision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT 'group:' || CAST(s_nationkey AS STRING) AS group_id, 'school:' || CAST(s_suppkey AS STRING) AS official_id, s_acctbal > 0 AS active FROM supplier),
+d AS (SELECT m.*, l.campus_id, row_number() OVER (PARTITION BY m.group_id, m.official_id ORDER BY (l.year = '1998') DESC NULLS LAST, (l.kind = 'portal_coordinate_match') DESC NULLS LAST, (c.lat IS NOT NULL) DESC NULLS LAST, l.distance_m NULLS LAST, l.campus_id NULLS LAST) AS rn
+  FROM m LEFT JOIN links l ON l.official_school_id = m.official_id LEFT JOIN places c ON c.id = l.campus_id)
+SELECT d.group_id, p.id, d.active, p.lat IS NOT NULL AS located FROM d JOIN places p ON p.id = coalesce(d.campus_id, d.official_id) WHERE rn = 1""")
+def q_group_plan(t):
+    m = t.supplier.select(F.concat(F.lit("group:"), F.col("s_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("school:"), F.col("s_suppkey").cast("string")).alias("official_id"), F.lit("1998").alias("year"), (F.col("s_acctbal") > 0).alias("active"))
+    return detail.group_plan(m, t.links, t.places)
+
+
+@query("SELECT official_id, year FROM (SELECT school_id AS official_id, max(year) AS year FROM admissions GROUP BY school_id) x")
+def q_latest_record(t):
+    records = t.admissions.select(F.col("school_id").alias("official_id"), "year", F.col("school_id").alias("entity_id")).distinct()
+    return reviews.latest_record(records).select("official_id", "year")
+
+
+@query("SELECT s.id AS selected_id, h.id, 'official' AS tier FROM places s JOIN (SELECT DISTINCT school_id, home_id FROM admissions WHERE active AND year = '1998') a ON a.school_id = s.id JOIN places h ON h.id = a.home_id WHERE s.lat IS NOT NULL AND h.lat IS NOT NULL")
+def q_relation_lines(t):
+    items = t.admissions.where(predicates.relation_matches(ASIA)).select(F.col("school_id").alias("selected_id"), F.col("home_id").alias("id"), F.lit("official").alias("tier")).distinct()
+    return detail.relation_lines(t.places.where("kind = 'school'"), items, t.places).select("selected_id", "id", "tier")
