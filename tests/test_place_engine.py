@@ -420,3 +420,109 @@ def test_bundle_stream(spark, tmp_path):
     run()
     assert spark.read.parquet(f"file://{tmp_path}/ok").count() == 2
     assert [r.reason for r in spark.read.parquet(f"file://{tmp_path}/bad").collect()] == ["negative"]
+
+
+# --- reviewed evidence, dossiers ---
+
+
+def test_semantic_review_reasons(spark):
+    from pyspark.sql import types as T
+
+    from terrafold.operators import reviews
+
+    note, sha, body = "a" * 24, "b" * 64, "c" * 64
+    claim = T.StructType([T.StructField(c, T.StringType()) for c in ("decision", "body_sha256", "review_sha256", "review_source")])
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("body_sha256", T.StringType()), T.StructField("claim", claim)])
+    cases = [
+        (note, ("accept", body, sha, "f"), None), (note, ("exclude", body, sha, "f"), "semantic_review_acceptance_required"), (note, ("accept", "x", sha, "f"), "semantic_review_claim_body_hash_mismatch"),
+        (note, ("accept", body, None, "f"), "semantic_review_file_hash_required"), (note, ("accept", body, sha, " "), "semantic_review_source_required"), (note, ("accept", body, sha, "none"), "semantic_review_source_missing_or_outside"),
+        (note, ("accept", body, "d" * 64, "f"), "semantic_review_file_changed_or_hash_mismatch"), (note, ("accept", body, sha, "draft"), "semantic_review_file_unreviewed"), (note, ("accept", body, sha, "odd"), "semantic_review_invalid_decision"),
+        (note, ("accept", body, sha, "twice"), "semantic_review_duplicate_decision"), ("e" * 24, ("accept", body, sha, "f"), "semantic_review_note_not_found"), (note, ("accept", body, sha, "no"), "semantic_review_source_does_not_accept"), (note, ("accept", body, sha, "other"), "semantic_review_source_body_hash_mismatch"),
+    ]
+    rows = spark.createDataFrame([(i, body, c) for i, c, _ in cases], schema)
+    files = spark.createDataFrame([(p, sha, True, True, True, True, "draft" if p == "draft" else None) for p in ("f", "draft", "odd", "twice", "no", "other")], "path string, sha256 string, registered boolean, readable boolean, is_document boolean, reviewed boolean, status string")
+    d = [("f", note, "accept", body), ("draft", note, "accept", body), ("odd", note, "accept", body), ("odd", "x", "accept", body), ("twice", note, "accept", body), ("twice", note, "accept", body), ("no", note, "exclude", body), ("other", note, "accept", "f" * 64)]
+    decisions = spark.createDataFrame([(*x, None, None) for x in d], "path string, id string, decision string, body_sha256 string, body_read_complete boolean, counted boolean")
+    got = {(r.id, tuple(r.claim)): r.reason for r in reviews.semantic_review_reason(rows, files, decisions).collect()}
+    assert got == {(i, c): want for i, c, want in cases}
+
+
+def test_group_evidence(spark):
+    from terrafold.operators import reviews
+
+    records = spark.createDataFrame([("1", "2024", "s1", "滨江区", "旧文"), ("1", "2025", "s1", "滨江区", "本校　是集团 成员"), ("2", "2025", "s2", "拱墅区", "集团成员")], "official_id string, year string, entity_id string, district string, detail string")
+    rows = [("group:b:x", "滨江区", "1", True, "1", "集团成员", None), ("group:b:x", "滨江区", "1", False, "1", "旧文", "evidence_changed"), ("Group", "滨江区", "1", True, "1", "集团", "invalid_group"), ("group:b:y", "滨江区", "9", True, "1", "集团", "school_missing"), ("group:b:z", "滨江区", "2", True, "2", "集团", "cross_district_membership"), ("group:b:w", "滨江区", "1", True, "1", "集团", "duplicate_membership")]
+    df = spark.createDataFrame([r[:6] for r in [*rows, rows[-1]]], "group_id string, district string, official_id string, current boolean, evidence_official_id string, evidence_contains string")
+    got = {(r.group_id, r.current): r.reason for r in reviews.group_evidence(df, records, ("滨江区", "拱墅区")).collect()}
+    assert got == {(r[0], r[3]): r[6] for r in rows}
+
+
+def test_policy_bundles_fail_whole(spark):
+    import hashlib
+
+    from terrafold.operators import reviews
+
+    art = "正文" * 60
+    good = ("1", "b", "h", "h", 5, 5, art, f"页眉 {art}", hashlib.sha256(art.encode()).hexdigest(), "2026-01-01T00:00:00+08:00", "t", "t", "2026-01-01", "20260101", None)
+    names = "id string, bundle string, sha256 string, want_sha256 string, bytes long, want_bytes long, article string, visible string, text_sha256 string, observed_at string, title string, original_title string, publication_date string, original_publication_date string, tls_verified boolean"
+    bad = ("2", "c", "h", "x", 5, 6, art, "other", "no", "2026-01-01", "t", "u", "2026-01-01", "2026", True)
+    df = spark.createDataFrame([good, bad, ("3", "c", *good[2:])], names)
+    failed = {r.id: r.failed for r in reviews.policy_requirements(df).collect()}
+    assert failed["1"] == [] and failed["3"] == [] and failed["2"] == ["hash", "bytes", "article_not_in_page", "text_hash", "observation_time", "title", "publication_date", "tls_claim"]
+    assert {r.bundle: r.accepted for r in reviews.whole_bundles(df).collect()} == {"b": True, "c": False}
+
+
+def test_baseline_and_observations(spark):
+    from terrafold.operators import reviews
+
+    one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    a, b = "a" * 24, "b" * 24
+    ok = reviews.frozen_baseline(one(a, b), one(a), one("c" * 64), one(a, b, "z"), {"valid_count": 2, "body_count": 1})
+    assert all(df.isEmpty() for df in ok.values())
+    bad = reviews.frozen_baseline(one(a, a), one(b), one("c"), one(b), {"valid_count": 1, "body_count": 1})
+    assert not any(bad[k].isEmpty() for k in ("repeated", "odd_hashes", "bodies_outside", "not_loaded", "counts"))
+    rows = [("o", "construction_progress", False, None, None, "2026-05-01", "https://a.b/c", "1", "2026", "滨江区", "杭州市甲小学", "r", "q", "n", "h")]
+    df = spark.createDataFrame(rows, "id string, evidence_type string, creates_official_admission_relation boolean, residential_names string, admission_year string, published_at string, source_url string, official_id string, year string, district string, canonical_school_name string, observed_at string, source_quote string, notes string, response_sha256 string")
+    records = spark.createDataFrame([("1", "2026", "s")], "official_id string, year string, entity_id string")
+    places = spark.createDataFrame([("s", "甲小学", "滨江区")], "id string, name string, district string")
+    got = reviews.observations(df, records, places).head()
+    assert (got.id, got.entity_id, got.year) == ("o", "s", "2026") and "quote: q" in got.body
+    with pytest.raises(Exception, match="exactly one place"):
+        reviews.attached_entities(spark.createDataFrame([("d", "s", "other", "school", "x")], "id string, entity_id string, entity_name string, kind string, district string"), places.withColumn("kind", F.lit("school"))).collect()
+    with pytest.raises(Exception, match="directory"):
+        reviews.reconciled(spark.createDataFrame([("s",)], "school_id string"), spark.createDataFrame([("s", 2)], "school_id string, n long")).collect()
+    files = spark.createDataFrame([("data/incremental/a.body", "h")], "path string, sha256 string")
+    caps = spark.createDataFrame([("data/incremental/a.body", "h"), ("data/incremental/../a.body", "h"), ("data/incremental/a.body", "x")], "evidence_raw_path string, evidence_sha256 string")
+    assert sorted(r.captured for r in reviews.captured(caps, files).collect()) == [False, False, True]
+
+
+def test_dossier_is_year_guarded(spark, graph):
+    from terrafold.operators import detail
+
+    links = spark.createDataFrame([("c", "s", "2026", "portal_coordinate_match", 3.0)], graph["links"].schema)
+    records = spark.createDataFrame([("s", "s", "2024"), ("s", "s", "2026"), ("c", "c", "2023")], "entity_id string, official_id string, year string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    sel = spark.createDataFrame([("c",)], "id string")
+    out = detail.dossier(
+        sel, graph["entities"], graph["admissions"].withColumnRenamed("id", "admission_id"), links, records, empty("id string, title string"), empty("post_id string, entity_id string"), graph["prices"].withColumn("id", F.lit("p")),
+        empty("source_id string, entity_id string"), empty("source_id string, entity_id string"), empty("a string, b string, post_ids array<string>"), spark.createDataFrame([("p1", "2026", ["s"]), ("p2", "2024", ["s"]), ("p3", "2020", ["c"])], "policy_id string, year string, school_ids array<string>"),
+        empty("entity_id string, snapshot_date date"), empty("source_id string, entity_id string"), empty("group_id string, school_id string, year string, active boolean"), empty("id string, entity_id string, distance long"),
+    )
+    assert {r.admission_id for r in out["admissions"].collect()} == {"1", "2"}
+    assert {(r.school_id, r.year) for r in out["school_records"].collect()} == {("c", "2023"), ("s", "2026")}
+    assert {r.policy_id for r in out["policies"].collect()} == {"p1", "p3"}
+    for df in out.values():
+        assert df.columns[0] == "id" or "id" in df.columns
+        df.collect()
+
+
+def test_archives_and_status(spark):
+    from terrafold.operators import detail
+
+    s = spark.createDataFrame([("policy:service_area", "official", "a"), ("policy:other", "official", "b"), ("l", detail.ARCHIVE_KIND, "c")], "id string, kind string, label string")
+    checks = spark.createDataFrame([("policy:service_area", "ok", True)], "id string, status string, archived boolean")
+    got = {r.id: (r.link_status, r.archive_available) for r in detail.source_status(s, checks).collect()}
+    assert got == {"policy:service_area": ("ok", True), "policy:other": (None, None), "l": ("unverified", True)}
+    p = spark.createDataFrame([("l", "local_policy_archive", None, "2026", "body")], "source_id string, kind string, label string, year string, body string")
+    assert [(r.title, r.text) for r in detail.source_archives(s, p).collect()] == [("c", "body")]
+    assert detail.source_archives(s, p.union(p)).count() == 0
