@@ -20,6 +20,8 @@ SHARD = 8192
 EF = 48
 #: Queries of each pair of shards that are audited against brute force, and the share of their links to be found.
 AUDIT, RECALL = 128, 1.0
+#: A beam of more than a shard's vectors divided by this costs more than comparing with all of them, which is done then.
+WIDE = 8
 #: Beam results this much below the threshold are verified in double precision too.
 MARGIN = 1e-4
 
@@ -39,8 +41,8 @@ def links(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float):
     n, low = len(exact), threshold - MARGIN
     sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     truth = (q[sample] @ exact.T) >= low
-    ef = min(EF, n)
-    while ef < n:
+    ef = EF
+    while WIDE * ef < n:
         ids, sims = graph.search(q[sample].astype(np.float32), ef)
         hit = (ids >= 0) & (sims >= low - MARGIN)
         found = np.zeros_like(truth)
@@ -48,11 +50,11 @@ def links(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float):
         full = hit.all(1)  # these get a wider beam anyway
         if (found & truth)[~full].sum() >= RECALL * truth[~full].sum():
             break
-        ef = min(n, 2 * ef)
+        ef *= 2
     for at in range(0, len(q), BLOCK):
         rows, beam = np.arange(at, min(len(q), at + BLOCK)), ef
         while len(rows):
-            if 4 * beam >= n:
+            if WIDE * beam >= n:
                 a, b = np.nonzero((q[rows] @ exact.T) >= threshold)
                 yield rows[a], b
                 break
