@@ -820,3 +820,77 @@ def q_latest_record(t):
 def q_relation_lines(t):
     items = t.admissions.where(predicates.relation_matches(ASIA)).select(F.col("school_id").alias("selected_id"), F.col("home_id").alias("id"), F.lit("official").alias("tier")).distinct()
     return detail.relation_lines(t.places.where("kind = 'school'"), items, t.places).select("selected_id", "id", "tier")
+
+
+# --- gates ---
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, lang, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '#[^#\n]+?\[话题\]#', ' ', 'g'), '(^|\s)#[^\s#]+', ' ', 'g'), '\[[^\]\n]{1,20}R\]', '', 'g'), '[^\p{L}\p{N}]', '', 'g')) AS n FROM documents),
+r AS (SELECT c.doc_id, CASE WHEN n = 0 THEN 'no_prose' WHEN n < 40 THEN 'short_or_low_content' WHEN l.doc_id IS NULL THEN 'not_accepted' WHEN l.quality = 0 THEN 'low_quality' WHEN l.toxic = 1 THEN 'out_of_scope' WHEN lang = 'fr' THEN 'invalid_observation_time' END AS reason
+  FROM c LEFT JOIN labels l ON l.doc_id = c.doc_id)
+SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def q_social_gate(t):
+    note = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24)
+    d = t.documents.join(t.labels, "doc_id", "left")
+    record = F.struct(note.alias("id"), F.lit("t").alias("title"), F.col("text").alias("desc"), F.lit("prose_or_caption").alias("description_kind"), F.coalesce(F.col("toxic") == 0, F.lit(True)).alias("valid"), F.array().cast("array<string>").alias("exclusion_reasons"))
+    rows = d.select(
+        note.alias("id"), F.concat(F.lit("https://site.test/explore/"), note).alias("source_url"), F.when(F.col("lang") == "fr", "2026-01-01T00:00:00").otherwise("2026-01-01T00:00:00+08:00").alias("observed_at"), text.body_hash(F.col("text")).alias("body_sha256"),
+        text.meaningful_characters(F.col("text")).alias("meaningful_characters"), (F.col("quality") == 1).alias("accepted"), F.when(F.col("quality") == 0, "low_quality").alias("exclusion_reason"), F.lit(False).alias("baseline_index"), record.alias("record"),
+    )
+    none = rows.limit(0)
+    got = importers.social_reason(rows, none.select("id"), none.select("id"), none.select("body_sha256"), ("site.test",))
+    return got.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN total_wan IS NULL THEN 'invalid_or_missing_price_or_area' WHEN year(event_date) <> 1998 OR observed_at < event_date THEN 'invalid_2026_event_or_observation_time' WHEN possible_duplicate THEN 'possible_duplicate_unresolved' WHEN line_no = 3 THEN 'not_visible_tls_verified_evidence' END AS reason FROM prices)
+SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def q_enrichment_shape(t):
+    sid = F.concat(F.lit("EX_"), F.col("order_no").cast("string"))
+    url = F.concat(F.lit("https://m.fang.com/chengjiao/hz/"), sid, F.lit(".html"))
+    fixed = {k: F.lit("x") for k in ("community", "layout", "orientation")}
+    rows = t.prices.withColumns(fixed | {
+        "id": F.concat(F.lit("fang:deal:"), sid), "record_kind": F.lit("deal_price_enrichment_candidate"), "baseline_status": F.lit("existing_841_price_enrichment_candidate"), "source_record_id": sid, "source_url": url, "evidence_url": url,
+        "comparison_prior_record_ids": F.array(F.concat(F.lit("fang:deal:"), F.sha2("id", 256))), "community_source_id": F.col("supp_no").cast("string"), "district": F.lit(scope.MAIN_DISTRICTS[0]), "event_date": F.col("event_date").cast("string"),
+        "observed_at": F.concat(F.col("observed_at").cast("string"), F.lit("T12:00:00+08:00")), "possible_duplicate_group": F.when(F.col("possible_duplicate"), "g"), "price_disclosure": F.lit("visible"), "tls_verification_enabled": F.col("line_no") != 3, "evidence_sha256": F.sha2("source_id", 256),
+    })
+    reason = importers.enrichment_shape(year=1998)
+    return rows.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH b AS (SELECT 'home:' || CAST(c_custkey AS STRING) AS source_entity_id, c_mktsegment AS district FROM customer),
+n AS (SELECT home_id, count(DISTINCT id) AS n FROM admissions GROUP BY 1)
+SELECT district, count(*) AS bridges, CAST(sum(coalesce(n, 0)) AS BIGINT) AS rows FROM b LEFT JOIN n ON home_id = source_entity_id GROUP BY district""")
+def q_bridge_totals(t):
+    b = t.customer.select(F.concat(F.lit("home:"), F.col("c_custkey").cast("string")).alias("source_entity_id"), F.col("c_mktsegment").alias("district"))
+    return detail.bridge_totals(b, t.admissions.select(F.col("home_id").alias("source_entity_id"), "id").distinct())
+
+
+@query("""
+WITH live AS (SELECT home_id, count(DISTINCT id) AS n FROM admissions GROUP BY 1),
+b AS (SELECT 'home:' || CAST(o_custkey AS STRING) AS source_entity_id, count(*) AS orders FROM orders GROUP BY 1)
+SELECT source_entity_id, false AS lock FROM b LEFT JOIN live ON home_id = source_entity_id WHERE coalesce(n, 0) <> orders OR n IS NULL""")
+def q_bridge_lock_broken(t):
+    rows = t.admissions.select(F.col("home_id").alias("source_entity_id"), "id").distinct()
+    live = rows.groupBy("source_entity_id").agg(values.id_set_lock(F.col("id")).alias("l"))
+    want = t.orders.groupBy(F.concat(F.lit("home:"), F.col("o_custkey").cast("string")).alias("source_entity_id")).agg(F.count(F.lit(1)).alias("count"))
+    bridges = want.join(live, "source_entity_id", "left").select("source_entity_id", "count", F.col("l.sha256").alias("sha256"))
+    return resolve.locked_bridge(rows, bridges).where(~F.col("lock")).select("source_entity_id", "lock")
+
+
+@query("""
+WITH r AS (SELECT n_regionkey AS cid, count(DISTINCT n_name) AS names, count(DISTINCT r_name) AS dirs FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT CAST(cid AS STRING) AS community_id, CASE WHEN names + dirs <= 1 THEN 'no_alias_change' WHEN dirs <> 1 THEN 'directory_identity_unresolved' ELSE 'source_project_marketing_alias_bridge' END AS status FROM r""")
+def q_market_identities(t):
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("fang").alias("source"), F.col("n_regionkey").cast("string").alias("community_id"), F.lit("ASIA").alias("district"), F.col("n_name").alias("community"), F.col("r_name").alias("directory_name"), F.lit("deal").alias("record_kind"))
+    return resolve.market_identities(rows, t.entities).select("community_id", "status")
+
+
+@query("SELECT id, link_status, archive_available FROM (SELECT CAST(page_id AS STRING) AS id, CAST(NULL AS STRING) AS link_status, CAST(NULL AS BOOLEAN) AS archive_available FROM pages UNION ALL SELECT 'policy:service_area', 'ok', true) x")
+def q_source_status(t):
+    s = t.pages.select(F.col("page_id").cast("string").alias("id"), F.lit("page").alias("kind"))
+    one = t.region.where("r_regionkey = 0").select(F.lit("policy:service_area").alias("id"), F.lit("official").alias("kind"))
+    checks = one.select("id", F.lit("ok").alias("status"), F.lit(True).alias("archived"))
+    return detail.source_status(s.unionByName(one), checks).select("id", "link_status", "archive_available")

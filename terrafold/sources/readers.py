@@ -75,3 +75,13 @@ def reviewed_bundles(manifest: dict, hashes: DataFrame, counts: DataFrame) -> Da
     j = want.join(have, F.expr("endswith(path, bundle)"), "left")
     ok = (F.col("sha256") == F.col("want_sha")) & (F.col("records") == F.col("want_records"))
     return j.select(must(ok, "a bundle is changed or incomplete", F.col("path")).alias("path"), "kind")
+
+
+def paged_receipts(pages: DataFrame, key: str) -> DataFrame:
+    """Items of cached pages (query, start, total, items: array of structs with the key), or an error: the pages of a query
+    must hold exactly its total of items, each key once. A page that was fetched twice counts once."""
+    items = pages.select("query", "start", "total", F.posexplode("items").alias("at", "item")).dropDuplicates(["query", "start", "at"])
+    n = items.groupBy("query").agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(f"item.{key}").alias("__d"), F.max("total").alias("__t"))
+    ok = (F.col("__n") == F.col("__t")) & (F.col("__d") == F.col("__t"))
+    j = items.join(n, "query")
+    return j.select(must(ok, "the pages are incomplete or repeat an item", F.col("query")).alias("query"), (F.col("start") + F.col("at")).alias("ord"), "item.*")

@@ -407,6 +407,15 @@ def test_readers(spark, tmp_path):
         readers.reviewed_bundles({"schema_version": 1}, None, None)
 
 
+def test_paged_receipts(spark):
+    schema = "query string, start int, total int, items array<struct<id:string>>"
+    full = [("q", 0, 3, [("a",), ("b",)]), ("q", 2, 3, [("c",)]), ("q", 2, 3, [("c",)])]
+    assert [r.id for r in readers.paged_receipts(spark.createDataFrame(full, schema), "id").orderBy("ord").collect()] == ["a", "b", "c"]
+    for bad in (full[:1], [full[0], ("q", 2, 3, [("a",)])]):
+        with pytest.raises(Exception, match="incomplete"):
+            readers.paged_receipts(spark.createDataFrame(bad, schema), "id").collect()
+
+
 def test_bundle_stream(spark, tmp_path):
     from pyspark.sql import types as T
 
