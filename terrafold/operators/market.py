@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import scope
 from ..functions.values import median, positive, round_half_up
 from .predicates import built_matches, price_matches
+from .ranks import global_rank
 from .state import QueryState
 
 
@@ -52,7 +53,10 @@ def ranking(homes: DataFrame, prices: DataFrame, s: QueryState, metric: str = "c
     out = homes.select("id", "name", "district").join(stats, "id")
     value = {"count": F.col("deal_count"), "unit": F.col("median_unit"), "total": F.col("total_wan")}.get(metric)
     keys = [F.col("latest_date").desc_nulls_last(), F.desc("deal_count")] if metric == "latest" else [F.coalesce(F.nullif(value, F.lit(0)), F.lit(-1)).desc(), F.desc("deal_count"), F.col("latest_date").desc_nulls_last()]
-    return out.withColumn("rank", F.row_number().over(W.orderBy(*keys, "name", "id")))
+    # Close values share a coarse key: whole counts and days, and steps of about one per cent of an amount.
+    day = F.coalesce(F.unix_date("latest_date"), F.lit(-1))
+    coarse = {"count": F.col("deal_count"), "latest": day}.get(metric, F.floor(F.log1p(F.greatest(F.coalesce(value, F.lit(-1)), F.lit(-0.999))) * 100) if value is not None else None)
+    return global_rank(out, [coarse], [*keys, F.col("name").asc_nulls_last(), F.col("id")], "rank")
 
 
 def market_summary(prices: DataFrame, s: QueryState, by: list[str]) -> DataFrame:

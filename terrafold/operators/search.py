@@ -12,6 +12,7 @@ from .. import scope
 from ..functions import geo, text
 from . import market, relations
 from .predicates import district_is, relation_matches
+from .ranks import global_rank
 from .state import QueryState
 
 
@@ -35,8 +36,8 @@ def _search(entities: DataFrame, links: DataFrame, s: QueryState) -> DataFrame:
     return e.withColumns({"__forms": both, "__query": text.search_forms(F.lit(s.query))}).where(text.matches(F.col("__forms"), F.col("__query"))).select(*entities.columns)
 
 
-def query_entities(entities: DataFrame, admissions: DataFrame, links: DataFrame, prices: DataFrame, s: QueryState) -> DataFrame:
-    """The places that pass the state, with ord: their position in the result.
+def matching_entities(entities: DataFrame, admissions: DataFrame, links: DataFrame, prices: DataFrame, s: QueryState) -> DataFrame:
+    """The places that pass the state, in no order.
 
     entities: id, kind, name, district, lat, lng, primary_school, address, aliases, project_names, candidate (rank,
     built_year, plate, name), post_count, group_member_count. Every set of ids is a semi-join; schools pass housing
@@ -44,7 +45,7 @@ def query_entities(entities: DataFrame, admissions: DataFrame, links: DataFrame,
     """
     ok = admissions.where(relation_matches(s))
     official = relations.admission_school_ids(admissions, links, s)
-    is_group, ids = F.col("kind") == "school_group", [F.col("id")]
+    is_group = F.col("kind") == "school_group"
     found = entities.where(district_is(s, F.col("district")))
     if s.kind != "all":
         found = found.where(F.col("kind") == s.kind)
@@ -73,13 +74,19 @@ def query_entities(entities: DataFrame, admissions: DataFrame, links: DataFrame,
         admitted = admissions.join(homes.withColumnRenamed("id", "home_id"), "home_id", "left_semi")
         schools = relations.admission_school_ids(admitted, links, s)
         found = found.where(~is_group).join(homes.unionByName(schools).distinct(), "id", "left_semi")
-    found = relations.shadowed(found, links, s.year, s.favorites)
-    ranked = found.join(official.withColumn("__official", F.lit(True)), "id", "left")
-    order = [
-        is_group.desc(), F.coalesce("group_member_count", F.lit(0)).desc(), F.coalesce("__official", F.lit(False)).desc(), F.col("candidate").isNotNull().desc(),
-        F.coalesce("candidate.rank", F.lit(scope.UNRANKED)), F.coalesce("post_count", F.lit(0)).desc(), F.col("name").asc_nulls_last(), *ids,
-    ]
-    return ranked.withColumn("ord", F.row_number().over(W.orderBy(*order))).select(*entities.columns, "ord")
+    return relations.shadowed(found, links, s.year, s.favorites)
+
+
+def query_entities(entities: DataFrame, admissions: DataFrame, links: DataFrame, prices: DataFrame, s: QueryState) -> DataFrame:
+    """The places that pass the state, with ord: their position in the result.
+
+    Groups come first, by members; then places with an official admission, candidates by rank, and by posts and name."""
+    found = matching_entities(entities, admissions, links, prices, s)
+    official = relations.admission_school_ids(admissions, links, s).withColumn("__official", F.lit(True))
+    ranked = found.join(official, "id", "left")
+    rank = F.coalesce("candidate.rank", F.lit(scope.UNRANKED))
+    coarse = [(F.col("kind") == "school_group").cast("int"), F.coalesce("group_member_count", F.lit(0)), F.coalesce("__official", F.lit(False)).cast("int"), F.col("candidate").isNotNull().cast("int"), -rank, F.coalesce("post_count", F.lit(0))]
+    return global_rank(ranked, coarse, [F.col("name").asc_nulls_last(), F.col("id")], "ord").select(*entities.columns, "ord")
 
 
 def search_posts(posts: DataFrame, query: str, limit: int = scope.POST_LIMIT) -> DataFrame:

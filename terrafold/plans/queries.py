@@ -318,7 +318,7 @@ _RANKED = "WITH d AS (" + _DEALS + "), r AS (SELECT p.name, d.* FROM places p JO
 
 def _ranking(t: Tables, metric: str) -> DataFrame:
     s = ASIA.but(deal_from="1995-01-01", deal_to="1999-12-31")
-    homes = search.query_entities(t.entities, t.admissions, t.links, t.prices, s.but(deal_from=None, deal_to=None))
+    homes = search.matching_entities(t.entities, t.admissions, t.links, t.prices, s.but(deal_from=None, deal_to=None))
     r = market.ranking(homes, t.prices, s, metric)
     # The median is compared as a whole number: an odd count's middle value is not rounded, see the unit tests.
     return r.select("id", "deal_count", "priced_count", F.floor(F.col("median_unit") + 0.5).alias("median_unit"), "total_wan", F.col("latest_date").cast("string").alias("latest_date"), F.col("earliest_date").cast("string").alias("earliest_date"), "rank")
