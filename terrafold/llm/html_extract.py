@@ -25,6 +25,10 @@ MARKS = frozenset(
     "footer header masthead sidebar aside rail comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager skip toolbar widget contentinfo complementary search".split()
 )
+# Words that also name the layout around an article: they do not hold for an element that has an article inside.
+LAYOUT = frozenset("header masthead sidebar rail widget menu nav navbar banner toolbar".split())
+# Words that mark an article element itself as something else.
+NOT_THE_ARTICLE = frozenset("comment comments reply replies related recommended sponsored promo ad ads advert".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
 SCOPE = frozenset("article main body section div table ul ol dl nav aside footer header form blockquote td th li".split())
 
@@ -38,9 +42,11 @@ SPACE = re.compile(r"\s+")
 class Events(HTMLParser):
     """Turns a page's events into lines: a line is the text of one block, with its tags and its containers."""
 
-    def __init__(self) -> None:
+    def __init__(self, marks: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.marks = marks
         self.open: list[tuple[str, int, bool]] = []  # element, its number, is boilerplate
+        self.layout: set[int] = set()  # boilerplate only if no article is inside
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.kind: dict[int, str] = {}
         self.text: list[str] = []
@@ -54,6 +60,7 @@ class Events(HTMLParser):
 
     def pop(self, to: int) -> None:
         self.noisy -= sum(noise for _, _, noise in self.open[to:])
+        self.layout.difference_update(n for _, n, _ in self.open[to:])
         del self.open[to:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -71,15 +78,22 @@ class Events(HTMLParser):
                     continue
                 if self.open[at][0] in SCOPE:
                     break
-        noise = tag in NOISE
-        if tag == "header" and any(t in SEMANTIC for t, _, _ in self.open):
-            noise = False  # an article's own header: its headings count, see handle_data
-        if not noise and tag not in SEMANTIC and tag not in ("body", "html") and attrs:
-            words = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
-            noise = bool(words) and not MARKS.isdisjoint(re.split(r"[^a-z]+", words))
+        within = any(t in SEMANTIC for t, _, _ in self.open)
+        # An article's own header is none: its headings count, see handle_data.
+        noise = tag in NOISE and not (tag == "header" and within)
+        layout = False
+        if self.marks and not noise and attrs and tag not in ("body", "html"):
+            words = set(re.split(r"[^a-z]+", " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()))
+            found = words & (NOT_THE_ARTICLE if tag in SEMANTIC else MARKS - {"header"} if within else MARKS)
+            noise, layout = bool(found), found <= LAYOUT
+        if tag in SEMANTIC and not noise:
+            self.noisy -= sum(x and n in self.layout for _, n, x in self.open)
+            self.open = [(t, n, x and n not in self.layout) for t, n, x in self.open]
         self.number += 1
         self.kind[self.number] = tag
         self.noisy += noise
+        if noise and layout:
+            self.layout.add(self.number)
         self.open.append((tag, self.number, noise))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -121,13 +135,17 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     """
     if not html:
         return ""
-    page = Events()
     # A tag that the end of the page cuts off is markup, not text.
     cut = html.rfind("<")
-    page.feed(html[:cut] if cut >= 0 and ">" not in html[cut:] and re.match(r"</?[A-Za-z!]|<$", html[cut:]) else html)
-    page.close()
-    page.end_line()
-    if not page.lines:
+    whole = html[:cut] if cut >= 0 and ">" not in html[cut:] and re.match(r"</?[A-Za-z!]|<$", html[cut:]) else html
+    for marks in (True, False):  # if attributes mark the whole page as boilerplate, only elements count
+        page = Events(marks)
+        page.feed(whole)
+        page.close()
+        page.end_line()
+        if page.lines:
+            break
+    else:
         return ""
     ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _ in page.lines]), sigma)
     content = ratios >= min(float(ratios.std()), float(ratios.max()))

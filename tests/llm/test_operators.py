@@ -197,6 +197,15 @@ def test_article_without_semantic_elements():
     assert got.count("\n\n") == 5 and "One" not in got and "x" not in got.split("\n\n")
 
 
+def test_layout_around_an_article():
+    text = "Long enough to be the content of the page, with words and words. " * 3
+    page = f'<div class="content-with-sidebar"><div class="menu">x</div><article><div class="post-header"><h1>T</h1></div><p>{text}</p></article><div id="comments"><article class="comment"><p>{text}</p></article></div></div>'
+    assert html_extract.main_text(page) == f"T\n\n{text.strip()}"
+    twice = f'<div class="with-sidebar"><article><p>{text}</p></article><article><p>b</p></article></div><nav>n</nav><p>z</p>'
+    assert html_extract.main_text(twice) == text.strip()
+    assert html_extract.main_text(f'<div class="with-sidebar"><p>{text}</p></div>') == text.strip()
+
+
 def test_odd_pages(spark):
     cases = [(1, None), (2, ""), (3, "<p>cut <b"), (4, "plain & simple"), (5, "<script>x</script>"), (6, "<article><p>" + "w " * 100_000), (7, "<p>a</p>&am"), (8, "<article><p>1 < 2</p></article>")]
     df = spark.createDataFrame([(k, "u", h, "old") for k, h in cases], "page_id long, url string, html string, text string")
