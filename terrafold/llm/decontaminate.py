@@ -19,7 +19,7 @@ RADIUS = 15
 BLOCKS = 8
 BLOCK_BITS = 64 // BLOCKS
 #: Bit counters of 20 bits, three to a long.
-LANE = 20
+LANE = 20  # so windows of up to 2**20 - 1 shingles are counted
 
 
 def tokens(text: Column) -> Column:
