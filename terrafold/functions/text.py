@@ -105,3 +105,8 @@ def literal_search(query: str, *fields: Column) -> Column:
     for f in fields:
         found = found | F.coalesce(F.contains(lower(f), lower(F.lit(query))), F.lit(False))
     return found
+
+
+def in_name_order(c: Column) -> Column:
+    """Sort key of names: Chinese by pinyin."""
+    return F.collate(c, scope.NAME_COLLATION)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import scope
+from ..functions.text import in_name_order
 from ..functions.values import median, positive, round_half_up
 from .predicates import built_matches, price_matches
 from .ranks import global_rank
@@ -56,7 +57,7 @@ def ranking(homes: DataFrame, prices: DataFrame, s: QueryState, metric: str = "c
     # Close values share a coarse key: whole counts and days, and steps of about one per cent of an amount.
     day = F.coalesce(F.unix_date("latest_date"), F.lit(-1))
     coarse = {"count": F.col("deal_count"), "latest": day}.get(metric, F.floor(F.log1p(F.greatest(F.coalesce(value, F.lit(-1)), F.lit(-0.999))) * 100) if value is not None else None)
-    return global_rank(out, [coarse], [*keys, F.col("name").asc_nulls_last(), F.col("id")], "rank")
+    return global_rank(out, [coarse], [*keys, in_name_order(F.col("name")).asc_nulls_last(), F.col("id")], "rank")
 
 
 def market_summary(prices: DataFrame, s: QueryState, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import scope
 from ..functions.geo import located
+from ..functions.text import in_name_order
 from .predicates import relation_matches
 from .state import QueryState
 
@@ -139,5 +140,5 @@ def district_fallback(entities: DataFrame, candidates: DataFrame, selected: Data
     who = entities.join(selected.select("id"), "id", "left_semi").select(F.col("id").alias("selected_id"), "district", F.col("kind").alias("s_kind"))
     pool = entities.join(candidates.select("id"), "id", "left_semi").withColumn("located", located(F.col("lat"), F.col("lng")))
     j = who.join(pool, "district").where((F.col("kind") != F.col("s_kind")) & (F.col("id") != F.col("selected_id")))
-    order = W.partitionBy("selected_id").orderBy(F.desc("located"), F.col("post_count").desc_nulls_last(), "name", "id")
+    order = W.partitionBy("selected_id").orderBy(F.desc("located"), F.col("post_count").desc_nulls_last(), in_name_order(F.col("name")), "id")
     return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("selected_id", "rank", "id", "located")

@@ -31,12 +31,13 @@ def minted_id(source: Column, record: Column, kind: Column, district: Column, ke
     )
 
 
-def resolve(records: DataFrame, entities: DataFrame, spatial_prefix: str = "osm:") -> DataFrame:
+def resolve(records: DataFrame, entities: DataFrame, spatial_prefix: str = "osm:", order: str = "record") -> DataFrame:
     """(source, record, entity_id, status, options) for records (source, record, name, kind, district, aliases).
 
     One stage of resolution: every record sees the same catalogue; run stage after stage, with minted() in between, for
     sources that come in order. Exactly one match is taken (spatial ids win over others), several are ambiguous, none is
-    unmatched; the latter two get a minted id, so records of one stage that share district and name share it.
+    unmatched; the latter two get a minted id. Of unmatched records that share source, district and name the first by
+    order mints it, and the others match it.
     A null or empty district looks into all districts.
     """
     r = records.withColumns({"district": F.coalesce(district_name(F.col("district")), F.lit("")), "__names": F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))})
@@ -49,10 +50,18 @@ def resolve(records: DataFrame, entities: DataFrame, spatial_prefix: str = "osm:
     sets = found.groupBy("source", "record").agg(F.sort_array(F.collect_set(F.when(spatial, F.col("id")))).alias("s"), F.sort_array(F.collect_set("id")).alias("a"), F.bool_or(spatial & F.col("placed")).alias("sp"), F.bool_or("placed").alias("ap"))
     sets = sets.select("source", "record", F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("a")).alias("options"), F.when(F.size("s") > 0, F.col("sp")).otherwise(F.col("ap")).alias("placed"))
     j = r.join(sets, ["source", "record"], "left").withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
-    mint = minted_id(F.col("source"), F.col("record"), F.col("kind"), F.col("district"), norm(F.col("name"), F.col("kind") == "school"))
+    key = norm(F.col("name"), F.col("kind") == "school")
     one = F.size("options") == 1
     status = F.when(one & F.col("placed"), "name_match_review_required").when(one, "same_name_unlocated").when(F.size("options") > 1, "ambiguous").otherwise("unmatched")
-    return j.select("source", "record", F.when(one, F.element_at("options", 1)).otherwise(mint).alias("entity_id"), status.alias("status"), "options", "name", "kind", "district")
+    j = j.withColumns({"__key": key, "status": status}).withColumn("__id", F.when(one, F.element_at("options", 1)).otherwise(minted_id(F.col("source"), F.col("record"), F.col("kind"), F.col("district"), F.col("__key"))))
+    # The first unmatched record of a name mints the place; the others of the stage then match that one.
+    same = W.partitionBy("source", "district", "kind", "__key", "status").orderBy(order, "record")
+    j = j.withColumns({"__first": F.first("__id").over(same), "__rn": F.row_number().over(same)})
+    later = (F.col("status") == "unmatched") & (F.col("__rn") > 1) & (F.col("__key") != "")
+    return j.select(
+        "source", "record", F.when(later, F.col("__first")).otherwise(F.col("__id")).alias("entity_id"), F.when(later, "same_name_unlocated").otherwise(F.col("status")).alias("status"),
+        F.when(later, F.array("__first")).otherwise(F.col("options")).alias("options"), "name", "kind", "district",
+    )
 
 
 def minted(resolved: DataFrame) -> DataFrame:
@@ -62,6 +71,20 @@ def minted(resolved: DataFrame) -> DataFrame:
     return first.select(F.col("entity_id").alias("id"), "kind", "name", "district", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.array().cast("array<string>").alias("aliases"))
 
 
+def resolve_stages(stages: list[DataFrame], entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources in their fixed order: each stage also sees the places that earlier ones minted.
+
+    Returns (resolved, entities with the new ones). A minted id of an earlier stage is not minted again."""
+    out, columns = None, [c for c in ("id", "kind", "name", "district", "lat", "lng", "aliases") if c in entities.columns]
+    known = entities.select(*columns)
+    for records in stages:
+        found = resolve(records, known)
+        new = minted(found).select(*columns).join(known.select("id"), "id", "left_anti")
+        known = known.unionByName(new)
+        out = found if out is None else out.unionByName(found)
+    return out, known
+
+
 def market_identities(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """One row per (source, community, district): how its names hang together, and the place they bridge to.
 

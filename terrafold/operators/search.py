@@ -86,7 +86,7 @@ def query_entities(entities: DataFrame, admissions: DataFrame, links: DataFrame,
     ranked = found.join(official, "id", "left")
     rank = F.coalesce("candidate.rank", F.lit(scope.UNRANKED))
     coarse = [(F.col("kind") == "school_group").cast("int"), F.coalesce("group_member_count", F.lit(0)), F.coalesce("__official", F.lit(False)).cast("int"), F.col("candidate").isNotNull().cast("int"), -rank, F.coalesce("post_count", F.lit(0))]
-    return global_rank(ranked, coarse, [F.col("name").asc_nulls_last(), F.col("id")], "ord").select(*entities.columns, "ord")
+    return global_rank(ranked, coarse, [text.in_name_order(F.col("name")).asc_nulls_last(), F.col("id")], "ord").select(*entities.columns, "ord")
 
 
 def search_posts(posts: DataFrame, query: str, limit: int = scope.POST_LIMIT) -> DataFrame:

@@ -25,6 +25,7 @@ MIN_TREND_POINTS = 8
 DISTRICT_FALLBACK = 8
 RANK_LABELS = 20
 UNRANKED = 9999
+NAME_COLLATION = "zh"
 
 # The public listing site whose project identifiers are kept, and the conflicting one.
 PROJECT_HOST = "m.fang.com"

@@ -304,6 +304,24 @@ def test_resolution(spark):
     assert resolve.minted(resolve.resolve(rec, cat)).count() == 3
 
 
+def test_stages_see_what_earlier_ones_minted(spark):
+    schema = "source string, record string, name string, kind string, district string, aliases array<string>"
+    cat = spark.createDataFrame([], "id string, kind string, name string, district string, lat double, lng double, aliases array<string>")
+    one = spark.createDataFrame([("candidates", "7", "甲小区", "residential", "滨江区", []), ("candidates", "8", "甲 小区", "residential", "滨江区", ["别名"])], schema)
+    two = spark.createDataFrame([("deals", "1", "乙小区", "residential", "滨江区", []), ("deals", "2", "别名", "residential", "滨江区", [])], schema)
+    three = spark.createDataFrame([("leads", "1", "乙小区", "residential", "滨江区", [])], schema)
+    out, known = resolve.resolve_stages([one, two, three], cat)
+    got = {(r.source, r.record): (r.entity_id, r.status) for r in out.collect()}
+    assert got["leads", "1"] == (got["deals", "1"][0], "same_name_unlocated") and got["deals", "2"][1] == "unmatched"
+    assert got["candidates", "8"] == (got["candidates", "7"][0], "same_name_unlocated")
+    assert known.count() == known.select("id").distinct().count() == 3
+
+
+def test_names_sort_by_pinyin(spark):
+    names = spark.createDataFrame([("张",), ("李",), ("阿",), ("王",)], "name string")
+    assert [r.name for r in names.orderBy(text.in_name_order(F.col("name"))).collect()] == ["阿", "李", "王", "张"]
+
+
 def test_market_identities(spark):
     rows = [("fang", "1", "d", "甲", "甲苑", "deal"), ("fang", "1", "d", "甲苑", None, "listing"), ("fang", "2", "d", "乙一期", "乙二期", "deal"), ("fang", "3", "d", "丙", None, "deal"), ("fang", "3", "d", "丁", None, "deal"), ("fang", "4", "d", "戊", "戊", "deal")]
     df = spark.createDataFrame(rows, "source string, community_id string, district string, community string, directory_name string, record_kind string")
