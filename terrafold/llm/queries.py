@@ -119,4 +119,62 @@ k AS (
 SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(parts) - len(kept), 0) AS BIGINT) AS n_removed,
        CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text
 FROM k""",
+    "op9_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}
+), r AS (
+  SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT p.x, r.c FROM r JOIN p ON p.y = r.x
+), k AS (SELECT x, min(c) AS c FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, k.c AS component_id, k.c = v.vec_id AS kept FROM v JOIN k ON k.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id""",
+    "op3_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13
+), k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM g),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+h AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM k JOIN f USING (k) WHERE first < doc_id),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS kept, count(*) AS n FROM u LEFT JOIN h ON h.doc_id = u.doc_id AND h.i = u.i WHERE h.i IS NULL GROUP BY u.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(s.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+    "op10_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), u AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s),
+q AS (SELECT g, count(*) AS df FROM u GROUP BY g),
+o AS (SELECT u.doc_id, u.g, u.n, row_number() OVER (PARTITION BY u.doc_id ORDER BY df, u.g) AS place FROM u JOIN q ON q.g = u.g),
+x AS (SELECT doc_id, g, n FROM o WHERE place <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT c.a, c.b FROM c JOIN s y ON y.doc_id = c.a JOIN s z ON z.doc_id = c.b WHERE 100 * len(list_intersect(y.sh, z.sh)) >= 80 * (len(y.sh) + len(z.sh) - len(list_intersect(y.sh, z.sh)))),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS c FROM s UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.x),
+k AS (SELECT x, min(c) AS c FROM r GROUP BY x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, k.c AS component_id, k.c = s.doc_id AS kept FROM s JOIN k ON k.x = s.doc_id""",
+    "op2_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+i AS (SELECT item_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS g, least(5, len(ws)) AS w, len(ws) - least(5, len(ws)) + 1 AS m FROM (SELECT *, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0) t),
+c AS (SELECT item_id, g, w, m, count(*) AS n FROM i GROUP BY item_id, g, w, m),
+x AS (SELECT doc_id, i, w, len(ws) - w + 1 AS total, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d, (SELECT DISTINCT w FROM i) k WHERE len(ws) >= w) t),
+h AS (SELECT x.doc_id, c.item_id, x.i, x.w, x.total, c.m, c.g, c.n FROM x JOIN c ON c.g = x.g AND c.w = x.w),
+z AS (SELECT a.doc_id, a.item_id, a.i, a.m, least(a.m, a.total - a.i + 1) AS t, o.g, least(count(*), max(o.n)) AS same FROM h a JOIN h o ON o.doc_id = a.doc_id AND o.item_id = a.item_id AND o.i BETWEEN a.i AND a.i + a.m - 1 GROUP BY 1, 2, 3, 4, 5, 6),
+v AS (SELECT doc_id, item_id, i, sum(same) / (max(t) + max(m) - sum(same)) AS similarity FROM z GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, max(similarity) AS similarity, count(*) AS n_windows FROM v WHERE similarity >= 0.8 GROUP BY doc_id, item_id""",
+    "op7_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, 10 + 9 + 4 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?INST\]')) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]')) AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
 }
