@@ -27,8 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop each source's boilerplate lines; every document stays, n_chars follows its text."""
-    kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """Drop each source's boilerplate lines; every document stays, n_chars follows its text.
+
+    Copies of a text count once here: they are the next stage's to find, and their lines are no boilerplate."""
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), copies=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

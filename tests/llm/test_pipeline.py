@@ -24,6 +24,16 @@ def test_stages_on_planted_rows(spark, tmp_path):
     assert sum(r.taken for r in out) == pytest.approx(sum(r.size for r in out), rel=0.1)
 
 
+def test_one_of_a_large_group_of_copies_keeps_its_text(spark):
+    texts = [f"the house number {k} is by the water of {k * 7}\nits {k * 13} wheels and the road {k * 31} to it\nall rights are reserved" for k in range(60)]
+    copied = "a text that many pages repeat in full\nand that has a second line of its own"
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)] + [(k, copied, "en", "a", len(copied)) for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lined = corpus_pipeline.line_deduplication(spark, docs, SF)
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_deduplication(spark, lined, SF).collect()}
+    assert got == {k: t.rsplit("\n", 1)[0] for k, t in enumerate(texts)} | {100: copied}
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
