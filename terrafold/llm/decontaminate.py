@@ -6,7 +6,7 @@ shorter item).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small
@@ -62,6 +62,20 @@ def within_radius(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return found.select(a, b).distinct()
 
 
+def sharing_rare(grains: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """All (ck, it) where window ck has one of the item's shingles that fewest windows have: grains (ck, h), grams (it, h).
+
+    A window this similar lacks m - ceil(similarity * m) of an item's m shingles at most, repeated ones counted, so of
+    one more than that it has some; the rarest are asked for. No such pair is missed, whatever its fingerprints.
+    """
+    grains = grains.distinct()
+    known = grams.select("it", "h").join(grains.groupBy("h").agg(F.count(F.lit(1)).alias("__df")), "h", "left")
+    item = Window.partitionBy("it")
+    known = known.select("it", "h", F.row_number().over(item.orderBy(F.coalesce("__df", F.lit(0)), "h")).alias("__k"), F.count(F.lit(1)).over(item).alias("__m"))
+    rare = known.where(F.col("__k") <= F.col("__m") - F.ceil(F.lit(similarity) * F.col("__m") - F.lit(1e-9)) + 1).select("it", "h").distinct()
+    return rare.join(grains, "h").select("ck", "it").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item that a window of it repeats: key, item, similarity (best), n_windows.
 
@@ -69,7 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     start to the first of these never lowers the similarity; so the windows are those that start at a shingle of the
     benchmark and have the size of an item with that shingle, and of these the ones that have enough benchmark
     shingles at all. Windows of equal content, in whatever documents, are fingerprinted once, over their benchmark
-    shingles. Fingerprints within RADIUS bits of an item's make candidates; weighted shingle similarity (sum of the
+    shingles. Fingerprints within RADIUS bits of an item's make candidates, and so do shared rare shingles, since a few
+    similar windows of short items lie outside the radius; weighted shingle similarity (sum of the
     smaller counts over sum of the larger ones, the window's other shingles included) decides.
 
     The benchmark's shingles are broadcast up to a row limit, beyond it they are joined by shuffle. Null ids on either
@@ -111,6 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     grains = contents.select("ck", F.explode("content").alias("h"))
     pairs = within_radius(fingerprints(grains, "ck"), fingerprints(grams, "it"), "ck", "it")
+    pairs = pairs.unionByName(sharing_rare(grains, grams, similarity)).distinct()
     pairs = pairs.join(contents.select("ck", "width", "total"), "ck").join(items.select("it", "item", F.col("width").alias("__w"), (F.col("n") - F.col("width") + 1).alias("m")), "it").where("width = __w")
     x = grains.groupBy("ck", "h").agg(F.count(F.lit(1)).alias("x"))
     y = grams.groupBy("it", "h").agg(F.count(F.lit(1)).alias("y"))

@@ -108,6 +108,14 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_short_items_with_a_changed_edge_are_found(spark):
+    rng = random.Random(31)
+    items = [(k, prose(rng, 13)) for k in range(600)]
+    docs = [(k, f"{t.rsplit(' ', 1)[0]} changed" if k % 2 else f"changed {t.split(' ', 1)[1]}") for k, t in items]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(600)} == brute_contamination(docs, items)
+
+
 def test_multi_index_finds_every_fingerprint_in_the_radius(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(20)]
