@@ -387,6 +387,21 @@ def test_embedding_links_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_links_by_graph_against_brute_force(own, monkeypatch):
+    rng = np.random.default_rng(12)
+    g = rng.normal(size=(3000, 24))
+    g[2500:] = g[:500] + 0.2 * rng.normal(size=(500, 24))
+    g = embedding_dedup._unit(g)
+    q = g if own else embedding_dedup._unit(g[1000:1600] + 0.05 * rng.normal(size=(600, 24)))
+    searched, search = [], hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, x, ef: searched.append(ef) or search(self, x, ef))
+    got = {(int(a), int(b)) for x, y in embedding_dedup.links(hnsw.Graph(g.astype(np.float32)), g, q, 0.93) for a, b in zip(x, y)}
+    want = set(zip(*(x.tolist() for x in np.nonzero(q @ g.T >= 0.93))))
+    assert got == want and len(want) > (3000 if own else 500)
+    assert len(searched) > 1 and embedding_dedup.WIDE * max(searched) < len(g)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(3000, 16))
