@@ -154,8 +154,8 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
         for n in inside if ok else ():
             held[n] = held.get(n, 0) + len(text)
     total = sum(len(t) for (t, _, _), ok in zip(page.lines, content, strict=True) if ok)
-    for kinds, least in ((SEMANTIC, 0.5), (CONTAINER, share)):
-        fit = [n for n, size in held.items() if page.kind[n] in kinds and size >= least * total]
+    for kinds in (SEMANTIC, CONTAINER):
+        fit = [n for n, size in held.items() if page.kind[n] in kinds and size >= share * total]
         if fit:
             region = max(fit)  # the innermost: opened last
             return "\n\n".join(t for t, _, inside in page.lines if region in inside)

@@ -214,6 +214,13 @@ def test_layout_around_an_article():
     assert html_extract.main_text(f'<div class="with-sidebar"><p>{text}</p></div>') == text.strip()
 
 
+def test_text_split_over_two_articles():
+    parts = [" ".join(f"{w} part has words enough to be content, number {k}." for k in range(n)) for w, n in (("first", 12), ("second", 8))]
+    articles = "".join(f"<article><p>{p}</p></article>" for p in parts)
+    for page in (f"<main>{articles}</main>", f"<body>{articles}</body>", f"<main><article><p>{parts[0]}</p></article><p>{parts[1]}</p></main>"):
+        assert html_extract.main_text(page) == "\n\n".join(parts)
+
+
 def test_odd_pages(spark):
     cases = [(1, None), (2, ""), (3, "<p>cut <b"), (4, "plain & simple"), (5, "<script>x</script>"), (6, "<article><p>" + "w " * 100_000), (7, "<p>a</p>&am"), (8, "<article><p>1 < 2</p></article>")]
     df = spark.createDataFrame([(k, "u", h, "old") for k, h in cases], "page_id long, url string, html string, text string")
