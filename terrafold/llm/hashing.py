@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,25 +13,27 @@ from .common import ship
 #: Bytes of text that are hashed at a time; a longer text is hashed alone, whole.
 CHUNK = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WINDOW = np.uint64(0xD6E8FEB86659FD93)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A word is hashed as a polynomial in its bytes modulo two primes, each with a base of its own: unlike powers modulo
+#: 2^64, no pattern of bytes makes two words meet in both but by chance (about 1 in 2^62, times the square of their length).
+PRIMES, BASES = (2147483647, 2147483629), (1540483477, 1779033703)
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 1 << 16
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for at, base in ((0, _BASE), (1, _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[at] = np.multiply.accumulate(table)
-    return _powers[0][:n], _powers[1][:n]
+def powers(k: int) -> np.ndarray:
+    """Powers of a base modulo its prime, for every place in a word."""
+    if k not in _powers:
+        table = np.ones(1, np.int64)
+        while len(table) < LONG_WORD:
+            table = np.concatenate([table, table * pow(BASES[k], len(table), PRIMES[k]) % PRIMES[k]])
+        _powers[k] = table
+    return _powers[k]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,10 +70,15 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     last = np.zeros(len(data), bool)
     last[offsets[1:][offsets[1:] > 0] - 1] = True
     ends = np.flatnonzero(inside & (last | np.concatenate((~inside[1:], [True])))) + 1
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    hashed = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    value = data[inside].astype(np.int64) + 1
+    parts = [np.add.reduceat(value * powers(k)[place % LONG_WORD], first) % PRIMES[k] if len(first) else first for k in (0, 1)]
+    hashed = (parts[0] << 32 | parts[1]).astype(np.uint64)
+    for k in np.flatnonzero(lengths >= LONG_WORD):
+        hashed[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    hashed = mixed(hashed)
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashed
 
 

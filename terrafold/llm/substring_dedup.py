@@ -3,13 +3,16 @@
 A window (WIDTH consecutive words) has as fingerprint the least hash of the PROBE-word runs in it, so neighbouring windows
 mostly share one. A batch of documents becomes a run: its distinct fingerprints with a holder, sorted, in buckets by hash,
 written once. A new run is merge-joined bucket by bucket with the older ones; documents whose fingerprints meet are
-candidates. Candidates are verified on 96-bit hashes of their whole windows. Compaction merges runs into one.
+candidates. Candidates are verified on 96-bit hashes of their whole windows. Once there are MAX_RUNS runs, the next merge
+writes them, and the new one, as one compacted run in the same pass. A log can live in a folder, for batches to come.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import _path, drop_saved, saved, ship, small_batches
 from .hashing import mixed, rolling, text_chunks, words
 
 WIDTH, PROBE = 13, 5
@@ -25,8 +28,10 @@ WIDTH, PROBE = 13, 5
 BUCKET_CHARS = 16_000_000
 #: Bytes of texts that are hashed together; what repeats inside such a chunk is settled there and sent on once.
 CHUNK = 1 << 21
-#: Runs from which on they are compacted.
-MAX_RUNS = 8
+#: Characters of text in a partition of the texts' exchange, about.
+PARTITION_CHARS = 64_000_000
+#: A batch that finds so many runs compacts them; a whole table is taken in so many batches, so it meets that.
+MAX_RUNS, BATCHES = 2, 3
 _CHECK = np.uint64(0xA0761D6478BD642F)
 RUN = "bucket int, base long, keys binary, checks binary, docs binary"
 
@@ -106,10 +111,36 @@ def _frame(rows: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
 
 
 class FingerprintLog:
-    """Sorted immutable runs of fingerprints, each a table in the shared folder."""
-
-    def __init__(self, n_buckets: int, width: int = WIDTH) -> None:
-        self.n_buckets, self.width, self.runs = n_buckets, width, []
+    """Sorted immutable runs of fingerprints, each a table: in a folder that outlives the session, if one is named."""
+
+    def __init__(self, n_buckets: int, width: int = WIDTH, folder: str | None = None) -> None:
+        self.n_buckets, self.width, self.folder, self.runs, self.version = n_buckets, width, folder, [], 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintLog:
+        """The log as its last complete batch left it: the newest of the folder's listings names the runs."""
+        at, fs = _path(spark, folder)
+        listed = [f.getPath().getName() for f in fs.listStatus(at)]
+        found = [n for n in listed if n.startswith("listing-") and fs.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0])]
+        row = spark.read.parquet(f"{folder}/{max(found)}").head()
+        log = cls(row["n_buckets"], row["width"], folder)
+        log.version, log.runs = int(max(found)[8:]), [spark.read.schema(RUN).parquet(f"{folder}/{n}") for n in row["runs"]]
+        return log
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        if self.folder is None:
+            return saved(rows, "run")
+        small_batches(rows.sparkSession)
+        path = f"{self.folder}/run-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(RUN).parquet(path)
+
+    def _list(self, spark: SparkSession) -> None:
+        if self.folder is not None:
+            self.version += 1
+            names = [r.inputFiles()[0].rsplit("/", 2)[1] for r in self.runs]
+            row = spark.createDataFrame([(self.n_buckets, self.width, names)], "n_buckets int, width int, runs array<string>")
+            row.coalesce(1).write.parquet(f"{self.folder}/listing-{self.version:012d}")
 
     def _run(self, docs: DataFrame) -> DataFrame:
         n_buckets, width = self.n_buckets, self.width
@@ -131,8 +162,11 @@ class FingerprintLog:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Append a run for the rows (doc, text); returns the candidates (doc, keys): fingerprints shared within the
-        batch or with an older run, for the batch's documents and for the older holders."""
-        run = saved(self._run(docs), "run")
+        batch or with an older run, for the batch's documents and for the older holders.
+
+        Where MAX_RUNS runs are there already, the same merge also writes all of them and the new one as one run, with
+        the smallest holder of each fingerprint; the others have been candidates before."""
+        run, due = self._kept(self._run(docs)), len(self.runs) >= MAX_RUNS
 
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
             fresh = rows["fresh"].to_numpy(bool)
@@ -143,20 +177,28 @@ class FingerprintLog:
             shared = ~new
             shared[:-1] |= ~new[1:]
             shared &= np.isin(key, fresh_keys)
-            return _frame(_by_doc(doc[shared], key[shared]))
+            out = _Out()
+            out.rows += [(-1, d, k, None, b"") for d, k in _by_doc(doc[shared], key[shared])]
+            if due:
+                out.to_buckets(np.full(new.sum(), rows["bucket"].iloc[0]), key[new], doc[new])
+            return out.batch().to_pandas()
 
         rows = run.where("bucket >= 0").withColumn("fresh", F.lit(True))
         for old in self.runs:
             rows = rows.unionByName(old.where("bucket >= 0").withColumn("fresh", F.lit(False)))
-        met = rows.groupBy("bucket").applyInPandas(merge, "doc long, keys binary")
-        self.runs.append(run)
-        found = saved(met.unionByName(run.where("bucket < 0").select(F.col("base").alias("doc"), "keys")), "candidates")
-        if len(self.runs) >= MAX_RUNS:
-            self.compact()
+        met = rows.groupBy("bucket").applyInPandas(merge, RUN)
+        met = self._kept(met) if due else met
+        found = saved(met.unionByName(run).where("bucket < 0").select(F.col("base").alias("doc"), "keys"), "candidates")
+        gone = [*self.runs, run] if due else []
+        self.runs = [met] if due else [*self.runs, run]
+        self._list(docs.sparkSession)
+        if self.folder is None:
+            for old in gone:
+                drop_saved(old)
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one, with the smallest holder of each fingerprint."""
+        """Merge all runs into one now, with the smallest holder of each fingerprint."""
 
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
             key, doc, _ = _unpacked(rows)
@@ -165,10 +207,10 @@ class FingerprintLog:
             out.to_buckets(np.full(new.sum(), rows["bucket"].iloc[0]), key[new], doc[new])
             return out.batch().to_pandas()
 
-        rows = self.runs[0]
-        for old in self.runs[1:]:
-            rows = rows.unionByName(old)
-        self.runs = [saved(rows.where("bucket >= 0").groupBy("bucket").applyInPandas(merge, RUN), "run")]
+        if self.runs:
+            rows = reduce(DataFrame.unionByName, self.runs)
+            self.runs = [self._kept(rows.where("bucket >= 0").groupBy("bucket").applyInPandas(merge, RUN))]
+            self._list(rows.sparkSession)
 
 
 def _repeated(with_parts: DataFrame, n_buckets: int, width: int) -> DataFrame:
@@ -248,7 +290,7 @@ def gathered(found: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.collect_list("keys").alias("parts"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
     """One row per input row: doc, n_words, n_removed, kept (its other words, joined by spaces), kept_sha256.
 
     A word goes if a window that covers it has a word sequence that also starts in a document of smaller id; windows are
@@ -263,14 +305,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     read = docs.select(F.col(key).cast("long").alias("doc"), F.col(text) if text == "text" else F.col(text).alias("text"))
     known = read.where("doc is not null")
     seen = known.agg(F.sum(F.length("text")), F.percentile_approx("doc", F.array(*[F.lit(k / batches) for k in range(1, batches)]) if batches > 1 else F.array(F.lit(1.0)), F.lit(1000))).head()
-    log = FingerprintLog(max(16, -(-(seen[0] or 0) // BUCKET_CHARS)), width)
+    chars = seen[0] or 0
+    log = FingerprintLog(max(16, -(-chars // BUCKET_CHARS)), width)
     cuts = sorted(set(seen[1] or [])) if batches > 1 else []
-    candidates = None
+    candidates = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = known if low is None else known.where(F.col("doc") > low)
-        found = log.add(part if high is None else part.where(F.col("doc") <= high))
-        candidates = found if candidates is None else candidates.unionByName(found)
-    parts = saved(gathered(candidates), "candidate-parts")
+        candidates.append(log.add(part if high is None else part.where(F.col("doc") <= high)))
+    parts = saved(gathered(reduce(DataFrame.unionByName, candidates)), "candidate-parts")
+    for old in [*candidates, *log.runs]:
+        drop_saved(old)
+    spread = -(-chars // PARTITION_CHARS)
+    if spread > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        known = known.repartition(spread, "doc")
     joined = known.join(parts, "doc", "left").select("doc", "text", "parts")
     repeated = gathered(_repeated(joined, log.n_buckets, width))
     out = known.join(repeated, "doc", "left").select("doc", "text", "parts")
