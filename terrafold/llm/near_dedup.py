@@ -26,6 +26,8 @@ SKETCH = [f"s{k}" for k in range(BITS // 64)]
 SLACK = 0.2
 #: Bands of more classes than this are compared in blocks of so many, inside tasks; a pair there is never a row.
 SMALL_BAND, BLOCK = 32, 1024
+#: Bytes of sets in a block, about: blocks of long texts have fewer of them.
+BLOCK_BYTES = 64 << 20
 #: Document ids that are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles hashed at a time for samples.
@@ -177,14 +179,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sketches sort out candidates before the sets are fetched or compared.
 
     Null and empty texts and texts without words have no shingles and link with nothing. Null ids link with nothing and
-    have a null component_id and are kept. Rows that share an id are one document. An empty table gives no rows; columns
-    other than key and text are ignored.
+    have a null component_id and are kept. Rows that share an id are one document: if their texts differ, the set of the
+    smallest digest is compared, and n_shingles is each row's own. An empty table gives no rows; columns other than key
+    and text are ignored.
     """
     sig = saved(signatures(docs, key, text, width, lower), "signatures")
     full = sig.where("n > 0 and doc is not null")
-    reps = saved(full.groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
-    at = F.col("sig.doc") == F.col("reps.rep")
-    stands = full.alias("sig").join(reps.select("rep").distinct().alias("reps"), at, "left_semi").dropDuplicates(["doc"])
+    # A document has the set of the smallest digest among the rows of its id.
+    own = full.groupBy("doc").agg(F.min("digest").alias("digest"))
+    reps = saved(own.groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
+    stands = full.join(reps.select(F.col("rep").alias("doc"), "digest"), ["doc", "digest"], "left_semi").dropDuplicates(["doc"])
     stands = saved(stands, "class-signatures")
     rows = stands.select(F.explode("bands").alias("band"), "doc")
     first = rows.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "leader")
@@ -201,7 +205,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         needed = saved(needed.distinct(), "needed")
         if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
-        return saved(packed_sets(source.join(needed, "doc", "left_semi"), width, lower).dropDuplicates(["doc"]), "sets")
+        sets = packed_sets(source.join(needed, "doc", "left_semi"), width, lower).where(F.octet_length("shingles") > 0)
+        return saved(sets.groupBy("doc").agg(F.min_by("shingles", F.md5("shingles")).alias("shingles")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = saved(judged(pairs), "candidates")
@@ -223,7 +228,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     many = mixed_bands.where(F.col("size") > SMALL_BAND)
     tied = components(many.select(F.col("doc").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "doc", "component": "cluster"})
-    sized = tied.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int")
+    sized = tied.join(slim.select("doc", "n"), "doc").groupBy("cluster").agg(blocks.alias("blocks"))
     tied = saved(tied.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "clusters")
     tied = tied.join(sets_of(tied.select("doc")), "doc").join(slim, "doc").join(many.groupBy("doc").agg(F.min("part").alias("part")), "doc")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -231,7 +237,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     blocked = saved(tied.select("cluster", "low", "high", "block", "doc", "part", "n", "shingles", *SKETCH).groupBy("cluster", "low", "high").applyInArrow(block_links(percent), "a long, b long"), "links")
     final = saved(components(star.unionByName(more).unionByName(blocked)), "components")
 
-    out = sig.join(reps, "digest", "left").join(final.withColumnsRenamed({"node": "rep", "component": "__c"}), "rep", "left")
+    out = sig.join(own.join(reps, "digest").select("doc", "rep"), "doc", "left").join(final.withColumnsRenamed({"node": "rep", "component": "__c"}), "rep", "left")
     comp = F.when(F.col("n") > 0, F.coalesce("__c", "rep", "doc")).otherwise(F.col("doc"))
     out = out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), comp).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
