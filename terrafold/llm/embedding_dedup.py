@@ -20,7 +20,7 @@ SHARD = 8192
 EF = 48
 #: Queries of each pair of shards that are audited against brute force, and the share of their links to be found.
 AUDIT, RECALL = 128, 1.0
-#: A beam of more than a shard's vectors divided by this costs more than comparing with all of them, which is done then.
+#: A query whose beam is full of links gets a wider one up to a shard's vectors divided by this; beyond, it is compared.
 WIDE = 8
 #: Beam results this much below the threshold are verified in double precision too.
 MARGIN = 1e-4
@@ -35,37 +35,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def links(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float):
     """Yields (query rows, graph rows) of all pairs of at least this cosine, for blocks of the queries q (unit, double).
 
-    The beam widens until an audited sample misses no link; a query whose whole beam is above the threshold is searched
-    again with a wider one, at last against all vectors.
+    Every query is searched in the graph, whatever the shard's size. The beam widens until an audited sample misses no
+    link, at last to the whole graph; should that miss one too (a part that cannot be reached), all is compared. A query
+    whose whole beam is above the threshold has more links than the beam holds: it is searched again with a wider one
+    while that is cheaper than comparing it with the shard, and then compared, so that no link of a dense group is lost.
     """
     n, low = len(exact), threshold - MARGIN
     sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     truth = (q[sample] @ exact.T) >= low
-    ef = EF
-    while WIDE * ef < n:
+    ef, sound = min(EF, n), False
+    while not sound:
         ids, sims = graph.search(q[sample].astype(np.float32), ef)
         hit = (ids >= 0) & (sims >= low - MARGIN)
         found = np.zeros_like(truth)
         found[np.nonzero(hit)[0], ids[hit]] = True
-        full = hit.all(1)  # these get a wider beam anyway
-        if (found & truth)[~full].sum() >= RECALL * truth[~full].sum():
+        full = hit.all(1) & (ef < n)  # these get a wider beam anyway
+        sound = (found & truth)[~full].sum() >= RECALL * truth[~full].sum()
+        if ef == n:
             break
-        ef *= 2
+        ef = ef if sound else min(2 * ef, n)
     for at in range(0, len(q), BLOCK):
         rows, beam = np.arange(at, min(len(q), at + BLOCK)), ef
-        while len(rows):
-            if WIDE * beam >= n:
-                a, b = np.nonzero((q[rows] @ exact.T) >= threshold)
-                yield rows[a], b
-                break
+        while len(rows) and sound and (beam == ef or WIDE * beam < n):
             ids, sims = graph.search(q[rows].astype(np.float32), beam)
             hit = (ids >= 0) & (sims >= low - MARGIN)
-            full = hit.all(1)
+            full = hit.all(1) & (beam < n)
             a, k = np.nonzero(hit & ~full[:, None])
             b = ids[a, k]
             sure = np.einsum("kd,kd->k", q[rows[a]], exact[b]) >= threshold
             yield rows[a[sure]], b[sure]
             rows, beam = rows[full], 4 * beam
+        if len(rows):
+            a, b = np.nonzero((q[rows] @ exact.T) >= threshold)
+            yield rows[a], b
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
