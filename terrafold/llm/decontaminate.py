@@ -6,6 +6,8 @@ shorter item).
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,17 @@ from .common import saved, small
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Fingerprints of 64 bits match within this distance. Eight blocks of eight bits: of 15 differing bits, some block has
-#: one at most, so probing each block's value and its eight neighbours finds every fingerprint within the radius.
+#: Fingerprints of 64 bits match within this distance. Four blocks of sixteen bits: of 15 differing bits, some block has
+#: three at most, so blocks that meet after one flip on the windows' side and two on the items' find every fingerprint
+#: within the radius.
 RADIUS = 15
-BLOCKS = 8
+BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
-#: Bit counters of 20 bits, three to a long.
-LANE = 20  # so windows of up to 2**20 - 1 shingles are counted
+FLIPS = (1, 2)
+#: Bit counters of 31 bits, two to a long: an array cannot have more elements than one counts.
+LANE = 31
+#: First words that a row of windows covers, so that a row's size does not go with the square of a document's matches.
+SEGMENT = 512
 
 
 def tokens(text: Column) -> Column:
@@ -37,10 +43,10 @@ def shingles(words: Column, width: int) -> Column:
 
 def fingerprints(rows: DataFrame, key: str) -> DataFrame:
     """(key, fp): the SimHash of each key's shingle hashes h, every occurrence counting (that is the weight)."""
-    bit = lambda b: F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(1)) if b < 64 else F.lit(0)
-    lanes = [F.sum(F.shiftleft(bit(b + 2), 2 * LANE) + F.shiftleft(bit(b + 1), LANE) + bit(b)).alias(f"l{b}") for b in range(0, 64, 3)]
+    bit = lambda b: F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(1))
+    lanes = [F.sum(F.shiftleft(bit(b + 1), LANE) + bit(b)).alias(f"l{b}") for b in range(0, 64, 2)]
     sums = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *lanes)
-    count = lambda b: F.shiftrightunsigned(F.col(f"l{b - b % 3}"), LANE * (b % 3)).bitwiseAND(F.lit((1 << LANE) - 1))
+    count = lambda b: F.shiftrightunsigned(F.col(f"l{b - b % 2}"), LANE * (b % 2)).bitwiseAND(F.lit((1 << LANE) - 1))
     fp = F.lit(0).cast("long")
     for b in range(64):
         fp = fp.bitwiseOR(F.when(2 * count(b) > F.col("__n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
@@ -51,14 +57,19 @@ def block(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
-def within_radius(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """All (a, b) whose fingerprints differ in RADIUS bits at most: left (a, fp), right (b, fp), right being the smaller side."""
-    probes = F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("fp"), k).alias("v")) for k in range(BLOCKS)])
-    masks = F.array(F.lit(0), *[F.lit(1 << j) for j in range(BLOCK_BITS)])
-    near = F.flatten(F.transform(probes, lambda p: F.transform(masks, lambda m: F.struct(p["k"].alias("k"), p["v"].bitwiseXOR(m).alias("v")))))
-    x = left.select(a, "fp", F.explode(probes).alias("__p"))
-    y = right.select(b, F.col("fp").alias("__fp"), F.explode(near).alias("__p"))
-    found = x.join(y, "__p").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= RADIUS)
+def probes(fp: Column, flips: int) -> Column:
+    """(block, value) of each block of a fingerprint and of all that differ from it in so many bits at most."""
+    masks = [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(BLOCK_BITS), k)]
+    blocks = F.array(*[F.struct(F.lit(k).alias("k"), block(fp, k).alias("v")) for k in range(BLOCKS)])
+    masked = lambda p: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(p["k"].alias("k"), p["v"].bitwiseXOR(m).alias("v")))
+    return F.flatten(F.transform(blocks, masked))
+
+
+def within_radius(left: DataFrame, right: DataFrame, a: str, b: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """All (a, b) of equal `on` whose fingerprints differ in RADIUS bits at most: left (a, fp), right (b, fp)."""
+    x = left.select(a, "fp", *on, F.explode(probes(F.col("fp"), FLIPS[0])).alias("__p"))
+    y = right.select(b, F.col("fp").alias("__fp"), *on, F.explode(probes(F.col("fp"), FLIPS[1])).alias("__p"))
+    found = x.join(y, ["__p", *on]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= RADIUS)
     return found.select(a, b).distinct()
 
 
@@ -79,13 +90,13 @@ def sharing_rare(grains: DataFrame, grams: DataFrame, similarity: float) -> Data
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item that a window of it repeats: key, item, similarity (best), n_windows.
 
-    A window has as many words as an item. It can only be similar to an item if it has a shingle of it, and moving its
-    start to the first of these never lowers the similarity; so the windows are those that start at a shingle of the
-    benchmark and have the size of an item with that shingle, and of these the ones that have enough benchmark
-    shingles at all. Windows of equal content, in whatever documents, are fingerprinted once, over their benchmark
-    shingles. Fingerprints within RADIUS bits of an item's make candidates, and so do shared rare shingles, since a few
-    similar windows of short items lie outside the radius; weighted shingle similarity (sum of the
-    smaller counts over sum of the larger ones, the window's other shingles included) decides.
+    A window has as many words as an item and is compared with items of that size. It can only be similar to an item if
+    it has a shingle of it, and moving its start to the first of these never lowers the similarity; so the windows are
+    those that start at a shingle of the benchmark and have the size of an item with that shingle. Windows of equal
+    content, in whatever documents, are fingerprinted once, over all of their shingles. The index gives all fingerprints
+    within RADIUS bits of an item's. That loses a few windows near the threshold (see README), so windows that share an
+    item's rarest shingles are candidates too, and none is missed. Weighted shingle similarity (sum of the smaller counts
+    over sum of the larger ones) decides.
 
     The benchmark's shingles are broadcast up to a row limit, beyond it they are joined by shuffle. Null ids on either
     side are left out (nothing could be reported); null and empty texts and items without words match nothing; repeated
@@ -103,31 +114,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for p in parts[1:]:
         grams = grams.unionByName(p)
     grams = saved(grams, "item-shingles")
-    vocabulary = small(saved(grams.select("width", "h").distinct(), "item-vocabulary"))
-    sizes = small(saved(grams.select("width", "h", "n").distinct(), "item-sizes"))
+    vocabulary = small(saved(grams.groupBy("width", "h").agg(F.collect_set("n").alias("sizes")), "item-vocabulary"))
+    longest = items.agg(F.max("n")).head()[0]
 
-    read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), tokens(F.col(text)).alias("words"))
+    read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     hits = None
     for w in widths:
-        found = read.select("doc", "row", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"), w)).alias("pos", "h"))
-        found = found.join(vocabulary.where(F.col("width") == w), "h").select("doc", "row", "n_words", F.lit(w).alias("width"), "pos", "h")
+        found = read.select("doc", "row", F.posexplode(shingles(tokens(F.col("text")), w)).alias("pos", "h"))
+        found = found.join(vocabulary.where(F.col("width") == w), "h").select("doc", "row", F.lit(w).alias("width"), "pos", "sizes")
         hits = found if hits is None else hits.unionByName(found)
-    per_doc = hits.groupBy("doc", "row", "n_words", "width").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hits"))
-    per_doc = saved(per_doc, "hits")
-
-    starts = per_doc.select("doc", "n_words", "width", "hits", F.explode("hits").alias("__s")).select("doc", "n_words", "width", "hits", F.col("__s.pos").alias("pos"), F.col("__s.h").alias("h"))
-    spans = starts.join(sizes, ["width", "h"]).select("doc", "pos", "width", "n", "n_words", "hits")
-    inside = F.transform(F.filter("hits", lambda x: (x["pos"] >= F.col("pos")) & (x["pos"] <= F.col("pos") + F.col("n") - F.col("width"))), lambda x: x["h"])
-    total = F.least(F.col("n"), F.col("n_words") - F.col("pos")) - F.col("width") + 1
-    spans = spans.select("doc", "pos", "width", "n", total.alias("total"), inside.alias("content"))
-    spans = spans.where(F.size("content") >= F.lit(similarity) * F.greatest(F.col("total"), F.lit(1)))
-    spans = saved(spans.withColumn("ck", F.xxhash64("width", "total", "content")), "windows")
-    contents = saved(spans.groupBy("ck").agg(F.first("width").alias("width"), F.first("total").alias("total"), F.first("content").alias("content")), "contents")
+    # Repeated rows are one: their hits are the same set.
+    parts = hits.groupBy("doc", "row", "width", (F.col("pos") / SEGMENT).cast("int").alias("seg")).agg(F.collect_set(F.struct("pos", "sizes")).alias("hits"))
+    per_doc = saved(parts.groupBy("doc", "row", "width").agg(F.collect_list(F.struct("seg", "hits")).alias("segs")), "hits")
+
+    spans = None
+    for w in widths:
+        own = read.join(small(per_doc.where(F.col("width") == w)), ["doc", "row"]).select("doc", "segs", shingles(tokens(F.col("text")), w).alias("sh"))
+        part = lambda s: F.struct(s["seg"].alias("seg"), s["hits"].alias("hits"), F.slice("sh", s["seg"] * SEGMENT + 1, SEGMENT + longest).alias("sh"))
+        own = own.select("doc", F.explode(F.transform("segs", part)).alias("s")).select("doc", "s.*")
+        window = lambda x: F.transform(x["sizes"], lambda n: F.struct(x["pos"].alias("pos"), n.alias("n"), F.slice("sh", x["pos"] - F.col("seg") * SEGMENT + 1, n - w + 1).alias("content")))  # noqa: E731, B023
+        own = own.select("doc", F.explode(F.flatten(F.transform("hits", window))).alias("s")).select("doc", F.lit(w).alias("width"), "s.*")
+        spans = own if spans is None else spans.unionByName(own)
+    spans = saved(spans.withColumn("ck", F.xxhash64("width", "n", "content")).distinct(), "windows")
+    contents = saved(spans.groupBy("ck").agg(F.first("width").alias("width"), F.first("n").alias("n"), F.first("content").alias("content")), "contents")
 
     grains = contents.select("ck", F.explode("content").alias("h"))
-    pairs = within_radius(fingerprints(grains, "ck"), fingerprints(grams, "it"), "ck", "it")
+    size = lambda rows, k: rows.select(k, "n", "width").distinct()
+    windows = saved(fingerprints(grains, "ck").join(size(contents, "ck"), "ck"), "window-prints")
+    prints = saved(fingerprints(grams, "it").join(size(items, "it"), "it"), "item-prints")
+    pairs = within_radius(windows, prints, "ck", "it", ("n", "width"))
     pairs = pairs.unionByName(sharing_rare(grains, grams, similarity)).distinct()
-    pairs = pairs.join(contents.select("ck", "width", "total"), "ck").join(items.select("it", "item", F.col("width").alias("__w"), (F.col("n") - F.col("width") + 1).alias("m")), "it").where("width = __w")
+    pairs = pairs.join(contents.select("ck", "n", "width", F.size("content").alias("total")), "ck").join(items.select("it", "item", F.col("n").alias("__n"), F.col("width").alias("__w"), (F.col("n") - F.col("width") + 1).alias("m")), "it").where("width = __w and n = __n")
     x = grains.groupBy("ck", "h").agg(F.count(F.lit(1)).alias("x"))
     y = grams.groupBy("it", "h").agg(F.count(F.lit(1)).alias("y"))
     both = pairs.join(x, "ck").join(y, ["it", "h"]).groupBy("ck", "it", "item", "total", "m").agg(F.sum(F.least("x", "y")).alias("same"))
