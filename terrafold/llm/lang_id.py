@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, small_batches
 
 # Language families by ISO 639 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -22,10 +22,9 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "ne", "pa", "gu", "ur", "si"),
 }
 
-#: Labelled rows that the models learn from, about so many of each language.
-TRAIN_ROWS_PER_LANG = 1200
-#: Languages at most that a model tells apart (those with the most rows).
-MAX_LANGS = 200
+#: Labelled rows that the models learn from, about: so many of each language, and of all together (many languages share
+#: these alike, one row each at least). The driver holds 16 KB for each.
+TRAIN_ROWS_PER_LANG, TRAIN_ROWS = 1200, 16_000
 #: Hashed character n-grams (of UTF-8 bytes) make so many features.
 N_FEATURES = 4096
 ORDERS = (1, 2, 3, 4)
@@ -63,16 +62,16 @@ GAPS[123:128] = 32
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by dual coordinate descent; y is +1 or -1. Deterministic."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(0)
-    diag = (x * x).sum(1) + 0.5 / c
+    w, bias, alpha, rng = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.random.default_rng(0)
+    diag = np.einsum("kd,kd->k", x, x) + 1 + 0.5 / c
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (x[i] @ w) - 1 + 0.5 / c * alpha[i]) / diag[i], 0.0) - alpha[i]
+            step = max(alpha[i] - (y[i] * (x[i] @ w + bias) - 1 + 0.5 / c * alpha[i]) / diag[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
                 w += step * y[i] * x[i]
-    return w[:-1].astype(np.float32), float(w[-1])
+                bias += step * y[i]
+    return w.astype(np.float32), float(bias)
 
 
 @dataclass
@@ -130,25 +129,31 @@ def fit(x: np.ndarray, lang: list[str], families: Mapping[str, tuple[str, ...]]
     return model
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Model:
-    """Fit on a bounded sample of labelled rows: about rows_per_lang of each language, those with the lowest key hash.
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = TRAIN_ROWS_PER_LANG, rows_in_all: int = TRAIN_ROWS) -> Model:
+    """Fit on a bounded sample of labelled rows: about rows_per_lang distinct rows of each language, fewer if that makes
+    more than rows_in_all, those with the lowest hash of key and text (a null key is one like others; repeated rows teach
+    once). No language is left out.
 
-    Rows with null text or label, or without a letter, teach nothing. Only the sample's features reach the driver
-    (rows_per_lang * languages * 4 KB at most). Without any row the model predicts und.
+    Rows with null text or label, or without a letter, teach nothing. Only the languages' counts and the sample's features
+    reach the driver (4 KB a row, 16 KB while it learns). Without any row the model predicts und.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return Model()
-    draw, share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)), F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1_000_000, -(-1_000_000 * rows_per_lang // n)))).otherwise(share)
+    wanted = max(1, min(rows_per_lang, rows_in_all // len(counts)))
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 40))
+    shares = [(name, min(1 << 40, -(-(1 << 40) * wanted // n))) for name, n in counts.items()]
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "__lang string, __share long"))  # a row a language
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"key": p["key"], "lang": p["lang"], "x": [(features(t) * 255).round().astype(np.uint8).tobytes() for t in p["text"]]})
 
-    got = rows.where(draw < share).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(encode, "key string, lang string, x binary").toPandas()
+    drawn = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("__draw"))
+    drawn = drawn.join(shares, F.col("lang") == F.col("__lang")).where("__draw < __share").select("key", "text", "lang").distinct()
+    got = drawn.mapInPandas(encode, "key string, lang string, x binary").toPandas()
     got = got.sort_values(["lang", "key", "x"], kind="stable", na_position="first")
     x = np.stack([np.frombuffer(b, np.uint8) for b in got["x"]]).astype(np.float32)
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
@@ -161,7 +166,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
     Texts are read whole. Null texts and texts without a letter (empty ones too) get und and score 0. Only the text is
     looked at, so repeated rows agree. Columns lang_pred and score of the input are replaced; others pass through.
     """
-    sent = spark.sparkContext.broadcast(model)  # bounded: MAX_LANGS languages times N_FEATURES
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)  # 16 KB a family and a pair of languages of one family
 
     @F.pandas_udf("lang_pred string, score double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
