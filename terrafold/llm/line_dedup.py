@@ -2,47 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
 
-#: A line in more than this share of a site's pages is boilerplate,
+#: A line is boilerplate if it is on more than this share of a site's pages, the page at hand apart,
 RATIO = 0.05
-#: if so many pages at least have it.
-MIN_PAGES = 5
+#: and so many imagined pages without it: the fewer pages a site has, the more of them must agree, without a break.
+PRIOR = 20
 
 
-def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def _column(site: str | Column) -> Column:
+    return F.col(site) if isinstance(site, str) else site
+
+
+def boilerplate(docs: DataFrame, text: str = "text", site: str | Column = "source", ratio: float = RATIO, prior: int = PRIOR, copies: bool = True) -> DataFrame:
     """One row per site that has boilerplate: site, lines (hashes of its boilerplate lines).
 
-    A page counts once for a line however often it repeats it. Counting is by (site, line hash), with partial sums before
-    the shuffle, so one hot site or line never meets in one task. A site has at most (mean lines per page / ratio)
-    boilerplate lines, however many pages it has. Hashes are 64 bits wide and compared within a site only.
+    site names a column, or is an expression such as url_filter.host_of(url). A page counts once for a line however often
+    it repeats it. Counting is by (site, line hash), with partial sums before the shuffle, so one hot site or line never
+    meets in one task. A site has at most (mean lines per page / ratio) boilerplate lines, however many pages it has.
+    Hashes are 64 bits wide and compared within a site only.
 
     Unless copies count, equal texts of a site are one page, in a line's pages and in the site's: a document that is
     repeated is no boilerplate.
     """
     hashed = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    texts = docs.select(F.col(site).alias("site"), hashed.alias("lines"), *([] if copies else [F.xxhash64(text).alias("page")]))
+    texts = docs.select(_column(site).alias("site"), hashed.alias("lines"), *([] if copies else [F.xxhash64(text).alias("page")]))
     texts = texts if copies else saved(texts.distinct(), "distinct-pages")
     lines = texts.select("site", F.explode("lines").alias("line"))
-    pages = lines.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    pages = lines.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
     totals = small(saved(texts.groupBy(F.col("site").alias("__site")).agg(F.count(F.lit(1)).alias("total")), "site-totals"))
-    found = pages.join(totals, F.col("site").eqNullSafe(F.col("__site"))).where(F.col("pages") > F.lit(ratio) * F.col("total"))
+    found = pages.join(totals, F.col("site").eqNullSafe(F.col("__site"))).where(F.col("pages") - 1 > F.lit(ratio) * (F.col("total") + prior))
     return found.groupBy("site").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", site: str | Column = "source", ratio: float = RATIO, prior: int = PRIOR, copies: bool = True) -> DataFrame:
     """Every row with its text less the site's boilerplate lines, plus n_lines and n_removed.
 
     Blank lines stay and count as lines; the rest joins by newlines in the old order. Null text stays null with no lines;
     an empty text has one blank line. Null sites are a site of their own. Rows, repeated ones too, are kept even when no
     line is left (empty text). Input columns n_lines and n_removed are replaced; others pass through. Texts are handled
-    whole, and never shuffled: the lists of boilerplate lines come to them. copies: see boilerplate.
+    whole. The lists of boilerplate lines come to the texts while they are small enough to broadcast; beyond, both are
+    joined by site, and adaptive execution splits the texts of a hot site among tasks. copies: see boilerplate.
     """
-    found = small(saved(boilerplate(docs, text, site, ratio, min_pages, copies), "boilerplate")).withColumnsRenamed({"site": "__site", "lines": "__lines"})
-    out = docs.drop("n_lines", "n_removed").join(found, F.col(site).eqNullSafe(F.col("__site")), "left")
+    found = small(saved(boilerplate(docs, text, site, ratio, prior, copies), "boilerplate")).withColumnsRenamed({"site": "__site", "lines": "__lines"})
+    out = docs.drop("n_lines", "n_removed").join(found, _column(site).eqNullSafe(F.col("__site")), "left")
     out = out.withColumn("__all", F.split(text, "\n"))
     kept = F.filter("__all", lambda x: F.col("__lines").isNull() | (F.trim(x) == "") | ~F.array_contains("__lines", F.xxhash64(x)))
     out = out.withColumns({"__kept": kept, "n_lines": F.coalesce(F.size("__all"), F.lit(0)).cast("long")})

@@ -12,15 +12,15 @@ from .common import n_words, saved, small
 
 #: Weights dealt to the sources in code point order, again and again.
 WEIGHTS = (5, 2, 1)
-#: Slopes of the sources' weight schedules, dealt likewise: over training time t from 0 to 1 a source's weight is
-#: proportional to 1 + slope * (2t - 1). Positive: more of it late.
+#: Slopes of the sources' weight schedules, dealt likewise: over schedule time t from 0 to 1 a source's demand for words
+#: is target * (1 + slope * (2t - 1)). Positive: more of it late.
 SLOPES = (0.5, 0.0, -0.5)
 #: A source is repeated so often at most.
 MAX_PASSES = 3
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, slopes: Sequence[float] = SLOPES, max_passes: int = MAX_PASSES) -> DataFrame:
-    """One row per source: sid (rank by code point, null last), source_size, target, slope.
+    """One row per source: sid (rank by code point, null last), source_size, target, slope, drift (the mean slope by target).
 
     sizes: rows (source, size). Targets share the total by weight, stop at max_passes times the source's size, and the
     excess is shared again by weight until no target is above. That ends at target = min(cap, level * weight): sorted by
@@ -40,7 +40,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, slopes: S
     level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("sid"), F.col("level")))).over(all_)
     run = run.withColumn("at", level)
     capped = F.col("at").isNull() | (F.struct(F.col("cap") / F.col("w"), F.col("sid"), F.lit(0.0)) < F.struct(F.col("at.col1"), F.col("at.sid"), F.lit(0.0)))
-    return run.withColumn("target", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("at.level") * F.col("w"))).select("source", "sid", "source_size", "target", "slope")
+    run = run.withColumn("target", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("at.level") * F.col("w")))
+    wanted = F.sum("target").over(all_)
+    drift = F.when(wanted > 0, F.sum(F.col("target") * F.col("slope")).over(all_) / wanted).otherwise(0.0)
+    return run.select("source", "sid", "source_size", "target", "slope", drift.alias("drift"))
 
 
 def position_at(share: Column, slope: Column) -> Column:
@@ -49,21 +52,29 @@ def position_at(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, share).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] | None = None, weights: Sequence[int] = WEIGHTS, slopes: Sequence[float] = SLOPES, max_passes: int = MAX_PASSES) -> DataFrame:
+def demanded_by(time: Column, drift: Column) -> Column:
+    """The share of all sources' words that their schedules demand by this time: the sum of their integrals."""
+    return time + drift * (time * time - time)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] | None = None, weights: Sequence[int] = WEIGHTS, slopes: Sequence[float] = SLOPES, max_passes: int = MAX_PASSES, by_copy: bool = False) -> DataFrame:
     """Every document once with size, source_size, target, copies, taken, positions and position, in training order.
 
     Documents of a source stand in the order of their key's digest. Pass e over the source covers the words from
     e * source_size on; a document is taken in every pass in which its middle comes before the target, so a source's
     taken words differ from its target by half a document at most and no document exceeds max_passes times its size.
-    positions holds a time for each copy, by inverting the source's integrated schedule; the result is range-sorted by
-    the first of them (documents that are not taken come last).
+    A copy's place in its source's target gives its time, by inverting the source's integrated schedule, and the time its
+    position: the share of all words, whatever their source, that the schedules demand before it. positions holds one for
+    each copy, and the result is range-sorted by the first of them (documents that are not taken come last). by_copy
+    gives a row for each copy instead, with copy (0, 1, ...) and its own position, range-sorted by that: the training
+    order itself; a document that is not taken still has one row, with null copy and position.
 
     Running sums go over three levels (256 ranges of digests, 256 ranges in each, documents in those), so that no task
     holds a whole source. Null text has size 0; null sources are a source of their own, null keys sort first; repeated
     rows count each; empty tables give no rows. keep: input columns to carry (default all); input columns that clash
     with the result's are replaced.
     """
-    made = ["size", "source_size", "target", "copies", "taken", "positions", "position"]
+    made = ["size", "source_size", "target", "copies", "taken", *(["copy"] if by_copy else ["positions"]), "position"]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in made]
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     base = docs.select(*[F.col(c).alias(f"__c_{c}") for c in carried], F.col(source).alias("source"), F.col(key).alias("__key"), n_words(F.col(text)).alias("size"), digest.alias("__h"))
@@ -80,7 +91,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     full = full.withColumn("__start", F.col("__offset") + within)
     middle = lambda e: e * F.col("source_size") + F.col("__start") + F.col("size") / 2
     passes = F.filter(F.sequence(F.lit(0), F.lit(max_passes - 1)), lambda e: 2 * (e * F.col("source_size") + F.col("__start")) + F.col("size") <= 2 * F.col("target"))
-    full = full.withColumn("positions", F.transform(passes, lambda e: position_at(F.when(F.col("target") > 0, F.least(F.lit(1.0), middle(e) / F.col("target"))).otherwise(0.0), F.col("slope"))))
+    share = lambda e: F.when(F.col("target") > 0, F.least(F.lit(1.0), middle(e) / F.col("target"))).otherwise(0.0)
+    times = F.transform(passes, lambda e: position_at(share(e), F.col("slope")))
+    full = full.withColumn("positions", F.transform(times, lambda t: demanded_by(t, F.col("drift"))))
     full = full.withColumns({"copies": F.size("positions"), "position": F.try_element_at("positions", F.lit(1))}).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    full = full.orderBy(F.col("position").asc_nulls_last(), "__h", "__key")
+    if by_copy:
+        full = full.drop("position").select("*", F.posexplode_outer("positions").alias("copy", "position"))
+    full = full.orderBy(F.col("position").asc_nulls_last(), "__h", "__key", *(["copy"] if by_copy else []))
     return full.select(*[F.col(f"__c_{c}").alias(c) for c in carried], *made)

@@ -23,11 +23,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "weight")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    places = [F.round(F.try_element_at("positions", F.lit(k)), 9).alias(f"position_{k}") for k in (1, 2, 3)]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", *places)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,17 +60,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op4_html_extraction, op5_url_filter, op6_source_mixing, op7_chat_formatting, op8_line_dedup, op10_minhash_near_dedup, op2_benchmark_decontamination, op9_embedding_near_dedup, op3_substring_dedup)}
 
-_TERM = r"(^|[^\p{L}\p{N}])(%s)($|[^\p{L}\p{N}])"
-_SOFT = " + ".join(f"CASE WHEN regexp_matches(u, '{_TERM % t}') THEN 1 ELSE 0 END" for t in url_filter.SOFT)
+_TERM = r"(^|[^\p{L}\p{N}])%ss?($|[^\p{L}\p{N}])"
+_HIT = {t: f"CASE WHEN regexp_matches(u, '{_TERM % t}') THEN 1 ELSE 0 END" for t in url_filter.VOCABULARY}
+_STRICT, _SOFT = (" + ".join(h for t, h in _HIT.items() if (url_filter.VOCABULARY[t] >= url_filter.LIMIT) == strict) for strict in (True, False))
+_WEIGHT = " + ".join(f"{url_filter.VOCABULARY[t]} * {h}" for t, h in _HIT.items())
 
 ORACLE_SQL = {
     "op5_url_filter": f"""
 WITH a AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), b AS (
-  SELECT *, lower(host || path) AS u,
+  SELECT *, regexp_replace(lower(coalesce(url, '')), '%[0-9a-f]{{2}}', ' ', 'g') AS u,
          CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
               WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
@@ -77,9 +81,9 @@ WITH a AS (
   FROM a
 )
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(u, '{_TERM % "|".join(url_filter.STRICT)}') OR {_SOFT} >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict
-FROM b""",
+       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN weight >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+       CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft, CAST(weight AS BIGINT) AS weight
+FROM (SELECT *, {_STRICT} AS n_strict, {_SOFT} AS n_soft, {_WEIGHT} AS weight FROM b) x""",
     "op6_source_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents
@@ -94,23 +98,30 @@ WITH d AS (
 ), f AS (
   SELECT rate, sid, level FROM l WHERE level * w <= cap ORDER BY rate, sid LIMIT 1
 ), t AS (
-  SELECT l.source, l.source_size, CASE WHEN f.sid IS NULL OR (l.rate, l.sid) < (f.rate, f.sid) THEN CAST(l.cap AS DOUBLE) ELSE f.level * l.w END AS target
+  SELECT l.source, l.sid, l.source_size, CASE WHEN f.sid IS NULL OR (l.rate, l.sid) < (f.rate, f.sid) THEN CAST(l.cap AS DOUBLE) ELSE f.level * l.w END AS target
   FROM l LEFT JOIN f ON true
 ), c AS (
   SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-       CAST(size * ((CASE WHEN 2 * start + size <= 2 * target THEN 1 ELSE 0 END) + (CASE WHEN 2 * (source_size + start) + size <= 2 * target THEN 1 ELSE 0 END)
-            + (CASE WHEN 2 * (2 * source_size + start) + size <= 2 * target THEN 1 ELSE 0 END)) AS BIGINT) AS taken
-FROM c""",
+), e AS (
+  SELECT *, (sid - 1) % 3 AS k, sum(target * slope) OVER () / sum(target) OVER () AS drift FROM (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN 0 ELSE -0.5 END AS slope FROM t) x
+), q AS (
+  SELECT c.doc_id, c.size, c.source_size, c.target, e.slope, e.drift, p.pass,
+         CASE WHEN 2 * (p.pass * c.source_size + c.start) + c.size <= 2 * c.target THEN CASE WHEN c.target > 0 THEN least(1.0, (p.pass * c.source_size + c.start + c.size / 2) / c.target) ELSE 0 END END AS share
+  FROM c JOIN e ON e.source IS NOT DISTINCT FROM c.source, (VALUES (0), (1), (2)) p(pass)
+), z AS (
+  SELECT *, CASE WHEN share IS NULL THEN NULL WHEN slope = 0 THEN share ELSE (sqrt(greatest(0, (1 - slope) * (1 - slope) + 4 * slope * share)) - (1 - slope)) / (2 * slope) END AS t FROM q
+), y AS (SELECT *, round(t + drift * (t * t - t), 9) AS position FROM z)
+SELECT doc_id, min(size) AS size, min(source_size) AS source_size, min(target) AS target, CAST(min(size) * count(share) AS BIGINT) AS taken, CAST(count(share) AS INTEGER) AS copies,
+       max(position) FILTER (WHERE pass = 0) AS position_1, max(position) FILTER (WHERE pass = 1) AS position_2, max(position) FILTER (WHERE pass = 2) AS position_3
+FROM y GROUP BY doc_id""",
     "op8_line_dedup": f"""
 WITH p AS (
   SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents
 ), f AS (
   SELECT source, line FROM (SELECT source, line, count(*) AS pages FROM p WHERE trim(line) <> '' GROUP BY source, line) x
   JOIN (SELECT source AS s, count(*) AS total FROM documents GROUP BY source) y ON x.source IS NOT DISTINCT FROM y.s
-  WHERE pages >= {line_dedup.MIN_PAGES} AND pages > CAST({line_dedup.RATIO} AS DOUBLE) * total
+  WHERE pages - 1 > CAST({line_dedup.RATIO} AS DOUBLE) * (total + {line_dedup.PRIOR})
 ), b AS (SELECT source AS s, list(line) AS lines FROM f GROUP BY source),
 k AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts, list_filter(string_split(text, chr(10)), lambda x: lines IS NULL OR NOT list_contains(lines, x)) AS kept

@@ -8,13 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
-
-# Terms that reject a URL alone (strict), and terms of which several distinct ones do (soft).
-STRICT = ("porn", "xxx", "casino", "viagra", "malware", "phishing", "warez", "escort", "hentai", "spam")
-SOFT = ("free", "bets", "bet", "betting", "win", "cheap", "pills", "pill", "ads", "ad", "track", "tracker", "adult", "sexy", "loan", "loans", "bonus", "jackpot", "poker", "slots", "pharma", "farm", "click", "clicks", "hack", "crack")
-#: Distinct soft terms that reject a URL.
-SOFT_HITS = 2
+from .common import ship, small_batches
+
+# The vocabulary by weight. A strict term rejects a URL alone; soft ones are telling or common words.
+STRICT = (
+    "porn porno pornography xxx hentai escort camgirl sexcam sextape milf nsfw casino sportsbook viagra cialis levitra kamagra tramadol "
+    "malware spyware ransomware phishing botnet warez keygen spam spambot doorway cloaking"
+).split()
+TELLING = (
+    "adult sex sexy erotic erotica nude naked fetish webcam hookup bet betting gamble gambling poker slot roulette blackjack bookmaker lottery jackpot "
+    "pill pharma pharmacy steroid weightloss loan payday forex crypto ad advert banner popup tracker affiliate clickbait torrent crack hack cheat pirate "
+    "backlink linkfarm"
+).split()
+COMMON = "free cheap win winner bonus deal discount offer prize dating girl hot click track redirect promo farm buy online fast cash money earn rich secret".split()
+#: Weight of each term, and the weight of a URL's distinct terms that rejects it: one strict term, a telling one with any
+#: other, or three common ones. A plural in s counts as its term.
+VOCABULARY = dict.fromkeys(COMMON, 40) | dict.fromkeys(TELLING, 60) | dict.fromkeys(STRICT, 100)
+LIMIT = 100
+#: Terms that a vocabulary given as a table may have at most; more are an error.
+MAX_TERMS = 1_000_000
 
 #: (action, host, path prefix); the longest that fits decides.
 RULES = (
@@ -26,38 +38,46 @@ RULES = (
 )
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]):
+def vocabulary_of(table: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, int]:
+    """A vocabulary from a table; of a repeated term the largest weight holds, null and empty terms are none."""
+    rows = table.where(F.col(term) != "").groupBy(F.lower(term).alias("t")).agg(F.max(weight).cast("int").alias("w")).where("w is not null").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a URL vocabulary may have {MAX_TERMS} terms")
+    return {r["t"]: r["w"] for r in rows}
+
+
+def automaton(vocabulary: Mapping[str, int]):
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for term in soft:
-        found.add_word(term, (len(term), False, term))
-    for term in strict:
-        found.add_word(term, (len(term), True, term))
+    for plural in ("s", ""):  # a term of its own wins over a plural
+        for term, weight in vocabulary.items():
+            found.add_word(term + plural, (len(term + plural), term, weight))
     if len(found):
         found.make_automaton()
     return found
 
 
-def hits(matcher, url: str) -> tuple[int, int]:
-    """Distinct strict and soft terms in a lower-case string; a term counts only between non-alphanumerics."""
-    strict, soft = set(), set()
+def hits(matcher, url: str) -> tuple[int, int, int]:
+    """Distinct strict and soft terms in a lower-case string, and their weight; a term counts only between non-alphanumerics."""
+    seen = {}
     if len(matcher):
-        for end, (n, hard, term) in matcher.iter(url):
+        for end, (n, term, weight) in matcher.iter(url):
             start = end - n
             if (start < 0 or not url[start].isalnum()) and (end + 1 == len(url) or not url[end + 1].isalnum()):
-                (strict if hard else soft).add(term)
-    return len(strict), len(soft)
+                seen[term] = weight
+    strict = sum(w >= LIMIT for w in seen.values())
+    return strict, len(seen) - strict, sum(seen.values())
 
 
-def vocabulary_hits(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT):
-    """Arrow UDF: struct of the distinct strict and soft terms in a URL."""
+def vocabulary_hits(vocabulary: Mapping[str, int] = VOCABULARY):
+    """Arrow UDF: struct of the distinct strict and soft terms in a URL, and their weight."""
 
-    @F.pandas_udf("n_strict int, n_soft int")
+    @F.pandas_udf("n_strict int, n_soft int, weight long")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = automaton(strict, soft)
+        matcher = automaton(vocabulary)
         for urls in parts:
-            yield pd.DataFrame([hits(matcher, u.lower()) if u else (0, 0) for u in urls], columns=["n_strict", "n_soft"]).astype("int32")
+            yield pd.DataFrame([hits(matcher, u) if u else (0, 0, 0) for u in urls], columns=["n_strict", "n_soft", "weight"]).astype({"n_strict": "int32", "n_soft": "int32", "weight": "int64"})
 
     return udf
 
@@ -84,22 +104,25 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
-def filter_urls(df: DataFrame, url: str = "url", strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Add host, path, rule, n_strict, n_soft and verdict to each row; the rows stay whole and in place (no shuffle).
+def filter_urls(df: DataFrame, url: str = "url", vocabulary: Mapping[str, int] = VOCABULARY, limit: int = LIMIT, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """Add host, path, rule, n_strict, n_soft, weight and verdict to each row; the rows stay whole and in place (no shuffle).
 
-    The vocabulary is matched over host and path, not over scheme, query or fragment. Null or unparsable URLs have an
-    empty host and path, no hit, and the verdict allow. Very long URLs are matched whole. Repeated rows are judged
-    alike. Input columns of these names are replaced; others pass through. An empty table gives an empty table.
+    The vocabulary is matched over the whole lower-case URL, scheme, query and fragment too; percent escapes separate
+    words. URLs without :// have an empty host and path, fit no rule and are judged by the vocabulary; null and empty ones
+    have no hit and the verdict allow. Very long URLs are matched whole. Repeated rows are judged alike. Input columns of
+    these names are replaced; others pass through. An empty table gives an empty table.
     """
-    taken = {"host", "path", "rule", "n_strict", "n_soft", "verdict"} - {url}
+    small_batches(df.sparkSession)
+    taken = {"host", "path", "rule", "n_strict", "n_soft", "weight", "verdict"} - {url}
     out = df.drop(*taken).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "__hits": vocabulary_hits(strict, soft)(F.concat("host", "path"))})
+    plain = F.regexp_replace(F.lower(url), "%[0-9a-f]{2}", " ")
+    out = out.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "__hits": vocabulary_hits(vocabulary)(plain)})
     action: Mapping[str, str] = {h + p: a for a, h, p in rules}
-    method = F.when((F.col("__hits.n_strict") >= 1) | (F.col("__hits.n_soft") >= soft_hits), "block").otherwise("allow")
+    method = F.when(F.col("__hits.weight") >= limit, "block").otherwise("allow")
     by_rule = F.lit(None).cast("string")
     for name, act in action.items():
         by_rule = F.when(F.col("rule") == name, act).otherwise(by_rule)
-    return out.withColumns({"n_strict": F.col("__hits.n_strict"), "n_soft": F.col("__hits.n_soft"), "verdict": F.coalesce(by_rule, method)}).drop("__hits")
+    return out.withColumns({"n_strict": F.col("__hits.n_strict"), "n_soft": F.col("__hits.n_soft"), "weight": F.col("__hits.weight"), "verdict": F.coalesce(by_rule, method)}).drop("__hits")
 
 
 ship(__name__)
