@@ -16,12 +16,12 @@ from .common import saved, small
 WIDTH = 5
 SIMILARITY = 0.8
 #: Fingerprints of 64 bits match within this distance. Four blocks of sixteen bits: of 15 differing bits, some block has
-#: three at most, so blocks that meet after one flip on the windows' side and two on the items' find every fingerprint
-#: within the radius.
+#: three at most, so probing each block's value and its 696 neighbours finds every fingerprint within the radius. The
+#: items, whose number does not go with the corpus, are probed so (flips of windows' and of items' blocks).
 RADIUS = 15
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
-FLIPS = (1, 2)
+FLIPS = (0, 3)
 #: Bit counters of 31 bits, two to a long: an array cannot have more elements than one counts.
 LANE = 31
 #: First words that a row of windows covers, so that a row's size does not go with the square of a document's matches.
@@ -35,12 +35,22 @@ def tokens(text: Column) -> Column:
 def shingles(words: Column, width: int) -> Column:
     """Hashes of all shingles of this width, by position; empty if there are fewer words."""
     hashed = F.transform(words, lambda x: F.xxhash64(x))
-    if width == 1:
-        return hashed
     parts = F.arrays_zip(*[F.slice(hashed, k + 1, F.greatest(F.size(hashed) - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)])
     return F.transform(parts, lambda p: F.xxhash64(*[p[f"w{k}"] for k in range(width)]))
 
 
+def shingle_rows(rows: DataFrame, hashed: str, widths: list[int]) -> DataFrame:
+    """A row (pos, h) with the other columns for each shingle of these widths, from an array of word hashes.
+
+    Word hashes are paired before they become rows and hashed after: one pass over the texts for all widths."""
+    others = [c for c in rows.columns if c != hashed]
+    words = F.arrays_zip(*[F.slice(hashed, k + 1, F.greatest(F.size(hashed) - k, F.lit(0))).alias(f"w{k}") for k in range(max(widths))])
+    rows = rows.select(*others, F.size(hashed).alias("__n"), F.posexplode(words).alias("pos", "__w"))
+    of = lambda w: F.when(F.col("pos") <= F.col("__n") - w, F.xxhash64(*[F.col(f"__w.w{k}") for k in range(w)]))
+    h = of(widths[0]) if len(widths) == 1 else F.explode(F.array(*map(of, widths)))
+    return rows.select(*others, "pos", h.alias("h")).where("h is not null")
+
+
 def fingerprints(rows: DataFrame, key: str) -> DataFrame:
     """(key, fp): the SimHash of each key's shingle hashes h, every occurrence counting (that is the weight)."""
     bit = lambda b: F.shiftrightunsigned(F.col("h"), b).bitwiseAND(F.lit(1))
@@ -118,24 +128,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     longest = items.agg(F.max("n")).head()[0]
 
     read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    hits = None
-    for w in widths:
-        found = read.select("doc", "row", F.posexplode(shingles(tokens(F.col("text")), w)).alias("pos", "h"))
-        found = found.join(vocabulary.where(F.col("width") == w), "h").select("doc", "row", F.lit(w).alias("width"), "pos", "sizes")
-        hits = found if hits is None else hits.unionByName(found)
-    # Repeated rows are one: their hits are the same set.
+    hashed = read.select("doc", "row", F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("hashed"))
+    hits = shingle_rows(hashed.where(F.size("hashed") >= widths[0]), "hashed", widths).join(vocabulary, "h")
     parts = hits.groupBy("doc", "row", "width", (F.col("pos") / SEGMENT).cast("int").alias("seg")).agg(F.collect_set(F.struct("pos", "sizes")).alias("hits"))
     per_doc = saved(parts.groupBy("doc", "row", "width").agg(F.collect_list(F.struct("seg", "hits")).alias("segs")), "hits")
 
-    spans = None
+    of = F.lit(None).cast("array<bigint>")
     for w in widths:
-        own = read.join(small(per_doc.where(F.col("width") == w)), ["doc", "row"]).select("doc", "segs", shingles(tokens(F.col("text")), w).alias("sh"))
-        part = lambda s: F.struct(s["seg"].alias("seg"), s["hits"].alias("hits"), F.slice("sh", s["seg"] * SEGMENT + 1, SEGMENT + longest).alias("sh"))
-        own = own.select("doc", F.explode(F.transform("segs", part)).alias("s")).select("doc", "s.*")
-        window = lambda x: F.transform(x["sizes"], lambda n: F.struct(x["pos"].alias("pos"), n.alias("n"), F.slice("sh", x["pos"] - F.col("seg") * SEGMENT + 1, n - w + 1).alias("content")))  # noqa: E731, B023
-        own = own.select("doc", F.explode(F.flatten(F.transform("hits", window))).alias("s")).select("doc", F.lit(w).alias("width"), "s.*")
-        spans = own if spans is None else spans.unionByName(own)
-    spans = saved(spans.withColumn("ck", F.xxhash64("width", "n", "content")).distinct(), "windows")
+        of = F.when(F.col("width") == w, shingles(F.col("words"), w)).otherwise(of)
+    matched = read.join(small(per_doc), ["doc", "row"]).select("doc", "width", "segs", tokens(F.col("text")).alias("words"))
+    matched = saved(matched.select("doc", "width", "segs", of.alias("sh")), "matched")
+    part = lambda s: F.struct(s["seg"].alias("seg"), s["hits"].alias("hits"), F.slice("sh", s["seg"] * SEGMENT + 1, SEGMENT + longest).alias("sh"))
+    spans = matched.select("doc", "width", F.explode(F.transform("segs", part)).alias("s")).select("doc", "width", "s.*")
+    window = lambda x: F.transform(x["sizes"], lambda n: F.struct(x["pos"].alias("pos"), n.alias("n"), F.slice("sh", x["pos"] - F.col("seg") * SEGMENT + 1, n - F.col("width") + 1).alias("content")))
+    spans = spans.select("doc", "width", F.explode(F.flatten(F.transform("hits", window))).alias("s")).select("doc", "width", "s.*")
+    spans = saved(spans.withColumn("ck", F.xxhash64("width", "n", "content")), "windows")
     contents = saved(spans.groupBy("ck").agg(F.first("width").alias("width"), F.first("n").alias("n"), F.first("content").alias("content")), "contents")
 
     grains = contents.select("ck", F.explode("content").alias("h"))
