@@ -22,6 +22,8 @@ EF = 48
 AUDIT, RECALL = 128, 1.0
 #: A query whose beam is full of links gets a wider one up to a shard's vectors divided by this; beyond, it is compared.
 WIDE = 8
+#: A beam is full if one in so many of its vectors is a link: among so many, others may have been missed.
+DENSE = 2
 #: Beam results this much below the threshold are verified in double precision too.
 MARGIN = 1e-4
 
@@ -32,34 +34,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def links(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float):
+def links(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, own: bool = False):
     """Yields (query rows, graph rows) of all pairs of at least this cosine, for blocks of the queries q (unit, double).
 
     Every query is searched in the graph, whatever the shard's size. The beam widens until an audited sample misses no
-    link, at last to the whole graph; should that miss one too (a part that cannot be reached), all is compared. A query
-    whose whole beam is above the threshold has more links than the beam holds: it is searched again with a wider one
-    while that is cheaper than comparing it with the shard, and then compared, so that no link of a dense group is lost.
+    link. Should a beam of WIDE times the first, and of the shard divided by WIDE, or of the whole shard, still miss one,
+    its vectors lie too dense for a graph, and all is compared. A query whose beam is full of links may have more than it
+    holds: it is searched again with a wider one while that is cheaper than comparing it with the shard, and then
+    compared, so that no link of a dense group is lost.
     """
     n, low = len(exact), threshold - MARGIN
+    # The graph's own vectors are searched from themselves too.
+    look = lambda rows, ef: graph.search(q[rows].astype(np.float32), ef, *([rows] if own else []))
     sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     truth = (q[sample] @ exact.T) >= low
     ef, sound = min(EF, n), False
     while not sound:
-        ids, sims = graph.search(q[sample].astype(np.float32), ef)
+        ids, sims = look(sample, ef)
         hit = (ids >= 0) & (sims >= low - MARGIN)
         found = np.zeros_like(truth)
         found[np.nonzero(hit)[0], ids[hit]] = True
-        full = hit.all(1) & (ef < n)  # these get a wider beam anyway
+        full = (DENSE * hit.sum(1) >= ef) & (ef < n)  # these get a wider beam anyway
         sound = (found & truth)[~full].sum() >= RECALL * truth[~full].sum()
-        if ef == n:
+        if ef == n or WIDE * ef >= n and ef >= WIDE * EF:
             break
         ef = ef if sound else min(2 * ef, n)
     for at in range(0, len(q), BLOCK):
         rows, beam = np.arange(at, min(len(q), at + BLOCK)), ef
         while len(rows) and sound and (beam == ef or WIDE * beam < n):
-            ids, sims = graph.search(q[rows].astype(np.float32), beam)
+            ids, sims = look(rows, beam)
             hit = (ids >= 0) & (sims >= low - MARGIN)
-            full = hit.all(1) & (beam < n)
+            full = (DENSE * hit.sum(1) >= beam) & (beam < n)
             a, k = np.nonzero(hit & ~full[:, None])
             b = ids[a, k]
             sure = np.einsum("kd,kd->k", q[rows[a]], exact[b]) >= threshold
@@ -89,7 +94,7 @@ def _query(threshold: float):
         graph.near = [np.frombuffer(b, np.int32).reshape(len(g), -1) for b in r["layers_b"]]
         same, total = r["shard_a"] == r["shard_b"], np.zeros(len(q), np.int64)
         both = Union(len(q) if same else len(q) + len(g))
-        for a, b in links(graph, g, q, threshold):
+        for a, b in links(graph, g, q, threshold, same):
             if same:
                 a, b = a[a != b], b[a != b]
             np.add.at(total, a, gc[b])

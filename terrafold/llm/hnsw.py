@@ -103,8 +103,11 @@ class Graph:
         ids = np.full((len(q), ef), -1, np.int64)
         sims = np.full((len(q), ef), -3, np.float32)
         open_ = np.zeros((len(q), ef), bool)
-        ids[:, 0], sims[:, 0], open_[:, 0] = first, np.einsum("qd,qd->q", q, self.unit[first]), True
-        seen[rows, first] = True
+        first = first.reshape(len(q), -1)[:, :ef]
+        for k in range(first.shape[1]):
+            new = ~seen[rows, first[:, k]]
+            ids[new, k], sims[new, k], open_[new, k] = first[new, k], np.einsum("qd,qd->q", q[new], self.unit[first[new, k]]), True
+            seen[rows, first[:, k]] = True
         step = min(STEP, ef)
         while len(live := np.flatnonzero(open_.any(1))):
             best = np.argpartition(-np.where(open_[live], sims[live], -4), step - 1, 1)[:, :step]
@@ -125,8 +128,10 @@ class Graph:
         order = np.argsort(-sims, 1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        return self._beam(q, self._starts(q, 0), min(ef, len(self.unit)), 0)
+    def search(self, q: np.ndarray, ef: int, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Search from the upper layers' best node, and from a node of each query's own where these are given."""
+        first = self._starts(q, 0)
+        return self._beam(q, first if also is None else np.stack([first, also], 1), min(ef, len(self.unit)), 0)
 
 
 class Union:
