@@ -139,12 +139,13 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    most = 1 << 40
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(most))
+    counts = rows.groupBy(lang).agg(F.count(F.lit(1)), F.min(draw)).collect()
     if not counts:
         return Model()
     wanted = max(1, min(rows_per_lang, rows_in_all // len(counts)))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 40))
-    shares = [(name, min(1 << 40, -(-(1 << 40) * wanted // n))) for name, n in counts.items()]
+    shares = [(name, max(least + 1, min(most, -(-most * wanted // n)))) for name, n, least in counts]
     shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "__lang string, __share long"))  # a row a language
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
