@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes, and rows, that go to Python at a time: whole texts are long, and their buffers are kept off the heap.
-ARROW_BYTES, ARROW_ROWS = 32 << 20, 1000
+ARROW_BYTES, ARROW_ROWS = 16 << 20, 1000
 
 #: Rows and bytes (as JSON) of a side table up to which it is broadcast; beyond either, it is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20

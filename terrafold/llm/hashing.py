@@ -23,6 +23,8 @@ LOWER[65:91] += 32
 PRIMES, BASES = (2147483647, 2147483629), (1540483477, 1779033703)
 #: Bytes of a word from which on it is hashed by itself.
 LONG_WORD = 1 << 16
+#: Bytes of words that are hashed at a time, about.
+SLICE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,6 +59,27 @@ def text_chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.n
         row = end
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word, some hundred kilobytes of words at a time."""
+    lengths, hashed = ends - starts, np.empty(len(starts), np.uint64)
+    short, long_ = np.flatnonzero(lengths < LONG_WORD), np.flatnonzero(lengths >= LONG_WORD)
+    total = np.cumsum(lengths[short])
+    cuts = np.searchsorted(total, np.arange(SLICE, total[-1] + SLICE, SLICE), "right") if len(short) else []
+    at = 0
+    for cut in cuts:
+        if cut > at:
+            part = short[at:cut]
+            first = np.cumsum(lengths[part]) - lengths[part]
+            place = np.arange(first[-1] + lengths[part[-1]]) - np.repeat(first, lengths[part])
+            value = data[place + np.repeat(starts[part], lengths[part])].astype(np.int64) + 1
+            low, high = (np.add.reduceat(value * powers(k)[place], first) % PRIMES[k] for k in (0, 1))
+            hashed[part] = (low << 32 | high).astype(np.uint64)
+            at = cut
+    for k in long_:
+        hashed[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return mixed(hashed)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and hash of each word; words end at row ends."""
     if not len(data):
@@ -70,16 +93,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     last = np.zeros(len(data), bool)
     last[offsets[1:][offsets[1:] > 0] - 1] = True
     ends = np.flatnonzero(inside & (last | np.concatenate((~inside[1:], [True])))) + 1
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    value = data[inside].astype(np.int64) + 1
-    parts = [np.add.reduceat(value * powers(k)[place % LONG_WORD], first) % PRIMES[k] if len(first) else first for k in (0, 1)]
-    hashed = (parts[0] << 32 | parts[1]).astype(np.uint64)
-    for k in np.flatnonzero(lengths >= LONG_WORD):
-        hashed[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
-    hashed = mixed(hashed)
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashed
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, word_hashes(data, starts, ends)
 
 
 def rolling(hashed: np.ndarray, width: int, base: np.uint64 = _WINDOW) -> np.ndarray:
