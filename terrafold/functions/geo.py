@@ -70,3 +70,22 @@ def portal_point(lng: Column, lat: Column) -> Column:
     """A portal's pin in WGS84; null if either coordinate is blank or no number."""
     x, y = number(lng), number(lat)
     return F.when(x.isNotNull() & y.isNotNull(), shifted_to_wgs84(x, y))
+
+
+def feature(lat: Column, lng: Column, **properties: Column) -> Column:
+    """A located place as a GeoJSON point feature; null where it is not located."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(lng, lat).alias("coordinates"))
+    whole = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*[c.alias(k) for k, c in properties.items()]).alias("properties"))
+    return F.when(located(lat, lng), F.to_json(whole, {"ignoreNullFields": "false"}))
+
+
+def least_text_size(style, least: float = 12):
+    """A map style's text size with every output at least this: zoom expressions stay on top, their outputs are clamped."""
+    if style is None:
+        return least
+    if isinstance(style, (int, float)):
+        return max(least, style)
+    outputs = {"interpolate": 4, "interpolate-hcl": 4, "interpolate-lab": 4, "step": 2}.get(style[0]) if isinstance(style, list) and style else None
+    if outputs is None:
+        return ["max", least, style]
+    return [least_text_size(x, least) if k >= outputs and k % 2 == 0 else x for k, x in enumerate(style)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +17,10 @@ _MENTIONED = "(" + "|".join(scope.CORE_DISTRICTS) + ")"
 
 @F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
-    """Unicode compatibility composition, a batch at a time."""
-    return pc.utf8_normalize(texts, form="NFKC")
+    """Unicode compatibility composition, a batch at a time (Arrow's own leaves letters decomposed)."""
+    if pc.all(pc.string_is_ascii(texts), min_count=0).as_py():
+        return texts
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def collapsed(c: Column, dots: bool = False) -> Column:
@@ -110,3 +114,10 @@ def literal_search(query: str, *fields: Column) -> Column:
 def in_name_order(c: Column) -> Column:
     """Sort key of names: Chinese by pinyin."""
     return F.collate(c, scope.NAME_COLLATION)
+
+
+def matching_options(options: DataFrame, query: str) -> DataFrame:
+    """Options (value, label, group) whose fields together contain the query, both in NFKC, lower case and without white space."""
+    key = lambda c: F.lower(collapsed(nfkc(c)))
+    fields = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("label", "value", "group")])
+    return options.where(F.contains(key(fields), key(F.lit(query))))

@@ -233,3 +233,51 @@ def active_relations(admissions: DataFrame, s: QueryState) -> DataFrame:
     """Object by object: matching rows, their types and schools; identical rows count once."""
     ok = admissions.where(relation_matches(s)).dropDuplicates(["id"])
     return ok.groupBy("home_id").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.sort_array(F.collect_set("admission_type")), " / ").alias("types"), F.countDistinct("school_id").alias("schools"))
+
+
+def group_counts(rows: DataFrame, by: list[str], distinct: str, name: str) -> DataFrame:
+    """Rows per group, and how many different values of a column they have."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(distinct).alias(name))
+
+
+def completeness(prices: DataFrame) -> DataFrame:
+    """By kind: prices with both figures, those without, and the newest date of a complete one."""
+    full = F.coalesce(positive(F.col("total_wan")).isNotNull() & positive(F.col("unit_yuan_sqm")).isNotNull(), F.lit(False))
+    return prices.groupBy("kind").agg(F.count_if(full).alias("fully_priced"), F.count_if(~full).alias("incomplete"), F.max(F.when(full, F.col("event_date"))).alias("latest_full"))
+
+
+def active_members(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """By group: active and historical rows, and how many years and members they name."""
+    return rows.groupBy(group).agg(F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("historical"), F.countDistinct("year").alias("years"), F.countDistinct(member).alias("members"))
+
+
+def member_totals(groups: DataFrame, by: str = "district") -> DataFrame:
+    """Groups, their members in all, and how many groups have any and are located."""
+    n = F.coalesce("group_member_count", F.lit(0))
+    return groups.groupBy(by).agg(F.count(F.lit(1)).alias("groups"), F.sum(n).alias("members"), F.count_if(n > 0).alias("with_members"), F.count_if(geo.located(F.col("lat"), F.col("lng"))).alias("located"))
+
+
+def known_mentions(post_places: DataFrame, entities: DataFrame, posts: DataFrame) -> DataFrame:
+    """Mentions whose place and post both exist."""
+    known = post_places.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    return known.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi").select("post_id", "entity_id")
+
+
+def place_counts(entities: DataFrame, sides: dict[str, DataFrame], kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """Each place with its rows in every side table (entity_id, ...), zero where it has none; kinds: name to (side, kind)."""
+    out = entities.select(F.col("id").alias("entity_id"))
+    names = []
+    for side, rows in sides.items():
+        of = {name: F.count_if(F.col("kind") == kind) for name, (at, kind) in kinds.items() if at == side} or {side: F.count(F.lit(1))}
+        out = out.join(rows.groupBy("entity_id").agg(*[c.alias(n) for n, c in of.items()]), "entity_id", "left")
+        names += of
+    return out.select(F.col("entity_id").alias("id"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+
+def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, id, n): how many rows each section of a dossier has for a place."""
+    out = None
+    for name, rows in sections.items():
+        part = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("section"), "id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scope
-from ..functions.values import first_present, positive, present, round_half_up
+from ..functions.values import building_age, first_present, positive, present, round_half_up
 from .market import sample_price
 
 # The fields of a profile (first a project's key, then names in its open field list).
@@ -20,8 +20,12 @@ SCORED = ("delivery_date_raw", "opening_date_raw", "developer", "property_type",
 SCORED_FIELDS = ("最近交房", "开盘时间", "最近开盘", "物业费", "车位", "车位配比", "人车分流", "周边配套", "交通情况", "小区配套")
 DELIVERY = ("delivery_date_raw", "最近交房", "交房时间", "入住时间")
 OPENING = ("opening_date_raw", "最近开盘", "开盘时间", "首次开盘")
-EXTENDED = ("建筑层高", "楼栋总数", "楼层状况", "户型面积", "装修情况", "可售车位", "车位价格", "立面材料", "项目公司", "开发品牌")
-SURROUNDING = ("小区配套", "交通情况", "教育", "医疗", "商业", "办公", "景观", "周边配套")
+EXTENDED = {
+    "record_name": ("name", "备案名称", "楼盘名称"), "opening": OPENING, "delivery": DELIVERY, "age": (None,), "storey_height": (None, "建筑层高", "层高情况", "层高"), "buildings": (None, "楼栋总数", "楼栋数"),
+    "storeys": (None, "楼层状况", "楼层情况", "楼层"), "layouts": (None, "户型面积", "主力户型"), "decoration": (None, "装修情况", "装修标准", "装修"), "parking_for_sale": (None, "可售车位", "可售车位数"),
+    "parking_price": (None, "车位价格"), "facade": (None, "立面材料", "外立面"), "project_company": (None, "项目公司"), "brand": (None, "开发品牌"),
+}
+SURROUNDING = {"小区设施": "小区配套", "交通": "交通情况", "教育": "教育", "医疗": "医疗", "商业": "商业", "办公": "办公", "景观": "景观", "周边配套": "周边配套"}
 #: A profile with at least this share of its fields missing is incomplete.
 MISSING_LIMIT = 0.4
 
@@ -47,8 +51,8 @@ def only_value(c: Column) -> Column:
 
 def best_project(projects: DataFrame) -> DataFrame:
     """Per place: the project with the most fields (then the latest), and the value all projects agree on per field."""
-    keys = [k for k in {*SCORED, *(v[0] for v in CORE.values() if v[0]), "sales_status"} if k in projects.columns]
-    names = sorted({n for v in CORE.values() for n in v[1:]} | set(DELIVERY[1:]) | set(OPENING[1:]) | set(EXTENDED) | set(SURROUNDING))
+    keys = [k for k in {"name", *SCORED, *(v[0] for v in CORE.values() if v[0]), "sales_status"} if k in projects.columns]
+    names = sorted({n for v in CORE.values() for n in v[1:]} | set(DELIVERY[1:]) | set(OPENING[1:]) | {n for v in EXTENDED.values() for n in v[1:]} | set(SURROUNDING.values()))
     order = F.struct(project_score(projects).alias("score"), F.coalesce(F.col("observed_at").cast("string"), F.lit("")).alias("observed"), F.col("source_id"))
     whole = F.struct(*[F.col(c) for c in projects.columns if c != "entity_id"])
     agreed = F.struct(*[only_value(F.col(k)).alias(k) for k in sorted(keys)])
@@ -98,3 +102,18 @@ def community_profile(entities: DataFrame, projects: DataFrame, waterfall: DataF
     out = out.withColumns({"known": known, "total": F.lit(total)}).withColumn("missing", F.col("total") - F.col("known"))
     rate = F.col("missing") / F.col("total")
     return out.select("id", *CORE, "timing", "price", "basis", "known", "total", "missing", round_half_up(rate * 100).cast("int").alias("missing_percent"), (rate < limit).alias("passes"))
+
+
+def extended_profile(entities: DataFrame, projects: DataFrame) -> DataFrame:
+    """One row per place: the fourteen further fields, how many are known, and its surroundings by label."""
+    best = best_project(projects).withColumnRenamed("entity_id", "id")
+    best_cols, agreed_cols = best.schema["best"].dataType.names, best.schema["agreed"].dataType.names
+    j = entities.join(best, "id", "left")
+    value = lambda spec: _value(best_cols, agreed_cols, spec[0], spec[1:])
+    built = first_present(F.col("candidate.built_year"), value(CORE["built_year"]))
+    out = j.select("id", *[(building_age(built, F.col("observed_at")).cast("string") if k == "age" else value(v)).alias(k) for k, v in EXTENDED.items()], *[value((None, n)).alias(f"__{k}") for k, n in SURROUNDING.items()])
+    known, total = sum((present(F.col(k)).cast("int") for k in EXTENDED), F.lit(0)), len(EXTENDED)
+    labelled = F.filter(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"__{k}").alias("value")) for k in SURROUNDING]), lambda x: present(x["value"]))
+    out = out.withColumns({"extended_known": known, "extended_total": F.lit(total), "surrounding": labelled}).withColumn("extended_missing", F.col("extended_total") - F.col("extended_known"))
+    percent = round_half_up(F.col("extended_missing") / F.col("extended_total") * 100).cast("int")
+    return out.select("id", *EXTENDED, "extended_known", "extended_total", "extended_missing", percent.alias("extended_missing_percent"), "surrounding")

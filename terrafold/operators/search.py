@@ -125,11 +125,15 @@ def source_page(sources: DataFrame, query: str = "", page: float = 1, focus: str
         for term in query.split():
             hits = hits.where(F.contains(F.col("__f"), text.normalize(F.lit(term))))
         hits = hits.drop("__f")
-    numbered = hits.withColumns({"row": F.row_number().over(W.orderBy("id")), "matched": F.count(F.lit(1)).over(W.partitionBy())})
-    pages = F.greatest(F.lit(1), F.ceil(F.col("matched") / size))
+    matched = hits.count()
+    pages = max(1, -(-matched // size))
     asked = 1 if focus or not math.isfinite(page) else math.floor(page)
-    current = F.least(pages, F.greatest(F.lit(1), F.lit(asked)))
-    return numbered.withColumns({"page": current.cast("long"), "page_count": pages.cast("long")}).where((F.col("row") > (F.col("page") - 1) * size) & (F.col("row") <= F.col("page") * size))
+    current = min(pages, max(1, asked))
+    before = (current - 1) * size
+    # Only the page's own rows are numbered: the sort below keeps the first of each partition.
+    shown = hits.orderBy("id").offset(before).limit(size)
+    facts = {"row": F.row_number().over(W.orderBy("id")) + F.lit(before), "matched": F.lit(matched).cast("long"), "page": F.lit(current).cast("long"), "page_count": F.lit(pages).cast("long")}
+    return shown.withColumns(facts)
 
 
 def policy_groups(policies: DataFrame, year: str) -> DataFrame:

@@ -150,7 +150,7 @@ def q_resolve_ambiguous(t):
 
 @query("SELECT post_id, entity_id FROM post_places WHERE entity_id IN (SELECT id FROM places) AND post_id IN (SELECT id FROM posts WHERE deep_read)")
 def q_semi_mentions(t):
-    return t.post_places.join(t.places.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").join(t.posts.where("deep_read").select(F.col("id").alias("post_id")), "post_id", "left_semi").select("post_id", "entity_id")
+    return detail.known_mentions(t.post_places, t.places, t.posts.where("deep_read"))
 
 
 @query("""
@@ -245,14 +245,8 @@ pj AS (SELECT entity_id, count(*) AS project_count FROM projects GROUP BY entity
 SELECT id, coalesce(pc.post_count, 0) AS post_count, coalesce(deals, 0) AS deals, coalesce(listings, 0) AS listings, coalesce(refs, 0) AS refs, coalesce(project_count, 0) AS project_count
 FROM places LEFT JOIN pc ON id = pc.entity_id LEFT JOIN pr ON id = pr.entity_id LEFT JOIN pj ON id = pj.entity_id WHERE kind = 'residential'""")
 def q_left_agg_bootstrap(t):
-    kinds = {"deals": "deal", "listings": "listing", "refs": "reference"}
-    posts = t.post_places.groupBy("entity_id").agg(F.count(F.lit(1)).alias("post_count"))
-    prices = t.prices.groupBy("entity_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
-    projects = t.projects.groupBy("entity_id").agg(F.count(F.lit(1)).alias("project_count"))
-    j = t.places.where("kind = 'residential'").select(F.col("id").alias("entity_id"))
-    for side in (posts, prices, projects):
-        j = j.join(side, "entity_id", "left")
-    return j.select(F.col("entity_id").alias("id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("post_count", *kinds, "project_count")])
+    kinds = {"deals": ("prices", "deal"), "listings": ("prices", "listing"), "refs": ("prices", "reference")}
+    return detail.place_counts(t.places.where("kind = 'residential'"), {"post_count": t.post_places, "prices": t.prices, "project_count": t.projects}, kinds)
 
 
 @query("""
@@ -355,20 +349,19 @@ def q_market_summary(t):
 
 @query("SELECT school_id, count(*) FILTER (WHERE active) AS active, count(*) FILTER (WHERE NOT active) AS historical, count(DISTINCT year) AS years, count(DISTINCT home_id) AS homes FROM admissions GROUP BY school_id")
 def q_group_active_hist(t):
-    return t.admissions.groupBy("school_id").agg(F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("historical"), F.countDistinct("year").alias("years"), F.countDistinct("home_id").alias("homes"))
+    return detail.active_members(t.admissions, "school_id", "home_id").withColumnRenamed("members", "homes")
 
 
 @query("""
 SELECT kind, count(*) FILTER (WHERE total_wan > 0 AND unit_yuan_sqm > 0) AS fully_priced, count(*) FILTER (WHERE NOT coalesce(total_wan > 0 AND unit_yuan_sqm > 0, false)) AS incomplete,
        CAST(max(event_date) FILTER (WHERE total_wan > 0 AND unit_yuan_sqm > 0) AS STRING) AS latest_full FROM prices GROUP BY kind""")
 def q_completeness(t):
-    full = F.coalesce(values.positive(F.col("total_wan")).isNotNull() & values.positive(F.col("unit_yuan_sqm")).isNotNull(), F.lit(False))
-    return t.prices.groupBy("kind").agg(F.count_if(full).alias("fully_priced"), F.count_if(~full).alias("incomplete"), F.max(F.when(full, F.col("event_date"))).cast("string").alias("latest_full"))
+    return detail.completeness(t.prices).withColumn("latest_full", F.col("latest_full").cast("string"))
 
 
 @query("SELECT kind, possible_duplicate AS dup, count(*) AS n, count(DISTINCT entity_id) AS places FROM prices GROUP BY kind, possible_duplicate")
 def q_group_counts(t):
-    return t.prices.groupBy("kind", F.col("possible_duplicate").alias("dup")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("places"))
+    return detail.group_counts(t.prices.withColumnRenamed("possible_duplicate", "dup"), ["kind", "dup"], "entity_id", "places")
 
 
 @query("SELECT entity_id, CAST(floor(median(area_sqm) + 0.5) AS BIGINT) AS median_area FROM prices GROUP BY entity_id")
@@ -450,7 +443,8 @@ via AS (SELECT campus_id AS selected_id, official_school_id AS school_id, bool_a
 adm AS (SELECT c.selected_id, CASE WHEN c.school_id <> c.selected_id AND coalesce(v.only_aff, false) THEN 'affiliation' ELSE 'official' END AS tier, a.home_id AS id, a.id AS k
   FROM canon c JOIN sel ON sel.id = c.selected_id JOIN a ON a.school_id = c.school_id LEFT JOIN via v ON v.selected_id = c.selected_id AND v.school_id = c.school_id),
 co AS (SELECT s.entity_id AS selected_id, 'co' AS tier, h.entity_id AS id, s.post_id AS k FROM post_places s JOIN post_places h ON h.post_id = s.post_id WHERE s.entity_id LIKE 'school:%' AND h.entity_id LIKE 'home:%'),
-i AS (SELECT u.selected_id, u.tier, u.id, count(DISTINCT u.k) AS rows FROM (SELECT * FROM adm UNION ALL SELECT * FROM co) u JOIN places p ON p.id = u.id AND p.kind = 'residential' WHERE u.selected_id IN (SELECT id FROM sel) GROUP BY 1, 2, 3)
+nr AS (SELECT a.id AS selected_id, 'nearby' AS tier, b.id AS id, '' AS k FROM places a JOIN places b ON abs(a.lat - b.lat) <= 0.019 AND abs(a.lng - b.lng) <= 0.023 WHERE a.kind = 'school' AND b.kind = 'residential' AND """ + _DIST.format(a="a", b="b") + """ <= 2000),
+i AS (SELECT u.selected_id, u.tier, u.id, count(DISTINCT u.k) AS rows FROM (SELECT * FROM adm UNION ALL SELECT * FROM co UNION ALL SELECT * FROM nr) u JOIN places p ON p.id = u.id AND p.kind = 'residential' WHERE u.selected_id IN (SELECT id FROM sel) GROUP BY 1, 2, 3)
 """
 
 
@@ -459,8 +453,7 @@ def _items(t: Tables) -> tuple[DataFrame, DataFrame]:
     s = ASIA.but(admission="A")
     places = t.post_places
     co = places.where("entity_id like 'school:%'").select("post_id", F.col("entity_id").alias("a")).join(places.where("entity_id like 'home:%'").select("post_id", F.col("entity_id").alias("b")), "post_id")
-    near = t.places.limit(0).select("id", F.col("id").alias("entity_id"), F.lit(0.0).alias("distance"))
-    return relations.relation_items(t.places, t.admissions, t.links, co, near, selected, s), selected
+    return relations.relation_items(t.places, t.admissions, t.links, co, spatial.nearby(t.places), selected, s), selected
 
 
 @query(_TIERS + "SELECT selected_id, tier, id, rows FROM i")
@@ -468,9 +461,9 @@ def q_relation_items(t):
     return _items(t)[0].select("selected_id", "tier", "id", "rows")
 
 
-@query(_TIERS + """, b AS (SELECT selected_id, min(CASE tier WHEN 'official' THEN 1 WHEN 'affiliation' THEN 2 ELSE 3 END) AS o FROM i GROUP BY 1)
-SELECT sel.id AS selected_id, CASE b.o WHEN 1 THEN 'official' WHEN 2 THEN 'affiliation' WHEN 3 THEN 'co' ELSE 'none' END AS tier, count(i.id) AS items, coalesce(b.o, 0) <> 1 AS fallback
-FROM sel LEFT JOIN b ON b.selected_id = sel.id LEFT JOIN i ON i.selected_id = sel.id AND CASE i.tier WHEN 'official' THEN 1 WHEN 'affiliation' THEN 2 ELSE 3 END = b.o GROUP BY 1, 2, 4""")
+@query(_TIERS + """, b AS (SELECT selected_id, min(CASE tier WHEN 'official' THEN 1 WHEN 'affiliation' THEN 2 WHEN 'co' THEN 3 ELSE 4 END) AS o FROM i GROUP BY 1)
+SELECT sel.id AS selected_id, CASE b.o WHEN 1 THEN 'official' WHEN 2 THEN 'affiliation' WHEN 3 THEN 'co' WHEN 4 THEN 'nearby' ELSE 'none' END AS tier, count(i.id) AS items, coalesce(b.o, 0) <> 1 AS fallback
+FROM sel LEFT JOIN b ON b.selected_id = sel.id LEFT JOIN i ON i.selected_id = sel.id AND CASE i.tier WHEN 'official' THEN 1 WHEN 'affiliation' THEN 2 WHEN 'co' THEN 3 ELSE 4 END = b.o GROUP BY 1, 2, 4""")
 def q_relation_tiers(t):
     items, selected = _items(t)
     return relations.relation_plan(items, t.places, selected).select("selected_id", "tier", F.col("items").cast("long").alias("items"), "fallback")
@@ -894,3 +887,146 @@ def q_source_status(t):
     one = t.region.where("r_regionkey = 0").select(F.lit("policy:service_area").alias("id"), F.lit("official").alias("kind"))
     checks = one.select("id", F.lit("ok").alias("status"), F.lit(True).alias("archived"))
     return detail.source_status(s.unionByName(one), checks).select("id", "link_status", "archive_available")
+
+
+# --- panels, lists, exports ---
+
+
+@query("SELECT id, kind, line_no FROM prices WHERE kind IN ('deal', 'listing') AND (kind <> 'deal' OR (event_date >= DATE '1996-01-01' AND event_date <= DATE '1997-12-31')) AND order_no % 2 = 1")
+def q_price_list(t):
+    rows = t.prices.withColumn("market", F.when(F.col("order_no") % 2 == 1, "resale").otherwise("new"))
+    return market.price_list(rows, "resale", ("deal", "listing"), ASIA.but(deal_from="1996-01-01", deal_to="1997-12-31")).select("id", "kind", "line_no")
+
+
+@query("""
+WITH n AS (SELECT entity_id, count(*) AS n FROM prices GROUP BY entity_id), c AS (SELECT * FROM (VALUES ('home:7', 1), ('home:3', 2), ('school:2', 3)) v(id, position))
+SELECT p.id, name, n.n AS prices, position FROM places p JOIN c ON c.id = p.id LEFT JOIN n ON n.entity_id = p.id""")
+def q_compare(t):
+    stats = t.prices.groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("prices"))
+    return detail.compare(t.places, stats, ["home:7", "home:3", "school:2"]).select("id", "name", "prices", "position")
+
+
+@query("""
+WITH i AS (SELECT DISTINCT school_id AS selected_id, home_id AS id, admission_type AS note FROM admissions WHERE year = '1998')
+SELECT selected_id, i.id, note FROM i JOIN places p ON p.id = i.id WHERE (contains(lower(name), '#00000001') OR contains(lower(note), '#00000001')) AND lat IS NOT NULL""")
+def q_relation_list(t):
+    items = t.admissions.where("year = '1998'").select(F.col("school_id").alias("selected_id"), F.col("home_id").alias("id"), F.col("admission_type").alias("note")).distinct()
+    places = t.places.select("id", "name")
+    at = items.join(t.places.select("id", geo.located(F.col("lat"), F.col("lng")).alias("located")), "id")
+    return detail.relation_list(at, places, " #00000001 ", located_only=True).select("selected_id", "id", "note")
+
+
+@query("SELECT id, post_count > 0 OR coalesce(pool_rank <= 20, false) OR id IN ('home:1', 'school:2') AS labelled FROM places WHERE lat IS NOT NULL")
+def q_markers(t):
+    ranked = t.places.where("has_candidate").select("id", F.col("pool_rank").alias("rank"))
+    return detail.markers(t.places, ranked, ("home:1", "school:2"), ASIA)
+
+
+@query("SELECT district, count(*) AS groups, sum(coalesce(group_member_count, 0)) AS members, count(*) FILTER (WHERE group_member_count > 0) AS with_members, count(*) FILTER (WHERE lat IS NOT NULL) AS located FROM places WHERE kind IN ('school_group', 'school') GROUP BY district")
+def q_member_totals(t):
+    return detail.member_totals(t.places.where("kind in ('school_group', 'school')"))
+
+
+@query("SELECT id, CAST(DATE '1970-01-01' + CAST(floor((posted * 86400000 + (CAST(id AS BIGINT) % 24) * 3600000 + 28800000) / 86400000) AS INT) AS STRING) AS posted_day FROM posts")
+def q_posted_day(t):
+    ms = F.col("posted") * 86_400_000 + F.col("id").cast("long") % 24 * 3_600_000
+    return t.posts.select("id", values.epoch_day(ms).cast("string").alias("posted_day"))
+
+
+@query("""
+SELECT source_id, CASE WHEN amount > 0 AND CAST(source_id AS BIGINT) % 2 = 0 THEN CAST(CAST(floor(amount) AS INTEGER) AS STRING) || ' yuan' WHEN developer IS NOT NULL THEN developer ELSE 'undisclosed' END AS label,
+       coalesce(delivery_date_raw, '') <> '' AS dated, substr(delivery_date_raw, 1, 10) AS day FROM projects""")
+def q_project_price_label(t):
+    label = values.project_price_label(F.col("amount").cast("int"), F.col("source_id").cast("long") % 2 == 1, F.lit("yuan"), F.col("developer"))
+    return t.projects.select("source_id", label.alias("label"), values.present(F.col("delivery_date_raw")).alias("dated"), values.profile_date(F.col("delivery_date_raw")).alias("day"))
+
+
+@query("""SELECT id, CAST(to_json({'id': id, 'kind': kind, 'built_year': built_year, 'post_count': post_count}) AS STRING) AS body FROM places""")
+def q_api_rows(t):
+    return t.places.select("id", publish.api_rows(t.places.select("id", "kind", "built_year", "post_count")).alias("body"))
+
+
+@query("SELECT id, name, kind FROM places")
+def q_public_keys(t):
+    return publish.public(t.places, ("id", "name", "kind", "receipt"))
+
+
+@query("""
+SELECT id, concat_ws(',', CASE WHEN CAST(substr(second_school, 8) AS INT) < 40 THEN second_school END, CASE WHEN first_school <> second_school AND CAST(substr(first_school, 8) AS INT) < 40 THEN first_school END) AS saved FROM policies""")
+def q_saved_ids(t):
+    valid = F.array(*[F.lit(f"school:{k}") for k in range(40)])
+    return t.policies.select("id", F.concat_ws(",", search.saved_ids(F.array("second_school", "first_school", "second_school"), valid)).alias("saved"))
+
+
+@query("SELECT source_id, 'file-' || CAST(amount AS STRING) AS path FROM projects WHERE amount IS NOT NULL AND CAST(source_id AS BIGINT) % 10 = 0")
+def q_changed_files(t):
+    files = t.projects.where("amount is not null").select("source_id", F.concat(F.lit("file-"), F.col("amount").cast("string")).alias("path"))
+    now = F.when(F.col("source_id").cast("long") % 10 == 0, "other").otherwise("same")
+    gone = publish.changed(files.select("path", F.concat("source_id", F.lit("same")).alias("sha256")), files.select("path", F.concat("source_id", now).alias("sha256")))
+    return gone.select(F.regexp_extract("sha256", "^([0-9]+)", 1).alias("source_id"), "path")
+
+
+@query("""
+SELECT event_id, purchase AND big AS snapshot, purchase AS project FROM (SELECT event_id, event_type = 'purchase' AS purchase, value > 0 AS big FROM events) x""")
+def q_import_gates(t):
+    bought = F.col("event_type") == "purchase"
+    rows = t.events.select("event_id", F.when(bought, "community_reference").otherwise("deal").alias("record_kind"), F.lit("c").alias("community"), F.lit("d").alias("district"), F.lit("https://x.org/a").alias("source_url"), F.col("value").alias("reference_unit_yuan_sqm"),
+                           F.when(bought, "ok").otherwise("failed").alias("detail_fetch_status"), F.lit(True).alias("district_consistent"), F.lit(True).alias("is_residential"), F.lit("n").alias("name"))
+    return rows.select("event_id", importers.accepted_snapshot().alias("snapshot"), importers.accepted_project().alias("project"))
+
+
+@query("""
+WITH pj AS (SELECT *, (CASE WHEN developer IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN property_type IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN units_raw IS NOT NULL THEN 1 ELSE 0 END)
+  + (CASE WHEN delivery_date_raw IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN opening_date_raw IS NOT NULL THEN 1 ELSE 0 END) AS score FROM projects),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, observed_at DESC, source_id DESC) AS rn FROM pj) x WHERE rn = 1),
+agreed AS (SELECT entity_id, max(observed_at) AS seen, CASE WHEN count(DISTINCT developer) = 1 THEN max(developer) END AS facade, CASE WHEN count(DISTINCT property_type) = 1 THEN max(property_type) END AS transit,
+  CASE WHEN count(DISTINCT delivery_date_raw) = 1 THEN max(delivery_date_raw) END AS delivery, CASE WHEN count(DISTINCT opening_date_raw) = 1 THEN max(opening_date_raw) END AS opening, CASE WHEN count(DISTINCT parking) = 1 THEN max(parking) END AS name FROM projects GROUP BY entity_id),
+f AS (SELECT p.id, coalesce(b.parking, a.name) AS record_name, coalesce(b.opening_date_raw, a.opening) AS opening, coalesce(b.delivery_date_raw, a.delivery) AS delivery, coalesce(b.developer, a.facade) AS facade, coalesce(b.property_type, a.transit) AS transit,
+  CASE WHEN CAST(substr(a.seen, 1, 4) AS INT) >= p.built_year THEN CAST(CAST(substr(a.seen, 1, 4) AS INT) - p.built_year AS STRING) END AS age
+  FROM places p LEFT JOIN best b ON b.entity_id = p.id LEFT JOIN agreed a ON a.entity_id = p.id WHERE p.kind = 'residential'),
+k AS (SELECT *, (record_name IS NOT NULL)::INT + (opening IS NOT NULL)::INT + (delivery IS NOT NULL)::INT + (facade IS NOT NULL)::INT + (age IS NOT NULL)::INT AS known FROM f)
+SELECT id, record_name, opening, delivery, age, facade, known AS extended_known, 14 - known AS extended_missing, CAST(floor((14 - known) / 14.0 * 100 + 0.5) AS INT) AS extended_missing_percent, coalesce('交通=' || transit, '') AS surrounding FROM k""")
+def q_extended_profile(t):
+    projects = t.projects.withColumn("name", F.col("parking")).withColumn("field_values", F.create_map(F.lit("外立面"), F.col("developer"), F.lit("交通情况"), F.col("property_type")))
+    r = profile.extended_profile(t.entities.where("kind = 'residential'"), projects)
+    around = F.concat_ws(";", F.transform("surrounding", lambda x: F.concat_ws("=", x["label"], x["value"])))
+    return r.select("id", "record_name", "opening", "delivery", "age", "facade", "extended_known", "extended_missing", "extended_missing_percent", around.alias("surrounding"))
+
+
+@query("WITH " + _LINKED + """, sel AS (SELECT id FROM places WHERE district = 'ASIA' AND kind IN ('residential', 'school')), a AS (SELECT DISTINCT * FROM admissions), sec AS (
+SELECT 'entity' AS section, id FROM sel
+UNION ALL SELECT 'admissions', place FROM (SELECT school_id AS place, a.* FROM a UNION SELECT k.id, a.* FROM a JOIN linked k ON k.school_id = a.school_id AND k.year = a.year UNION SELECT home_id, a.* FROM a) x
+UNION ALL SELECT 'posts', entity_id FROM (SELECT DISTINCT entity_id, post_id FROM post_places WHERE post_id IN (SELECT id FROM posts)) x
+UNION ALL SELECT 'prices', entity_id FROM prices UNION ALL SELECT 'projects', entity_id FROM projects UNION ALL SELECT 'market_snapshots', entity_id FROM snapshots UNION ALL SELECT 'history', entity_id FROM history
+UNION ALL SELECT 'mappings', entity_id FROM projects WHERE CAST(source_id AS BIGINT) % 3 <> 0
+UNION ALL SELECT 'co_mentions', id FROM (SELECT DISTINCT x.entity_id AS id, y.entity_id AS other FROM post_places x JOIN post_places y ON x.post_id = y.post_id AND (x.entity_id LIKE 'school:%') <> (y.entity_id LIKE 'school:%')) z
+UNION ALL SELECT 'school_records', id FROM (SELECT entity_id AS id, entity_id, year FROM rec UNION SELECT k.id, rec.entity_id, rec.year FROM rec JOIN linked k ON k.school_id = rec.entity_id AND k.year = rec.year) x
+UNION ALL SELECT 'school_links', id FROM (SELECT campus_id AS id, * FROM links UNION SELECT official_school_id, * FROM links) x
+UNION ALL SELECT 'policies', id FROM (SELECT first_school AS id, id AS p FROM policies UNION SELECT second_school, id FROM policies
+  UNION SELECT k.id, p.id FROM linked k JOIN (SELECT id, year, first_school AS s FROM policies UNION SELECT id, year, second_school FROM policies) p ON p.s = k.school_id AND p.year = k.year) x)
+SELECT section, sec.id, count(*) AS n FROM sec JOIN sel ON sel.id = sec.id GROUP BY section, sec.id""")
+def q_dossier(t):
+    sel = t.places.where("district = 'ASIA' and kind in ('residential', 'school')").select("id")
+    school = F.col("entity_id").startswith("school:")
+    a, b = t.post_places.where(school).withColumnRenamed("entity_id", "a"), t.post_places.where(~school).withColumnRenamed("entity_id", "b")
+    together = a.join(b, "post_id").groupBy("a", "b").agg(F.collect_set("post_id").alias("post_ids"))
+    prefix = F.when(F.col("source_id").cast("long") % 3 == 0, "candidate-history:").otherwise("map:")
+    policies = t.policies.select(F.col("id").alias("policy_id"), "year", F.array("first_school", "second_school").alias("school_ids"))
+    members = t.supplier.select(F.concat(F.lit("group:"), F.col("s_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("school:"), F.col("s_suppkey").cast("string")).alias("school_id"), F.lit("1998").alias("year"), (F.col("s_acctbal") > 0).alias("active"))
+    found = detail.dossier(
+        sel, t.entities, t.admissions.withColumnRenamed("id", "admission_id").distinct(), t.links, _records(t), t.posts, t.post_places, t.prices, t.projects, t.snapshots, together, policies, t.history,
+        t.projects.select(F.concat(prefix, "source_id").alias("source_id"), "entity_id"), members, sel.limit(0).select("id", F.col("id").alias("entity_id"), F.lit(0).cast("long").alias("distance")),
+    )
+    return detail.section_counts({k: v for k, v in found.items() if k not in ("nearby", "group_memberships")})
+
+
+@query("SELECT id, CAST(to_json({'type': 'Feature', 'geometry': {'type': 'Point', 'coordinates': [lng, lat]}, 'properties': {'id': id, 'name': name}}) AS STRING) AS feature FROM places WHERE lat IS NOT NULL")
+def q_geojson(t):
+    feature = geo.feature(F.col("lat"), F.col("lng"), id=F.col("id"), name=F.col("name"))
+    return t.places.select("id", feature.alias("feature")).where("feature is not null")
+
+
+@query("SELECT id FROM places WHERE contains(lower(replace(name || id || district, ' ', '')), '001home:')")
+def q_matching_options(t):
+    options = t.places.select("id", F.col("name").alias("label"), F.col("id").alias("value"), F.col("district").alias("group"))
+    return text.matching_options(options, "001 ＨＯＭＥ:").select("id")
