@@ -132,9 +132,71 @@ def policy_requirements(sources: DataFrame) -> DataFrame:
     return sources.select("id", "bundle", failed.alias("failed"))
 
 
-def whole_bundles(sources: DataFrame) -> DataFrame:
-    """(bundle, accepted): a bundle counts only if none of its sources breaks a requirement."""
-    return policy_requirements(sources).groupBy("bundle").agg(F.every(F.size("failed") == 0).alias("accepted"))
+def archive_requirements(records: DataFrame, hosts: dict[str, str], tree: str = "data/incremental/") -> DataFrame:
+    """(id, bundle, failed): what else an archived policy must prove of its record, its capture and its form.
+
+    records has one row per policy. Its record: id, bundle, source_id, creates_official_admission_relation,
+    source_bundle_path, sealed_matches (equal sources in the sealed bundle), district, url, this_run_network_fetch,
+    tls_verified, tls_note, source_year, publication_date, title. Its capture: path, absolute_path (null: not stated),
+    preserved_copy, copy_sha256, want_sha256, article, visible, exact_observed_at. Its form: of a .body page, page_text,
+    page_title, page_date, metadata_matches, metadata_tls, snapshot_run_at, metadata_run_at, response_date,
+    metadata_date, headers_sha256, want_headers_sha256; of a .json text, json_title, json_url, json_text,
+    json_observed_at. Missing values prove nothing, so they fail.
+    """
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    compact = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
+    under = lambda c, root: c.startswith(root) & ~F.contains(c, F.lit(".."))
+    page, text = F.coalesce(F.col("path").endswith(".body"), F.lit(False)), F.coalesce(F.col("path").endswith(".json"), F.lit(False))
+    host = F.try_element_at(F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair]), F.col("district"))
+    twice = F.count(F.lit(1)).over(W.partitionBy("bundle", "id")) > 1
+    rules = {
+        "creates_admissions": no(~F.col("creates_official_admission_relation")),
+        "identity": no(F.col("id").rlike("^[a-z0-9:._-]{1,160}$")),
+        "repeated_identity": twice,
+        "source_identity": no(F.col("source_id") == F.col("id")),
+        "bundle_outside_tree": no(under(F.col("source_bundle_path"), tree)),
+        "not_as_sealed": no(F.col("sealed_matches") == 1),
+        "unknown_district": host.isNull(),
+        "url_not_canonical": no(safe_url(F.col("url")) == F.col("url")),
+        "url_of_another_authority": no(F.regexp_extract("url", "^https?://([^/:?#]+)", 1) == host),
+        "claims_a_fetch": no(~F.col("this_run_network_fetch")),
+        "claims_verified_tls": F.coalesce(F.col("tls_verified"), F.lit(False)),
+        "tls_note_missing": no(present(F.col("tls_note"))),
+        "year": no(F.col("source_year").rlike("^20[0-9]{2}$")),
+        "publication_date": no(day(F.col("publication_date")).cast("string") == F.col("publication_date")),
+        "publication_of_another_year": no(F.col("publication_date").startswith(F.col("source_year"))),
+        "path_missing": F.col("path").isNull(),
+        "paths_conflict": F.col("absolute_path").isNotNull() & no(F.col("absolute_path").endswith(F.col("path"))),
+        "copy_outside_bundle": no(under(F.col("preserved_copy"), F.col("source_bundle_path"))),
+        "copy_differs": no(F.col("copy_sha256") == F.col("want_sha256")),
+        "school_year_not_named": no(F.contains(compact(F.col("article")), F.concat(F.col("source_year"), F.lit("学年")))),
+        "form": ~page & ~text,
+        "page_is_not_the_article": page & no(compact(F.col("page_text")) == compact(F.col("article"))),
+        "page_title": page & no(F.col("page_title") == F.col("title")),
+        "page_date": page & no(day(F.col("page_date")).cast("string") == F.col("publication_date")),
+        "metadata_ambiguous": page & no(F.col("metadata_matches") == 1),
+        "page_tls": page & no(~F.col("tls_verified") & ~F.col("metadata_tls")),
+        "server_time_as_client_time": page & F.col("exact_observed_at").isNotNull(),
+        "capture_run": page & no(F.col("snapshot_run_at") == F.col("metadata_run_at")),
+        "response_date": page & no(F.col("response_date") == F.col("metadata_date")),
+        "headers": page & no(F.col("headers_sha256") == F.col("want_headers_sha256")),
+        "text_tls": text & F.col("tls_verified").isNotNull(),
+        "text_title": text & no(F.col("json_title") == F.col("title")),
+        "text_url": text & no(F.col("json_url") == F.col("url")),
+        "text_differs": text & no(F.col("json_text") == F.col("visible")),
+        "text_observation": text & no(F.col("json_observed_at") == F.col("exact_observed_at")),
+        "text_without_date": text & no(F.contains("visible", "publication_date")),
+    }
+    failed = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
+    return records.select("id", "bundle", failed.alias("failed"))
+
+
+def whole_bundles(sources: DataFrame, *further: DataFrame) -> DataFrame:
+    """(bundle, accepted): a bundle counts only if none of its sources breaks a requirement, of further tables too."""
+    judged = policy_requirements(sources)
+    for more in further:
+        judged = judged.unionByName(more)
+    return judged.groupBy("bundle").agg(F.every(F.size("failed") == 0).alias("accepted"))
 
 
 def captured(rows: DataFrame, files: DataFrame, root: str = "data/incremental/") -> DataFrame:

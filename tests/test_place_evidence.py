@@ -122,3 +122,33 @@ def test_text_sizes_have_a_floor():
     assert geo.least_text_size(None) == 12 and geo.least_text_size(9) == 12 and geo.least_text_size(14) == 14
     assert geo.least_text_size(["interpolate", ["linear"], ["zoom"], 5, 8, 9, 16]) == ["interpolate", ["linear"], ["zoom"], 5, 12, 9, 16]
     assert geo.least_text_size(["step", ["zoom"], 8, 6, ["get", "s"]]) == ["step", ["zoom"], 12, 6, ["max", 12, ["get", "s"]]]
+
+
+def test_archived_policies_prove_their_record_capture_and_form(spark):
+    from terrafold.operators import reviews
+
+    art = "2026学年 " + "正文" * 60
+    record = dict(id="p:1", bundle="b", source_id="p:1", creates_official_admission_relation=False, source_bundle_path="data/incremental/x/", sealed_matches=1, district="甲", url="https://a.gov.cn/n/1", this_run_network_fetch=False,
+                  tls_note="none", source_year="2026", publication_date="2026-03-01", title="t", absolute_path=None, preserved_copy="data/incremental/x/c.body", copy_sha256="h", want_sha256="h", article=art)
+    page = dict(record, path="x/o.body", tls_verified=False, page_text=art.replace(" ", "\n"), page_title="t", page_date="20260301", metadata_matches=1, metadata_tls=False, snapshot_run_at="r", metadata_run_at="r", response_date="d", metadata_date="d", headers_sha256="k", want_headers_sha256="k")
+    visible = f"2026-03-01 {art}"
+    text = dict(record, id="p:2", source_id="p:2", path="x/o.json", tls_verified=None, visible=visible, exact_observed_at="o", json_title="t", json_url=record["url"], json_text=visible, json_observed_at="o")
+    flags = {"creates_official_admission_relation", "this_run_network_fetch", "tls_verified", "metadata_tls"}
+    names = [*{**page, **text}]
+    schema = ", ".join(f"{n} {'boolean' if n in flags else 'int' if n.endswith('_matches') else 'string'}" for n in names)
+    judge = lambda *rows: {r.id: set(r.failed) for r in reviews.archive_requirements(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema), {"甲": "a.gov.cn"}).collect()}
+    assert judge(page, text) == {"p:1": set(), "p:2": set()}
+    wrong = {
+        "creates_admissions": dict(creates_official_admission_relation=None), "identity": dict(id="P 1", source_id="P 1"), "source_identity": dict(source_id="p:9"), "bundle_outside_tree": dict(source_bundle_path="data/incremental/../x/", preserved_copy="data/incremental/../x/c"),
+        "not_as_sealed": dict(sealed_matches=2), "url_not_canonical": dict(url="https://a.gov.cn/n/1#z"), "url_of_another_authority": dict(url="https://b.gov.cn/n/1"), "claims_a_fetch": dict(this_run_network_fetch=True), "claims_verified_tls": dict(tls_verified=True), "tls_note_missing": dict(tls_note=" "),
+        "publication_of_another_year": dict(publication_date="2025-03-01", page_date="20250301"), "paths_conflict": dict(absolute_path="/else/o.html"), "copy_outside_bundle": dict(preserved_copy="data/other/c.body"), "copy_differs": dict(copy_sha256="z"), "form": dict(path="x/o.pdf"), "page_is_not_the_article": dict(page_text="z"),
+        "page_title": dict(page_title="z"), "page_date": dict(page_date=None), "metadata_ambiguous": dict(metadata_matches=0), "page_tls": dict(metadata_tls=True), "server_time_as_client_time": dict(exact_observed_at="o"), "capture_run": dict(metadata_run_at="z"), "response_date": dict(metadata_date="z"), "headers": dict(headers_sha256=None),
+    }
+    for k, (name, change) in enumerate(wrong.items()):
+        wrong[name] = dict(page, id=f"q:{k}", source_id=f"q:{k}") | change
+    got = judge(*wrong.values())
+    assert all(name in got[row["id"]] for name, row in wrong.items())
+    twice = judge(page, dict(page), dict(text, json_text="z", json_title="z", json_url="z", json_observed_at=None, tls_verified=False, publication_date="2026-04-01", source_year="2026"))
+    assert twice["p:1"] == {"repeated_identity"} and twice["p:2"] >= {"text_tls", "text_title", "text_url", "text_differs", "text_observation", "text_without_date"}
+    assert judge(dict(page, district="乙"))["p:1"] == {"unknown_district", "url_of_another_authority"} and "school_year_not_named" in judge(dict(page, article="x", page_text="x"))["p:1"]
+    assert "year" in judge(dict(page, source_year="26"))["p:1"] and "path_missing" in judge(dict(page, path=None))["p:1"] and "publication_date" in judge(dict(page, publication_date="2026-3-1"))["p:1"]
