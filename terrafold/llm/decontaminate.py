@@ -79,7 +79,8 @@ def within_radius(left: DataFrame, right: DataFrame, a: str, b: str, on: tuple[s
     """All (a, b) of equal `on` whose fingerprints differ in RADIUS bits at most: left (a, fp), right (b, fp)."""
     x = left.select(a, "fp", *on, F.explode(probes(F.col("fp"), FLIPS[0])).alias("__p"))
     y = right.select(b, F.col("fp").alias("__fp"), *on, F.explode(probes(F.col("fp"), FLIPS[1])).alias("__p"))
-    found = x.join(y, ["__p", *on]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= RADIUS)
+    # Both sides are dealt by key: items in probes are many times their own size, too large to broadcast unseen.
+    found = x.join(y.hint("merge"), ["__p", *on]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= RADIUS)
     return found.select(a, b).distinct()
 
 
