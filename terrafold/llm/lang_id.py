@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,11 +170,12 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
     looked at, so repeated rows agree. Columns lang_pred and score of the input are replaced; others pass through.
     """
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # 16 KB a family and a pair of languages of one family
+    # 16 KB a family and a pair of languages of one family, pickled by value: executors need no copy of this package.
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     @F.pandas_udf("lang_pred string, score double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+        m = pickle.loads(sent.value)
         for texts in parts:
             yield pd.DataFrame([m.predict(features(t)) for t in texts], columns=["lang_pred", "score"])
 
