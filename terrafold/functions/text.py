@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ from .values import digest
 
 _MENTIONED = "(" + "|".join(scope.CORE_DISTRICTS) + ")"
 
+# Executors get this module's functions by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     """Unicode compatibility composition, a batch at a time (Arrow's own leaves letters decomposed)."""
