@@ -164,6 +164,11 @@ def possible_duplicate(group: Column, baseline_matches: Column) -> Column:
     return present(group) | F.coalesce(baseline_matches > 0, F.lit(False))
 
 
+def flagged_duplicate(row: Column, payload: Column) -> Column:
+    """The short form of the same question: the row or its payload already says so."""
+    return F.coalesce(row, F.lit(False)) | F.coalesce(payload, F.lit(False))
+
+
 def building_age(built: Column, observed: Column) -> Column:
     """Years from the built year to the year of the observation, if both are known and in order."""
     b, o = explicit_year(built), explicit_year(observed)

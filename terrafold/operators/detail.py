@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import scope
@@ -281,3 +282,20 @@ def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
         part = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("section"), "id", "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def section_order(section: str) -> list[Column]:
+    """How a dossier's section reads: newest first for prices, projects and admissions, oldest first for history, nearest
+    first for neighbours; the rows' own ids tell ties apart."""
+    return {
+        "prices": [F.coalesce("event_date", "observed_at").desc_nulls_last(), F.col("price_id")],
+        "projects": [F.col("observed_at").desc_nulls_last(), F.col("source_id")],
+        "admissions": [F.col("year").desc_nulls_last(), F.col("admission_type"), F.col("admission_id")],
+        "history": [F.col("snapshot_date").asc_nulls_last(), F.col("event_id")],
+        "nearby": [F.col("distance").asc_nulls_last(), F.col("entity_id")],
+    }[section]
+
+
+def ordered(section: str, rows: DataFrame) -> DataFrame:
+    """A section's rows with ord, their position within their place (id)."""
+    return rows.withColumn("ord", F.row_number().over(W.partitionBy("id").orderBy(*section_order(section))))

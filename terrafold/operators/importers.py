@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import scope
 from ..functions.text import body_hash, meaningful_characters, rental_only
-from ..functions.values import positive, present, safe_url
+from ..functions.values import day, positive, present, safe_url
 from .predicates import first_reason
 
 # The identities that reviewed records carry.
@@ -165,6 +165,15 @@ def match_enrichments(candidates: DataFrame, deals: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).withColumn("fills", F.when(F.col("reason").isNull(), fills)).select(*candidates.columns, "reason", "fills")
 
 
+def source_rows(records: DataFrame) -> DataFrame:
+    """One source per record of a bundle: it is dated by the record's event, and observed when its detail page was, else
+    when the record was. records: id, label, kind, detail_observed_at, observed_at, event_date, source_url. Records that
+    share an id are one source; its values are then the least of theirs."""
+    values = {"label": F.col("label"), "kind": F.col("kind"), "observed_at": F.coalesce("detail_observed_at", "observed_at"), "source_as_of": day(F.col("event_date")), "url": safe_url(F.coalesce("source_url", F.lit("")))}
+    one = F.min(F.struct(*[c.alias(k) for k, c in values.items()])).alias("v")
+    return records.groupBy("id").agg(one).select("id", "v.*")
+
+
 def observation_body(parts: dict[str, Column]) -> Column:
     """A text of labelled lines, one per known part, in the given order."""
     return F.concat_ws("\n", *[F.when(present(c), F.concat(F.lit(f"{k}: "), c.cast("string"))) for k, c in parts.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import scope
 from ..functions.text import norm
 from ..functions.values import digest, district_name, id_set_lock
-from .predicates import first_reason
+from .predicates import first_reason, must
 
 
 def lookup(entities: DataFrame) -> DataFrame:
@@ -129,3 +129,42 @@ def identity_basis(basis: Column, source_name: Column, target_name: Column, proj
         .when(basis == "project_text", F.array_contains(project_names, source_name) & F.array_contains(project_names, target_name)),
         F.lit(False),
     )
+
+
+def history_places(rows: DataFrame, candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """rows plus entity_id: the candidate of the same name (the last by ord, if several), else the place that the name or
+    the matched name resolves to in any district.
+
+    rows: source, name, matched_name. candidates: name, entity_id, ord."""
+    known = candidates.groupBy(norm(F.col("name")).alias("__key")).agg(F.max_by("entity_id", "ord").alias("__known"))
+    j = rows.withColumn("__key", norm(F.col("name"))).join(known, "__key", "left")
+    matched = F.filter(F.array("matched_name"), lambda x: x.isNotNull())
+    open_ = j.where("__known is null").groupBy("source", "name").agg(F.array_distinct(F.flatten(F.collect_list(matched))).alias("aliases"))
+    records = open_.select("source", F.col("name").alias("record"), "name", F.lit("residential").alias("kind"), F.lit(None).cast("string").alias("district"), "aliases")
+    found = resolve(records, entities).select("source", F.col("record").alias("name"), F.col("entity_id").alias("__found"))
+    return j.join(found, ["source", "name"], "left").select(*[j[c] for c in rows.columns], F.coalesce("__known", "__found").alias("entity_id"))
+
+
+def crosswalk(links: DataFrame, records: DataFrame, entities: DataFrame) -> DataFrame:
+    """links plus entity_id, the school that holds the official id in that year. A link whose record or whose campus is
+    missing stops the query. links: campus_id, official_id, year. records: official_id, year, entity_id."""
+    own = records.groupBy("official_id", "year").agg(F.min("entity_id").alias("entity_id"))
+    there = entities.select(F.col("id").alias("campus_id"), F.lit(True).alias("__there")).distinct()
+    j = links.join(own, ["official_id", "year"], "left").join(there, "campus_id", "left")
+    ok = F.col("entity_id").isNotNull() & F.col("__there")
+    return j.select(*links.columns, must(ok, "a campus link's target is missing", F.col("entity_id")).alias("entity_id"))
+
+
+def project_merges(claims: DataFrame, projects: DataFrame, entities: DataFrame, spatial_prefix: str = "osm:") -> DataFrame:
+    """(id, source_id, from_entity_id, target, evidence_id): projects that a reviewed claim moves to its own place.
+
+    claims: evidence_id, entity_id (what it resolved to), target_entity_id, district, merge_ids. projects: id, source_id,
+    entity_id. A claim that did not resolve to its spatial target, or names a project that is missing or lies in another
+    district, stops the query. Use upsert.repoint with the moves on projects, prices and mappings."""
+    c = claims.where(F.col("target_entity_id").isNotNull() | (F.size("merge_ids") > 0))
+    resolved = (F.col("target_entity_id") == F.col("entity_id")) & F.col("entity_id").startswith(spatial_prefix)
+    c = c.select("evidence_id", must(resolved, "a project bridge did not resolve to its declared place", F.col("entity_id")).alias("target"), "district", F.explode_outer("merge_ids").alias("id"))
+    prior = projects.select("id", "source_id", F.col("entity_id").alias("from_entity_id")).join(entities.select(F.col("id").alias("from_entity_id"), F.col("district").alias("__district")), "from_entity_id")
+    j = c.join(prior, "id", "left").where(F.col("id").isNotNull() | ~F.col("target").startswith(spatial_prefix))
+    same = must(F.col("__district") == F.col("district"), "a project bridge's project is missing or in another district", F.col("from_entity_id"))
+    return j.select("id", "source_id", same.alias("from_entity_id"), "target", "evidence_id").where(F.col("from_entity_id") != F.col("target"))

@@ -156,6 +156,11 @@ def context_homes(entities: DataFrame, drawn: DataFrame, s: QueryState) -> DataF
     return entities.where(ok).join(drawn.select("id"), "id", "left_anti").dropDuplicates(["id"])
 
 
+def shown(results: DataFrame, pages: int = 1, size: int = scope.SOURCE_PAGE) -> DataFrame:
+    """Ranked results (ord from 1) as far as they are unrolled: each page adds so many."""
+    return results.where(F.col("ord") <= pages * size)
+
+
 def toggle_compare(ids: list[str], one: str, most: int = 4) -> list[str]:
     """The compare set with one place put in or taken out; a full set takes no more."""
     return [x for x in ids if x != one] if one in ids else ids if len(ids) >= most else [*ids, one]

@@ -403,11 +403,14 @@ def q_history_trend(t):
 
 
 @query("""
-SELECT id, row_number() OVER (ORDER BY CASE WHEN kind = 'school_group' THEN 0 ELSE 1 END, coalesce(group_member_count, 0) DESC, CASE WHEN has_candidate THEN 0 ELSE 1 END, coalesce(pool_rank, 9999), coalesce(post_count, 0) DESC, name, id) AS ord
-FROM places WHERE district = 'EUROPE' AND kind <> 'school'""")
+WITH own AS (SELECT DISTINCT school_id AS id FROM admissions WHERE active AND year = '1998'),
+off AS (SELECT id FROM own UNION SELECT campus_id FROM links WHERE year = '1998' AND kind <> 'documented_campus_affiliation' AND official_school_id IN (SELECT id FROM own)),
+m AS (SELECT * FROM places WHERE district = 'EUROPE'),
+k AS (SELECT * FROM m WHERE lat IS NOT NULL OR id NOT IN (SELECT official_school_id FROM links WHERE year = '1998' AND kind = 'portal_coordinate_match' AND campus_id IN (SELECT id FROM m WHERE lat IS NOT NULL)))
+SELECT id, row_number() OVER (ORDER BY CASE WHEN kind = 'school_group' THEN 0 ELSE 1 END, coalesce(group_member_count, 0) DESC, CASE WHEN id IN (SELECT id FROM off) THEN 0 ELSE 1 END, CASE WHEN has_candidate THEN 0 ELSE 1 END, coalesce(pool_rank, 9999), coalesce(post_count, 0) DESC, name, id) AS ord
+FROM k""")
 def q_priority_sort_topk(t):
-    e = t.entities.where("kind <> 'school'")
-    return search.query_entities(e, t.admissions.limit(0), t.links, t.prices, ASIA.but(district="EUROPE", kind="all", primary_only=False)).select("id", "ord")
+    return search.query_entities(t.entities, t.admissions, t.links, t.prices, ASIA.but(district="EUROPE", kind="all", primary_only=False)).select("id", "ord")
 
 
 @query("""
@@ -728,20 +731,26 @@ def q_detail_admissions(t):
     return found.groupBy("id", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH pc AS (SELECT entity_id, count(*) AS n FROM post_places GROUP BY 1), pr AS (SELECT entity_id, count(*) AS n FROM prices GROUP BY 1), pj AS (SELECT entity_id, count(*) AS n FROM projects GROUP BY 1),
-oy AS (SELECT campus_id, count(DISTINCT year) AS n FROM links GROUP BY 1)
-SELECT id, coalesce(pc.n, 0) AS posts, coalesce(pr.n, 0) AS prices, coalesce(pj.n, 0) AS projects, coalesce(oy.n, 0) AS official_years
-FROM places LEFT JOIN pc ON pc.entity_id = id LEFT JOIN pr ON pr.entity_id = id LEFT JOIN pj ON pj.entity_id = id LEFT JOIN oy ON oy.campus_id = id""")
+@query("WITH " + _RECORDS + """, pc AS (SELECT entity_id, count(*) AS n FROM post_places GROUP BY 1), pr AS (SELECT entity_id, count(*) AS n FROM prices GROUP BY 1), pj AS (SELECT entity_id, count(*) AS n FROM projects GROUP BY 1),
+oy AS (SELECT id, count(DISTINCT year) AS n, count(DISTINCT official) AS o FROM (SELECT campus_id AS id, year, official_school_id AS official FROM links UNION ALL SELECT entity_id, year, entity_id FROM rec) x GROUP BY 1),
+mem AS (SELECT 'group:' || CAST(s_nationkey AS STRING) AS group_id, 'school:' || CAST(s_suppkey AS STRING) AS school_id, s_acctbal > 0 AS active FROM supplier),
+gm AS (SELECT group_id AS id, count(*) FILTER (WHERE active) AS active, count(*) FILTER (WHERE NOT active) AS past FROM mem GROUP BY 1),
+gr AS (SELECT id, count(DISTINCT CASE WHEN active THEN group_id END) AS n FROM (SELECT school_id AS id, group_id, active FROM mem UNION ALL SELECT campus_id, group_id, active FROM mem JOIN links ON official_school_id = school_id) y GROUP BY 1)
+SELECT p.id, coalesce(pc.n, 0) AS posts, coalesce(pr.n, 0) AS prices, coalesce(pj.n, 0) AS projects, coalesce(oy.n, 0) AS official_years, coalesce(oy.o, 0) AS official_ids, coalesce(gm.active, 0) AS members, coalesce(gm.past, 0) AS past_members, coalesce(gr.n, 0) AS groups
+FROM places p LEFT JOIN pc ON pc.entity_id = p.id LEFT JOIN pr ON pr.entity_id = p.id LEFT JOIN pj ON pj.entity_id = p.id LEFT JOIN oy ON oy.id = p.id LEFT JOIN gm ON gm.id = p.id LEFT JOIN gr ON gr.id = p.id""")
 def q_bootstrap(t):
     e = t.entities
-    none = t.admissions.limit(0)
+    group, school = F.concat(F.lit("group:"), F.col("s_nationkey").cast("string")), F.concat(F.lit("school:"), F.col("s_suppkey").cast("string"))
+    members = t.supplier.select(group.alias("group_id"), school.alias("school_id"), school.alias("official_id"), (F.col("s_acctbal") > 0).alias("active"))
     r = detail.bootstrap(
         e.drop("candidate"), e.where("candidate is not null").select(F.col("id").alias("entity_id"), "candidate"), t.post_places, t.prices, t.projects.select("entity_id", F.col("parking").alias("name")),
-        none.select(F.col("school_id").alias("entity_id"), F.col("school_id").alias("official_id"), "year"), t.links, none.select(F.col("home_id").alias("group_id"), "school_id", F.col("school_id").alias("official_id"), "active"),
+        _records(t), t.links, members,
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return r.select("id", zero("post_count").alias("posts"), zero(F.size("price_filter")).alias("prices"), zero("project_count").alias("projects"), zero(F.size("official_years")).alias("official_years"))
+    return r.select(
+        "id", zero("post_count").alias("posts"), zero(F.size("price_filter")).alias("prices"), zero("project_count").alias("projects"), zero(F.size("official_years")).alias("official_years"), zero(F.size("official_ids")).alias("official_ids"),
+        zero("group_member_count").alias("members"), zero("historical_member_count").alias("past_members"), zero(F.size("school_group_ids")).alias("groups"),
+    )
 
 
 @query("""

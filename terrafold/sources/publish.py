@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,22 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; it goes when the driver's JVM ends.
+
+    Only a local session may do without that setting: its folder is a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path, _ = _fs(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def publish(tables: dict[str, DataFrame], root: str, checks: dict[str, DataFrame] | None = None) -> str:
     """Write all tables under a new revision, run the checks (each must have no row), then point CURRENT at it.
 

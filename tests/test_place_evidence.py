@@ -3,17 +3,20 @@
 import hashlib
 import json
 import os
+import subprocess
+import sys
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import article, geo
-from terrafold.operators import search, upsert
+from terrafold.operators import importers, resolve, search, upsert
 from terrafold.plans import queries
 from terrafold.sources import publish, readers
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 regex = pytest.importorskip("regex")
 
@@ -152,3 +155,66 @@ def test_archived_policies_prove_their_record_capture_and_form(spark):
     assert twice["p:1"] == {"repeated_identity"} and twice["p:2"] >= {"text_tls", "text_title", "text_url", "text_differs", "text_observation", "text_without_date"}
     assert judge(dict(page, district="乙"))["p:1"] == {"unknown_district", "url_of_another_authority"} and "school_year_not_named" in judge(dict(page, article="x", page_text="x"))["p:1"]
     assert "year" in judge(dict(page, source_year="26"))["p:1"] and "path_missing" in judge(dict(page, path=None))["p:1"] and "publication_date" in judge(dict(page, publication_date="2026-3-1"))["p:1"]
+
+
+def test_crosswalk_is_strict(spark):
+    records = spark.createDataFrame([("o1", "2026", "s1"), ("o1", "2025", "s0")], "official_id string, year string, entity_id string")
+    places = spark.createDataFrame([("c1",), ("s1",)], "id string")
+    link = lambda *rows: spark.createDataFrame(list(rows), "campus_id string, official_id string, year string")
+    assert [r.entity_id for r in resolve.crosswalk(link(("c1", "o1", "2026")), records, places).collect()] == ["s1"]
+    for bad in (("c2", "o1", "2026"), ("c1", "o1", "2024"), ("c1", "o2", "2026"), (None, "o1", "2026"), ("c1", None, "2026")):
+        with pytest.raises(Exception, match="target is missing"):
+            resolve.crosswalk(link(("c1", "o1", "2026"), bad), records, places).collect()
+    assert resolve.crosswalk(link(), records, places).count() == 0
+
+
+def test_project_merges(spark):
+    projects = spark.createDataFrame([("p1", "s1", "local:a"), ("p2", "s2", "osm:1"), ("p3", "s3", "local:b")], "id string, source_id string, entity_id string")
+    places = spark.createDataFrame([("osm:1", "X"), ("local:a", "X"), ("local:b", "Y")], "id string, district string")
+    claim = lambda *rows: spark.createDataFrame(list(rows), "evidence_id string, entity_id string, target_entity_id string, district string, merge_ids array<string>")
+    moves = lambda *rows: resolve.project_merges(claim(*rows), projects, places).collect()
+    assert [tuple(r) for r in moves(("e", "osm:1", "osm:1", "X", ["p1", "p2"]), ("f", "osm:1", None, "X", None))] == [("p1", "s1", "local:a", "osm:1", "e")]
+    assert moves(("e", "osm:1", "osm:1", "X", [])) == [] and moves() == []
+    for bad in (("e", "osm:1", "osm:2", "X", ["p1"]), ("e", "local:a", "local:a", "X", ["p1"]), ("e", "osm:1", None, "X", ["p1"]), ("e", "osm:1", "osm:2", "X", [])):
+        with pytest.raises(Exception, match="did not resolve"):
+            moves(bad)
+    for bad in (["p3"], ["p9"]):
+        with pytest.raises(Exception, match="missing or in another district"):
+            moves(("e", "osm:1", "osm:1", "X", bad))
+
+
+def test_sources_of_records(spark):
+    schema = "id string, label string, kind string, detail_observed_at string, observed_at string, event_date string, source_url string"
+    rows = [("a", "A", "k", None, "2026-01-02", "20260101", "https://u:p@x.test/a"), ("b", "B", "k", "2026-01-03", "2026-01-02", "soon", "https://x.test/b?c=1#d"), ("b", "B", "k", "2026-01-04", None, None, None)]
+    got = {r.id: (r.observed_at, str(r.source_as_of), r.url) for r in importers.source_rows(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a": ("2026-01-02", "2026-01-01", ""), "b": ("2026-01-03", "None", "https://x.test/b")}
+
+
+def test_history_falls_back_to_the_catalogue(spark):
+    places = spark.createDataFrame([("osm:1", "residential", "甲 苑", "X", 30.0, [])], "id string, kind string, name string, district string, lat double, aliases array<string>")
+    candidates = spark.createDataFrame([("乙", "old", 0), ("乙", "new", 1)], "name string, entity_id string, ord int")
+    rows = spark.createDataFrame([("d", "乙·", None), ("d", "丙", "甲苑"), ("d", "丁", None), ("e", "丁", None)], "source string, name string, matched_name string")
+    got = {(r.source, r.name): r.entity_id for r in resolve.history_places(rows, candidates, places).collect()}
+    assert got[("d", "乙·")] == "new" and got[("d", "丙")] == "osm:1"
+    assert got[("d", "丁")] == got[("e", "丁")] and got[("d", "丁")].startswith("local:residential:")
+
+
+def test_failed_checks_publish_nothing(spark, tmp_path):
+    root, good = f"file://{tmp_path}", spark.range(3)
+    first = publish.publish({"t": good}, root, {"none": good.limit(0)})
+    with pytest.raises(ValueError, match="rows"):
+        publish.publish({"t": good.limit(1)}, root, {"rows": good})
+    assert publish.current(spark, root) == first and publish.table(spark, root, "t").count() == 3
+
+
+def test_articles_where_workers_lack_the_package(tmp_path):
+    code = (
+        "import sys; from pyspark.sql import SparkSession; "
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); "
+        f"sys.path.insert(0, {ROOT!r}); from terrafold.functions import article, text; "
+        "r = s.createDataFrame([('<p class=article-content>ａ b</p>',)], 'h string').select(article.article('h').text.alias('t')); "
+        "assert r.select(text.nfkc('t').alias('t')).head().t == 'a b'"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr[-2000:]

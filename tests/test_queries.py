@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from terrafold.plans import canonical, queries
+from terrafold.plans import canonical, evidence, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
