@@ -56,7 +56,7 @@ def _path(spark: SparkSession, folder: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
 
     The table goes when the driver's JVM ends."""
@@ -65,7 +65,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at, fs = _path(spark, folder)
     fs.deleteOnExit(at)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=codec)
     return spark.read.schema(df.schema).parquet(folder)
 
 

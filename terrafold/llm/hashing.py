@@ -80,20 +80,44 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(hashed)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and hash of each word; words end at row ends."""
+def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes that are inside words; runs end at row ends."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if lower:
-        data = LOWER[data]
-    inside = ~SEPARATOR[data]
-    first = np.zeros(len(data), bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    starts = np.flatnonzero(inside & (first | np.concatenate(([True], ~inside[:-1]))))
-    last = np.zeros(len(data), bool)
     last[offsets[1:][offsets[1:] > 0] - 1] = True
+    starts = np.flatnonzero(inside & (first | np.concatenate(([True], ~inside[:-1]))))
     ends = np.flatnonzero(inside & (last | np.concatenate((~inside[1:], [True])))) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, word_hashes(data, starts, ends)
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether word a[k] has the bytes of word b[k], for each k; some hundred kilobytes of words at a time."""
+    lengths = ends - starts
+    same = lengths[a] == lengths[b]
+    for k in np.flatnonzero(same & (lengths[a] >= LONG_WORD)):
+        same[k] = np.array_equal(data[starts[a[k]] : ends[a[k]]], data[starts[b[k]] : ends[b[k]]])
+    short = np.flatnonzero(same & (lengths[a] < LONG_WORD))
+    total, at = np.cumsum(lengths[a[short]]), 0
+    for cut in np.searchsorted(total, np.arange(SLICE, total[-1] + SLICE, SLICE), "right") if len(short) else []:
+        if cut > at:
+            part = short[at:cut]
+            n = lengths[a[part]]
+            first = np.cumsum(n) - n
+            place = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
+            differ = data[place + np.repeat(starts[a[part]], n)] != data[place + np.repeat(starts[b[part]], n)]
+            same[part] = ~np.logical_or.reduceat(differ, first)
+            at = cut
+    return same
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of each word; words end at row ends."""
+    if lower:
+        data = LOWER[data]
+    starts, ends, row = spans(data, offsets, ~SEPARATOR[data])
+    return starts, ends, row, word_hashes(data, starts, ends)
 
 
 def rolling(hashed: np.ndarray, width: int, base: np.uint64 = _WINDOW) -> np.ndarray:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, lang_id, line_dedup, mixing, near_dedup, substring_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, filter_audit, html_extract, lang_id, line_dedup, media_columns, mixing, near_dedup, resampling, substring_dedup, url_filter
+from .oracles import AUDIT, MEDIA, RESAMPLING
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_html_extraction, op5_url_filter, op6_source_mixing, op7_chat_formatting, op8_line_dedup, op10_minhash_near_dedup, op2_benchmark_decontamination, op9_embedding_near_dedup, op3_substring_dedup)}
+def op11_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.text_as_media(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_html_extraction, op5_url_filter, op6_source_mixing, op7_chat_formatting, op8_line_dedup, op10_minhash_near_dedup, op2_benchmark_decontamination, op9_embedding_near_dedup, op3_substring_dedup, op11_media_columns, op12_filter_audit, op13_importance_resampling)}
 
 _TERM = r"(^|[^\p{L}\p{N}])%ss?($|[^\p{L}\p{N}])"
 _HIT = {t: f"CASE WHEN regexp_matches(u, '{_TERM % t}') THEN 1 ELSE 0 END" for t in url_filter.VOCABULARY}
@@ -66,6 +80,9 @@ _STRICT, _SOFT = (" + ".join(h for t, h in _HIT.items() if (url_filter.VOCABULAR
 _WEIGHT = " + ".join(f"{url_filter.VOCABULARY[t]} * {h}" for t, h in _HIT.items())
 
 ORACLE_SQL = {
+    "op11_media_columns": MEDIA,
+    "op12_filter_audit": AUDIT,
+    "op13_importance_resampling": RESAMPLING,
     "op5_url_filter": f"""
 WITH a AS (
   SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
