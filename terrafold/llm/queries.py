@@ -133,12 +133,12 @@ SELECT doc_id, min(size) AS size, min(source_size) AS source_size, min(target) A
        max(position) FILTER (WHERE pass = 0) AS position_1, max(position) FILTER (WHERE pass = 1) AS position_2, max(position) FILTER (WHERE pass = 2) AS position_3
 FROM y GROUP BY doc_id""",
     "op8_line_dedup": f"""
-WITH p AS (
-  SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents
-), f AS (
+WITH t AS (SELECT DISTINCT source, text FROM documents),
+p AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM t),
+f AS (
   SELECT source, line FROM (SELECT source, line, count(*) AS pages FROM p WHERE trim(line) <> '' GROUP BY source, line) x
-  JOIN (SELECT source AS s, count(*) AS total FROM documents GROUP BY source) y ON x.source IS NOT DISTINCT FROM y.s
-  WHERE pages - 1 > CAST({line_dedup.RATIO} AS DOUBLE) * (total + {line_dedup.PRIOR})
+  JOIN (SELECT source AS s, count(*) AS total FROM t GROUP BY source) y ON x.source IS NOT DISTINCT FROM y.s
+  WHERE pages > 1 AND pages > CAST({line_dedup.RATIO} AS DOUBLE) * total
 ), b AS (SELECT source AS s, list(line) AS lines FROM f GROUP BY source),
 k AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts, list_filter(string_split(text, chr(10)), lambda x: lines IS NULL OR NOT list_contains(lines, x)) AS kept

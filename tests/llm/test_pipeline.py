@@ -1,12 +1,15 @@
 """The stages on planted rows, and the registered queries on the smallest tables."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrafold.llm import queries
+from terrafold.llm import line_dedup, queries
+
+from .test_operators import prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +37,26 @@ def test_one_of_a_large_group_of_copies_keeps_its_text(spark):
     assert got == {k: t.rsplit("\n", 1)[0] for k, t in enumerate(texts)} | {100: copied}
 
 
+def test_near_copies_keep_a_whole_body_and_lose_their_footer(spark):
+    rng = random.Random(60)
+    foot = "all rights are reserved by the owner of this site"
+    clean = {k: f"{prose(rng, 40)}\n{prose(rng, 20)}" for k in range(240)}
+    body = "\n".join(prose(rng, 12) for _ in range(10))
+    rows = [(k, f"{t}\n{foot}", "en", "a", 1) for k, t in clean.items()] + [(k, f"{body}\nnote number {k}\n{foot}", "en", "a", 1) for k in range(300, 360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lined = corpus_pipeline.line_deduplication(spark, docs, SF)
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_deduplication(spark, lined, SF).collect()}
+    assert got == clean | {300: f"{body}\nnote number 300"}
+
+
+def test_lines_of_copies_stay_in_the_query_too(spark):
+    rng = random.Random(61)
+    copied = "\n".join(prose(rng, 8) for _ in range(5))
+    rows = [(k, prose(rng, 30), "a") for k in range(240)] + [(k, copied, "a") for k in range(300, 320)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id, r.text, r.n_removed) for r in got} == {(k, t, 0) for k, t, _ in rows}
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -46,12 +69,12 @@ def test_stages_return_the_columns_of_documents(spark):
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(queries.ORACLE_SQL[name]).df()
-    got = queries.QUERIES[name](spark, SF).select(*want.columns).toPandas()
-    key = want.columns[0]
-    a, b = (sorted(map(str, d.sort_values(key).astype(str).replace({"None": "", "nan": "", "<NA>": ""}).values.tolist())) for d in (got, want))
+    cur = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    shown = lambda rows: sorted(str([float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r]) for r in rows)
+    a, b = shown(queries.QUERIES[name](spark, SF).select(*names).collect()), shown(cur.fetchall())
     assert a == b
 
 

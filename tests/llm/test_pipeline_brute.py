@@ -28,6 +28,8 @@ def fixture():
         _, text, lang, source, _ = rows[3 * k] if k < 15 else rows[1]
         rows.append((200 + k, text if k % 2 else text + " end", lang, source, 0))
     rows += [(300, None, "en", "a", None), (301, "", None, "a", 0), (302, "12 34 56", "en", "b", 8), (None, prose(rng, 30), "en", "a", 1), (None, prose(rng, 30), None, None, 1)]
+    body = "\n".join(prose(rng, 14) for _ in range(10))
+    rows += [(400 + k, f"{body}\nnote number {k}", "en", "a", 1) for k in range(30)]  # near copies that share ten lines
     rows += [(303, "words " * 3000, "en", "b", 1), (304, footer["a"], "en", "a", 1)]
     rng.shuffle(rows)
     return rows, bench
@@ -35,12 +37,21 @@ def fixture():
 
 def plain(rows, bench):
     rows = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
-    seen, pages = collections.defaultdict(set), collections.Counter()
-    for source, text in {(r[3], r[1]) for r in rows}:
-        pages[source] += 1
-        for line in {x for x in text.split("\n") if x.strip(" ")}:
-            seen[source, line].add(text)
-    boiler = {at for at, texts in seen.items() if len(texts) - 1 > line_dedup.RATIO * (pages[at[0]] + line_dedup.PRIOR)}
+    texts = {(r[3], r[1]) for r in rows}
+    number = {t: k for k, t in enumerate(sorted({t for _, t in texts}))}
+    pages = collections.Counter(s for s, _ in texts)
+
+    def repeated(group):
+        seen = collections.defaultdict(set)
+        for source, text in texts:
+            for line in {x for x in text.split("\n") if x.strip(" ")}:
+                seen[source, line].add(group.get(text, text))
+        return {at for at, found in seen.items() if 1 < len(found) > line_dedup.RATIO * pages[at[0]]}
+
+    first = repeated({})
+    holders = {t for s, t in texts if any((s, x) in first for x in t.split("\n"))}
+    near = brute_near([(number[t], t) for t in holders], 5)
+    boiler = first & repeated({t: near[number[t]][1] for t in holders})
     rows = [(r[0], "\n".join(x for x in r[1].split("\n") if (r[3], x) not in boiler), r[2], r[3]) for r in rows]
     near = brute_near([r[:2] for r in rows], 5)
     rows = [r for r in rows if r[0] is None or near[r[0]][1] == r[0]]
