@@ -30,8 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop each source's boilerplate lines; every document stays, n_chars follows its text.
 
-    Copies of a text count once here: they are the next stage's to find, and their lines are no boilerplate."""
-    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), copies=False)
+    A group of near copies counts as one page here: it is the next stage's to find, and the lines that it shares are its
+    text and no boilerplate."""
+    near = lambda pages: near_dedup.near_duplicates(pages, "page").select(F.col("doc").alias("page"), F.col("component_id").alias("group"))
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), alike=near)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
