@@ -92,15 +92,26 @@ def reviewed(rows: DataFrame, reviews: DataFrame) -> DataFrame:
     return rows.join(r, "id", "left").withColumn("review_reason", reason).select(*rows.columns, "review_reason")
 
 
-def first_bodies(rows: DataFrame, order: Column) -> DataFrame:
+def first_bodies(rows: DataFrame, order: Column, known_ids: DataFrame | None = None, known_bodies: DataFrame | None = None) -> DataFrame:
     """rows plus reason: a repeated id, then a repeated body among the rows that are left; rejected rows keep no body.
 
-    Two windows in this order: ids first, hashes over the remaining rows."""
-    by_id = rows.withColumn("__i", F.row_number().over(W.partitionBy("id").orderBy(order)))
-    left = F.when(F.col("__i") == 1, F.lit(1))
-    by_hash = by_id.withColumn("__h", F.sum(left).over(W.partitionBy("body_sha256").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    reason = F.when(F.col("__i") > 1, "duplicate_id").when(F.col("__h") > 1, "duplicate_body")
-    return by_hash.withColumn("reason", reason).drop("__i", "__h")
+    order must not be null and must tell the rows of an id, and of a body, apart. known_ids (id) and known_bodies
+    (body_sha256), each value once, are those of earlier batches. First places are partial minima that the rows meet
+    again by key, so that an id or a body of very many rows, nulls included, is no window in one task."""
+
+    def first(found: DataFrame, among: DataFrame, c: str, known: DataFrame | None) -> DataFrame:
+        least = among.groupBy(F.col(c).alias("__key")).agg(F.min("__o").alias("__least"))
+        found = found.join(least, F.col(c).eqNullSafe(F.col("__key")), "left").withColumn("__later", F.col("__o") > F.col("__least")).drop("__key", "__least")
+        if known is not None:
+            old = known.select(F.col(c).alias("__key"), F.lit(True).alias("__old"))
+            found = found.join(old, F.col(c) == F.col("__key"), "left").withColumn("__later", F.col("__later") | F.col("__old").isNotNull()).drop("__key", "__old")
+        return found
+
+    judged = rows.withColumn("__o", order)
+    judged = first(judged, judged, "id", known_ids).withColumnRenamed("__later", "__again")
+    judged = first(judged, judged.where("not __again"), "body_sha256", known_bodies)
+    reason = F.when(F.col("__again"), "duplicate_id").when(F.col("__later"), "duplicate_body")
+    return judged.withColumn("reason", reason).select(*[c for c in rows.columns if c != "reason"], "reason")
 
 
 def enrichment_shape(row_url: str = "https://m.fang.com/chengjiao/hz/", focus: tuple[str, ...] = scope.MAIN_DISTRICTS, year: int = 2026) -> Column:

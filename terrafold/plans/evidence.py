@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from .. import scope
 from ..functions import geo, text, values
 from ..operators import detail, importers, mentions, predicates, resolve, reviews, search, upsert
-from ..sources import publish, readers
+from ..sources import publish, readers, versions
+from ..streaming import bundles
 from .queries import _RECORDS, ASIA, _records, query
 
 #: A note's id from a number, in both languages.
@@ -122,6 +123,80 @@ def q_source_rows(t):
     return importers.source_rows(rows).select("id", "label", "observed_at", F.col("source_as_of").cast("string").alias("source_as_of"), "url")
 
 
+# --- versioned tables ---
+
+
+@query("""
+SELECT o_orderkey AS id, o_custkey AS customer, CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 97 = 0 THEN 2 * o_totalprice ELSE o_totalprice END AS price, CAST(3 AS BIGINT) AS version
+FROM orders""")
+def q_transactions(t):
+    log = versions.Versions(t.spark, publish.workspace(t.spark, "transactions"))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    log.apply(lambda tx: tx.put("orders", rows, ["id"]))
+
+    def doubled(tx):
+        tx.compare_and_set("orders", tx.table("orders").where("id % 97 = 0").withColumn("new_price", F.col("price") * 2), ("id", "customer", "price"), ("price",))
+
+    runs = []
+
+    def marked(tx):
+        if not runs:  # another writer comes first: this run meets a conflict and is run again on what that one left
+            runs.append(log.apply(doubled))
+        tx.compare_and_set("orders", tx.table("orders").where("id % 89 = 0").withColumn("new_status", F.lit("X")), ("id", "status", "price"), ("status",))
+
+    log.apply(marked)
+
+    def stale(tx):
+        tx.repoint("orders", rows.where("id % 5 = 0").select("id", F.lit(0).cast("bigint").alias("target")), "customer")
+        tx.compare_and_set("orders", rows.where("id % 97 = 0").withColumn("new_price", F.lit(0.0)), ("id", "price"), ("price",))
+
+    try:
+        log.apply(stale)  # the prices that it expects are gone: nothing of it is done
+    except versions.Unapplied:
+        return log.table("orders").withColumn("version", F.lit(log.latest()).cast("long"))
+    raise AssertionError("a stale change was applied")
+
+
+@query("""
+SELECT id, name, CASE WHEN CAST(substr(id, 6) AS BIGINT) % 10 = 3 THEN 'moved' ELSE district END AS district FROM places WHERE kind = 'residential' AND CAST(substr(id, 6) AS BIGINT) % 4 <> 1
+UNION ALL SELECT id, upper(name), CASE WHEN CAST(substr(id, 6) AS BIGINT) % 10 = 3 THEN 'moved' ELSE 'late' END FROM places WHERE kind = 'residential' AND CAST(substr(id, 6) AS BIGINT) % 4 = 1
+UNION ALL SELECT id, name, 'last' FROM places WHERE kind = 'school'""")
+def q_versioned_merge(t):
+    log = versions.Versions(t.spark, publish.workspace(t.spark, "merge"))
+    places = t.places.select("id", "name", "district", "kind", F.substring("id", 6, 20).try_cast("long").alias("n"))
+    homes, row = places.where("kind = 'residential'"), ("id", "name", "district")
+    log.apply(lambda tx: tx.put("places", homes.where("n % 4 <> 1").select(*row), ["id"]))
+
+    def bundle(tx):
+        late = homes.select("id", F.upper("name").alias("name"), F.lit("late").alias("district"))
+        tx.insert_first("places", late.unionByName(homes.where("n % 4 = 1").select("id", "name", F.lit("later").alias("district"))), [F.col("district")])
+        schools = places.where("kind = 'school'").select(*row)
+        tx.insert_last("places", schools.unionByName(schools.withColumn("district", F.lit("last"))), [F.col("district") == "last"])
+
+    log.apply(bundle)
+    log.apply(lambda tx: tx.repoint("places", homes.where("n % 10 = 3").select("id", F.lit("moved").alias("target")), "district"))
+    return log.table("places")
+
+
+@query("""
+WITH d AS (SELECT doc_id AS ord, CAST(doc_id % (SELECT CAST(count(*) * 9 / 10 AS BIGINT) FROM documents) AS STRING) AS id, sha256(text) AS body FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS again FROM d),
+b AS (SELECT *, sum(CASE WHEN again = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY body ORDER BY ord ROWS UNBOUNDED PRECEDING) AS place FROM i)
+SELECT ord, id, CASE WHEN again > 1 THEN 'duplicate_id' WHEN place > 1 THEN 'duplicate_body' END AS reason FROM b""")
+def q_first_across_bundles(t):
+    folder = publish.workspace(t.spark, "bundles")
+    n = t.documents.count()
+    rows = t.documents.select(F.col("doc_id").alias("ord"), (F.col("doc_id") % (n * 9 // 10)).cast("string").alias("id"), F.sha2("text", 256).alias("body_sha256"))
+    log = versions.Versions(t.spark, f"{folder}/log")
+    for k in range(3):  # three bundles, each met by a stream that starts again from its checkpoint
+        part = rows.where(F.col("ord").between(k * n // 3, (k + 1) * n // 3 - 1) if k < 2 else F.col("ord") >= 2 * n // 3)
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        bundles.first_accepted(stream, "ord", log, f"{folder}/checkpoint", parts=4, buckets=4)
+    good, bad = log.table("rows"), log.table("rows_rejected")
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("ord", "id", "reason")
+
+
 # --- joins on identities ---
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import json
 import os
+import random
+import re
 import subprocess
 import sys
 import unicodedata
@@ -218,3 +220,54 @@ def test_articles_where_workers_lack_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert got.returncode == 0, got.stderr[-2000:]
+
+
+def plain_article(events, marker="article-content"):
+    """The article's text by looking at all earlier events again for each event: what is open then, and whether it speaks."""
+
+    def open_after(n):
+        names, begun, done = [], False, False
+        for kind, value, attrs in events[:n]:
+            if kind == "open" and not begun and marker in attrs.get("class", "").split():
+                names, begun = [value], True
+            elif kind == "open" and names and value not in article.VOID:
+                names = [*names, value]
+            elif kind == "close" and value in names:
+                names = names[: max(k for k, x in enumerate(names) if x == value)]
+                done = done or not names
+            if done:
+                return None
+        return names
+
+    said = []
+    for k, (kind, value, _) in enumerate(events):
+        names = open_after(k)
+        if names is None:
+            break
+        if not names or set(names) & article.SILENT:
+            continue
+        if kind == "text":
+            said.append(value)
+        elif value in article.BREAKS and (kind == "open" or value in names):
+            said.append("\n")
+        elif kind == "open" and value in article.CELLS:
+            said.append("\t")
+    lines = (re.sub("[\t \u00a0]+", " ", x).strip() for x in "".join(said).splitlines())
+    return "\n".join(x for x in lines if x)
+
+
+def test_misnested_articles():
+    of = lambda html: article.article_text(html)["text"]
+    assert of('<div class="article-content"><p><object>x</p><p>kept</p></div>') == "kept"
+    assert of('<div class="article-content"><section><div>a</section>b</div>tail</div>') == "a\nb"
+    assert of('<div class="article-content">' + "<div>" * 30_000 + "deep</b></i>" + "</div>" * 30_001 + "out") == "deep"
+    rng = random.Random(12)
+    names = ["div", "p", "section", "span", "object", "script", "br", "td", "b", "iframe", "li"]
+    for k in range(1500):
+        html = ["<i>before</i>"]
+        for n in range(rng.randint(1, 25)):
+            name = rng.choice(names)
+            mark = ' class="x article-content"' if rng.random() < 0.15 else ""
+            html.append(rng.choice([f"<{name}{mark}>", f"<{name}{mark}>", f"</{name}>", f"</{name}>", f"<{name}/>", f"t{n} \u00a0", f"</{rng.choice(names)}>", "&amp;<!-- c -->"]))
+        html = "".join(html)
+        assert of(html) == plain_article(article._Events(html).found), html
