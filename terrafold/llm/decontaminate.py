@@ -11,17 +11,22 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import drop_saved, saved, small
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Fingerprints of 64 bits match within this distance. Four blocks of sixteen bits: of 15 differing bits, some block has
-#: three at most, so probing each block's value and its 696 neighbours finds every fingerprint within the radius. The
-#: items, whose number does not go with the corpus, are probed so (flips of windows' and of items' blocks).
-RADIUS = 15
+#: Fingerprints of 64 bits match within this distance: of 19 differing bits, some block of sixteen has four at most, so
+#: probing each block's value and its 2,516 neighbours finds every fingerprint within the radius. The items, whose number
+#: does not go with the corpus, are probed so (flips of windows' and of items' blocks). Windows of similarity 0.8 or more
+#: differ by 10 bits in the mean; beyond 19 bits are 3 in a thousand at most, whatever shingles they lack or add, of items
+#: with six shingles or more.
+RADIUS = 19
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
-FLIPS = (0, 3)
+FLIPS = (0, 4)
+#: Items of so few shingles are looked up by these shingles instead: of five, one that is cut off moves a majority of
+#: bits, and fingerprints lie too far apart (1 in a hundred would be missed).
+FEW = 5
 #: Bit counters of 31 bits, two to a long: an array cannot have more elements than one counts.
 LANE = 31
 #: First words that a row of windows covers, so that a row's size does not go with the square of a document's matches.
@@ -70,8 +75,9 @@ def block(fp: Column, k: int) -> Column:
 def probes(fp: Column, flips: int) -> Column:
     """(block, value) of each block of a fingerprint and of all that differ from it in so many bits at most."""
     masks = [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(BLOCK_BITS), k)]
+    masks = F.expr(f"array({', '.join(map(str, masks))})")
     blocks = F.array(*[F.struct(F.lit(k).alias("k"), block(fp, k).alias("v")) for k in range(BLOCKS)])
-    masked = lambda p: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(p["k"].alias("k"), p["v"].bitwiseXOR(m).alias("v")))
+    masked = lambda p: F.transform(masks, lambda m: F.struct(p["k"].alias("k"), p["v"].bitwiseXOR(m).alias("v")))
     return F.flatten(F.transform(blocks, masked))
 
 
@@ -87,7 +93,7 @@ def within_radius(left: DataFrame, right: DataFrame, a: str, b: str, on: tuple[s
 def sharing_rare(grains: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """All (ck, it) where window ck has one of the item's shingles that fewest windows have: grains (ck, h), grams (it, h).
 
-    A window this similar lacks m - ceil(similarity * m) of an item's m shingles at most, repeated ones counted, so of
+    For items too short for the index (FEW). A window this similar lacks m - ceil(similarity * m) of an item's m shingles at most, repeated ones counted, so of
     one more than that it has some; the rarest are asked for. No such pair is missed, whatever its fingerprints.
     """
     grains = grains.distinct()
@@ -105,9 +111,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     it has a shingle of it, and moving its start to the first of these never lowers the similarity; so the windows are
     those that start at a shingle of the benchmark and have the size of an item with that shingle. Windows of equal
     content, in whatever documents, are fingerprinted once, over all of their shingles. The index gives all fingerprints
-    within RADIUS bits of an item's. That loses a few windows near the threshold (see README), so windows that share an
-    item's rarest shingles are candidates too, and none is missed. Weighted shingle similarity (sum of the smaller counts
-    over sum of the larger ones) decides.
+    within RADIUS bits of an item's; items of FEW shingles or fewer are looked up by shingle. Weighted shingle similarity
+    (sum of the smaller counts over sum of the larger ones) decides among these candidates. Equal windows are never missed,
+    similar ones by 3 in a thousand at most, see RADIUS.
 
     The benchmark's shingles are broadcast up to a row limit, beyond it they are joined by shuffle. Null ids on either
     side are left out (nothing could be reported); null and empty texts and items without words match nothing; repeated
@@ -141,8 +147,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     matched = saved(matched.select("doc", "width", "segs", of.alias("sh")), "matched")
     part = lambda s: F.struct(s["seg"].alias("seg"), s["hits"].alias("hits"), F.slice("sh", s["seg"] * SEGMENT + 1, SEGMENT + longest).alias("sh"))
     spans = matched.select("doc", "width", F.explode(F.transform("segs", part)).alias("s")).select("doc", "width", "s.*")
-    window = lambda x: F.transform(x["sizes"], lambda n: F.struct(x["pos"].alias("pos"), n.alias("n"), F.slice("sh", x["pos"] - F.col("seg") * SEGMENT + 1, n - F.col("width") + 1).alias("content")))
-    spans = spans.select("doc", "width", F.explode(F.flatten(F.transform("hits", window))).alias("s")).select("doc", "width", "s.*")
+    # Places and sizes become rows first, so that no row holds more than one window's content.
+    spans = spans.select("doc", "width", "seg", "sh", F.explode("hits").alias("x")).select("doc", "width", "seg", "sh", "x.pos", F.explode("x.sizes").alias("n"))
+    content = F.slice("sh", F.col("pos") - F.col("seg") * SEGMENT + 1, F.col("n") - F.col("width") + 1)
+    spans = spans.select("doc", "width", "pos", "n", content.alias("content"))
     spans = saved(spans.withColumn("ck", F.xxhash64("width", "n", "content")), "windows")
     contents = saved(spans.groupBy("ck").agg(F.first("width").alias("width"), F.first("n").alias("n"), F.first("content").alias("content")), "contents")
 
@@ -151,13 +159,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     windows = saved(fingerprints(grains, "ck").join(size(contents, "ck"), "ck"), "window-prints")
     prints = saved(fingerprints(grams, "it").join(size(items, "it"), "it"), "item-prints")
     pairs = within_radius(windows, prints, "ck", "it", ("n", "width"))
-    pairs = pairs.unionByName(sharing_rare(grains, grams, similarity)).distinct()
+    few = items.where(F.col("n") - F.col("width") + 1 <= FEW)
+    short = contents.join(small(saved(few.select("n", "width").distinct(), "few-sizes")), ["n", "width"], "left_semi").select("ck", F.explode("content").alias("h"))
+    pairs = pairs.unionByName(sharing_rare(short, grams.join(few.select("it"), "it", "left_semi"), similarity)).distinct()
     pairs = pairs.join(contents.select("ck", "n", "width", F.size("content").alias("total")), "ck").join(items.select("it", "item", F.col("n").alias("__n"), F.col("width").alias("__w"), (F.col("n") - F.col("width") + 1).alias("m")), "it").where("width = __w and n = __n")
     x = grains.groupBy("ck", "h").agg(F.count(F.lit(1)).alias("x"))
     y = grams.groupBy("it", "h").agg(F.count(F.lit(1)).alias("y"))
     both = pairs.join(x, "ck").join(y, ["it", "h"]).groupBy("ck", "it", "item", "total", "m").agg(F.sum(F.least("x", "y")).alias("same"))
     alike = both.withColumn("similarity", F.col("same") / (F.col("total") + F.col("m") - F.col("same"))).where(F.col("similarity") >= similarity)
     alike = small(saved(alike.groupBy("ck", "item").agg(F.max("similarity").alias("similarity")), "alike"))
+    for done in (items, grams, per_doc, matched, contents, windows, prints):
+        drop_saved(done)
     out = spans.select("doc", "pos", "ck").join(alike, "ck").groupBy("doc", "item").agg(F.max("similarity").alias("similarity"), F.countDistinct("pos").alias("n_windows"))
     return out.withColumnsRenamed({"doc": key, "item": item})
 

@@ -60,7 +60,8 @@ def demanded_by(time: Column, drift: Column) -> Column:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] | None = None, weights: Sequence[int] = WEIGHTS, slopes: Sequence[float] = SLOPES, max_passes: int = MAX_PASSES, by_copy: bool = False) -> DataFrame:
     """Every document once with size, source_size, target, copies, taken, positions and position, in training order.
 
-    Documents of a source stand in the order of their key's digest. Pass e over the source covers the words from
+    Documents of a source stand in the order of a digest of key and text, so that neither rows of one key, nulls among
+    them, nor copies of one text stand together. Pass e over the source covers the words from
     e * source_size on; a document is taken in every pass in which its middle comes before the target, so a source's
     taken words differ from its target by half a document at most and no document exceeds max_passes times its size.
     A copy's place in its source's target gives its time, by inverting the source's integrated schedule, and the time its
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     made = ["size", "source_size", "target", "copies", "taken", *(["copy"] if by_copy else ["positions"]), "position"]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     base = docs.select(*[F.col(c).alias(f"__c_{c}") for c in carried], F.col(source).alias("source"), F.col(key).alias("__key"), n_words(F.col(text)).alias("size"), digest.alias("__h"))
     base = base.withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
     ranges = saved(base.groupBy("source", "__b").agg(F.sum("size").alias("size")), "mix-ranges")

@@ -110,23 +110,41 @@ def test_ties_between_items_are_all_reported(spark):
     assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(5, 1, 1.0), (5, 2, 1.0), (5, 3, 1.0)]
 
 
-def test_index_is_selective_and_finds_similar_windows(spark):
+def test_index_is_selective_within_one_item_size(spark):
     rng = random.Random(22)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    side = lambda name, n: spark.createDataFrame([(k, signed(rng.getrandbits(64)), 20 + k % 25, 5) for k in range(n)], f"{name} long, fp long, n int, width int")
-    x, y = side("a", 1500), side("b", 400)
-    met = x.select("a", "n", F.explode(decontaminate.probes(F.col("fp"), decontaminate.FLIPS[0])).alias("p")).join(y.select("b", "n", F.explode(decontaminate.probes(F.col("fp"), decontaminate.FLIPS[1])).alias("p")), ["p", "n"]).count()
-    assert met < 0.005 * 1500 * 400
-    # Of windows with a similarity of 0.8 or more, the index alone finds nearly all.
-    rows = {"a": [], "b": []}
-    for k in range(300):
-        grams = [rng.getrandbits(63) for _ in range(rng.randint(9, 120))]
-        gone = rng.randint(0, len(grams) // 9)
+    side = lambda name, n: spark.createDataFrame([(k, signed(rng.getrandbits(64)), 20, 5) for k in range(n)], f"{name} long, fp long, n int, width int")
+    x, y = side("a", 1500), side("b", 100)
+    found = decontaminate.within_radius(x, y, "a", "b", ("n", "width"))
+    prints = [{r[0]: r.fp for r in df.collect()} for df in (x, y)]
+    want = {(a, b) for a, p in prints[0].items() for b, q in prints[1].items() if ((p ^ q) & (1 << 64) - 1).bit_count() <= decontaminate.RADIUS}
+    # Every pair within the radius, and no other, becomes a row, of whatever size the items are.
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) < 0.005 * 1500 * 100
+
+
+@pytest.mark.parametrize("m", [6, 9, 14, 20, 45, 120])
+def test_index_finds_similar_windows_of_every_size(spark, m):
+    rng, pairs, rows = random.Random(m), 400, {"a": [], "b": []}
+    mixes = [(same, own) for own in range(m // 4 + 1) for same in range(m + 1 - own) if same >= 0.8 * (m + own) and same + own]
+    for k in range(pairs):  # what a window keeps of an item, and what it has of its own: similarities from 0.8 on
+        same, own = sorted(mixes, key=lambda x: x[0] / (m + x[1]))[k % min(len(mixes), 4)]
+        grams = [rng.getrandbits(63) for _ in range(m)]
         rows["b"] += [(k, h) for h in grams]
-        rows["a"] += [(k, h) for h in grams[gone:] + [rng.getrandbits(63) for _ in range(gone)]]
+        rows["a"] += [(k, h) for h in rng.sample(grams, same) + [rng.getrandbits(63) for _ in range(own)]]
     a, b = (spark.createDataFrame(r, f"{name} long, h long") for name, r in rows.items())
     got = decontaminate.within_radius(decontaminate.fingerprints(a, "a"), decontaminate.fingerprints(b, "b"), "a", "b").where("a = b").count()
-    assert got >= 0.97 * 300
+    assert got >= 0.99 * pairs
+
+
+def test_the_index_makes_the_result(spark, monkeypatch):
+    rng = random.Random(31)
+    items = [(k, prose(rng, n)) for k, n in enumerate([6, 8, 12, 30, 30, 30])]
+    docs = [(k, f"{prose(rng, 5)} {items[k % 6][1]} {prose(rng, 5)}") for k in range(12)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(*frames).collect()}
+    assert pairs() == brute_contamination(docs, items)
+    monkeypatch.setattr(decontaminate, "within_radius", lambda x, y, a, b, on=(): x.limit(0).select(a).join(y.limit(0).select(b)))
+    assert {i for _, i in pairs()} == {0, 1}  # only items of FEW shingles do without it
 
 
 def test_fingerprints_count_many_shingles(spark):
@@ -316,6 +334,17 @@ def test_lines_by_url_host_and_repeated_rows(spark):
     assert len(got) == 23 and all(r.text == f"own {r.page_id}" for r in got)
 
 
+def test_mixing_of_rows_without_a_key(spark):
+    rows = [(None if k % 3 else k, f"{'word ' * (k % 17)}{k}", "a") for k in range(900)] + [(7, f"other text {k}", "a") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted((str(r.doc_id), r.text, r.position) for r in mixing.mix(d).collect()) for d in (df, df.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == 1200
+    # Neither null nor repeated keys stand together: in the order of positions they are spread over the whole range.
+    for key in ("None", "7"):
+        at = sorted(p for k, _, p in got[0] if k == key and p is not None)
+        assert at[0] < 0.1 and at[-1] > 0.9 and max(y - x for x, y in zip(at, at[1:])) < 0.1
+
+
 # --- embeddings ---
 
 
