@@ -21,20 +21,25 @@ NOISE = frozenset("nav footer aside script style noscript template iframe object
 SEMANTIC = frozenset("article main".split())
 CONTAINER = frozenset("article main body section div td center".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that stand inside a line of text, whether or not theirs is read: they do not end a block.
+PHRASING = INLINE | frozenset("button select textarea svg script style noscript template object canvas iframe audio video map".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
 SCOPE = frozenset("article main body section div table ul ol dl nav aside footer header form blockquote td th li".split())
 # Words that end a class, id or role name of boilerplate. The first ones count for paragraphs and inline
 # elements too, the others for containers only.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter notice notices "
-    "comment comments commentlist disqus breadcrumb breadcrumbs nav navbar navigation menu pagination pager footer".split()
+    "comment comments commentlist disqus discussion discussions breadcrumb breadcrumbs nav navbar navigation menu pagination pager footer".split()
 )
 MARKS = STRONG | frozenset(
     "banner header masthead sidebar rail reply replies respond notification alert popup modal overlay subscribe signup login share sharing social "
-    "related recommended skip toolbar widget contentinfo complementary search".split()
+    "related recommended popular trending skip toolbar widget contentinfo complementary search".split()
 )
+# Words that are part of other names too: inside an article they count only if all of the name's words are known here.
+UNSURE = frozenset("notice notices share sharing search rail reply replies respond alert header banner notification overlay login related popular trending promotion promo discussion discussions menu pagination footer skip widget".split())
+PLAIN = frozenset("main top bottom left right center site global page post article news social inline mobile desktop user reader readers email fb twitter mid in sticky fixed floating side outer inner bar full wide small large first second last js".split())
 # Words after which a name still means what the word before says, and words with which it means something else.
-TAIL = frozenset("area bar block body bottom box button buttons container content form group holder inner items left link links list message module outer panel placeholder posts right row section slot stories text thread top unit wrap wrapper".split())
+TAIL = frozenset("now today area bar block body bottom box button buttons container content form group holder inner items left link links list message module outer panel placeholder posts right row section slot stories text thread top unit wrap wrapper".split())
 OTHER = frozenset("no not non without with has is open opened closed close enabled disabled enable disable hide hidden show allow allowed free count".split())
 # Words that also name the layout around an article: they do not hold for an element that has an article inside.
 LAYOUT = frozenset("header masthead sidebar rail widget menu nav navbar banner toolbar".split())
@@ -42,11 +47,17 @@ LAYOUT = frozenset("header masthead sidebar rail widget menu nav navbar banner t
 NOT_THE_ARTICLE = frozenset("comment comments reply replies related recommended sponsored promo ad ads advert".split())
 # Headings that open a section of reader comments or of other boilerplate.
 HEADS = re.compile(
-    r"\W*(\d+\W+)?(reader |user |leserinnen |leser|weitere |verwandte |ähnliche |more |related )?"
-    r"(comments?|responses?|replies|leave a (comment|reply)|join the (discussion|conversation)|articles|posts|stories|newsletter|advertisement|sponsored|"
-    r"kommentare?|artikel|anzeige|commentaires?|articles? liés|publicité|comentarios?|artículos relacionados|publicidad)(\W+\d+)?\W*",
+    r"\W*(\d+\W+)?((reader |user |leserinnen |leser)?(comments?|responses?|replies|discussion|kommentare?|meinungen|opinions?|reactions?|réactions?|commentaires?|comentarios?|opiniones)"
+    r"( (der leser|von lesern|of readers|from readers|des lecteurs|de lecteurs|de los lectores|de lectores))?|"
+    r"leave a (comment|reply)|join the (discussion|conversation)|what (our )?readers say|leserbriefe|avis des lecteurs|newsletter|advertisement|sponsored|anzeige|publicité|publicidad|"
+    r"(weitere |verwandte |ähnliche |more |related )(articles|posts|stories|artikel)|articles? liés|artículos relacionados)(\W+\d+)?\W*",
     re.IGNORECASE,
 )
+# Headings that open lists of other pages, unless they are an article's own.
+LISTS = re.compile(r"\W*(\d+\W+)?(articles|posts|stories|artikel)(\W+\d+)?\W*", re.IGNORECASE)
+# What stands at the foot of each reader's comment.
+REPLY = re.compile(r"\W*(reply|reply to this|answer|antworten|répondre|responder|rispondi|reageren)(\W+\d+)?\W*", re.IGNORECASE)
+UNSEEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 
 #: Standard deviation, in lines, of the smoothing.
 SIGMA = 1.0
@@ -62,19 +73,27 @@ CUT = re.compile(r"</?[A-Za-z!?]|<$")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def boilerplate_words(attrs: list) -> set[str]:
-    """The words that class, id and role names end with, neutral ones apart; names with a word of OTHER say nothing."""
+def boilerplate_words(attrs: list, in_article: bool = False) -> set[str]:
+    """The words that class, id and role names end with, neutral ones apart; names with a word of OTHER say nothing, and
+    in an article a word of UNSURE only counts if the rest of its name is known too."""
     found = set()
     for k, v in attrs:
         for name in v.split() if v and k in ("class", "id", "role") else ():
             words = [w.lower() for w in WORDS.findall(name)]
-            while len(words) > 1 and words[-1] in TAIL:
+            while len(words) > 1 and (words[-1] in TAIL or len(words[-1]) == 1):
                 words.pop()
             if words and words[-1] in MARKS and OTHER.isdisjoint(words):
-                found.add(words[-1])
+                known = words[-1] not in UNSURE or all(w in MARKS or w in TAIL or w in PLAIN for w in words)
+                if known or not in_article:
+                    found.add(words[-1])
     return found
 
 
+def unseen(attrs: list) -> bool:
+    """Whether an element's attributes keep it from being shown."""
+    return any(k == "hidden" and v != "until-found" or k == "style" and v and UNSEEN.search(v) for k, v in attrs)
+
+
 class Page(HTMLParser):
     """Records a page's events: the tree of its elements, and its blocks of text pieces, each in its element.
 
@@ -82,7 +101,7 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.words = [""], [0], [frozenset()]  # element 0 is the page
+        self.tag, self.parent, self.words, self.unseen = [""], [0], [frozenset()], [False]  # element 0 is the page
         self.open, self.places = [0], {}  # open elements, and where in that list those of each tag stand
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
         self.pieces: list[tuple[int, str]] = []
@@ -103,7 +122,7 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag not in PHRASING:
             self.end_block()
         elif tag == "br":
             self.pieces.append((self.open[-1], " "))
@@ -114,7 +133,7 @@ class Page(HTMLParser):
             at = min((p[bisect_right(p, floor)] for t in CLOSES[tag] if (p := self.places.get(t)) and p[-1] > floor), default=0)
             if at:
                 self.pop(at)
-        words = boilerplate_words(attrs) if attrs and tag not in ("body", "html") else set()
+        words = boilerplate_words(attrs, self.last(SEMANTIC) > 0) if attrs and tag not in ("body", "html") else set()
         if words:
             if tag in SEMANTIC:
                 words &= NOT_THE_ARTICLE
@@ -127,13 +146,14 @@ class Page(HTMLParser):
         self.tag.append(tag)
         self.parent.append(self.open[-2])
         self.words.append(words)
+        self.unseen.append(bool(attrs) and tag not in ("body", "html") and unseen(attrs))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag not in PHRASING:
             self.end_block()
         at = self.last([tag])
         if at and not (tag in INLINE and at < self.last(SCOPE)):
@@ -151,6 +171,13 @@ def below(parent: list[int], own: list) -> list:
     return out
 
 
+def around(parent: list[int], e: int) -> Iterator[int]:
+    """The element and those around it, innermost first."""
+    while e:
+        yield e
+        e = parent[e]
+
+
 def sums(parent: list[int], own: list[int]) -> list[int]:
     """Total of each element and all inside it."""
     out = list(own)
@@ -160,17 +187,20 @@ def sums(parent: list[int], own: list[int]) -> list[int]:
 
 
 def hidden(page: Page) -> list[bool]:
-    """Which elements are boilerplate: by their tag, by what their attributes or headings say, or as lists of links."""
+    """Which elements are boilerplate: by their tag, by what their attributes or headings say, as lists of links, or as
+    readers' comments, each with its link to reply."""
     tag, parent, n = page.tag, page.parent, len(page.tag)
     within = below(parent, [t in SEMANTIC and not w for t, w in zip(tag, page.words, strict=True)])
     # A header is an article's own if it is inside one: its headings count, its other text does not.
-    outer = below(parent, [t in NOISE or (t == "header" and not within[p]) for t, p in zip(tag, parent, strict=True)])
+    outer = below(parent, [u or t in NOISE or (t == "header" and not within[p]) for t, u, p in zip(tag, page.unseen, parent, strict=True)])
     own_header, heading = below(parent, [t == "header" for t in tag]), below(parent, [t in HEADING for t in tag])
     gone = [o or (h and not k) for o, h, k in zip(outer, own_header, heading, strict=True)]
 
-    size, first, heads = [0] * n, [-1] * n, {}
+    size, first, heads, replies = [0] * n, [-1] * n, {}, [0] * n
     for at, (e, text) in enumerate(x for _, pieces in page.blocks for x in pieces):
         text = text.strip()
+        if text and len(text) < 40 and tag[e] in ("a", "button", "span") and REPLY.fullmatch(text):
+            replies[e] += 1
         if text and not gone[e]:
             size[e] += len(text)
             if heading[e]:
@@ -185,8 +215,17 @@ def hidden(page: Page) -> list[bool]:
         while tag[e] not in HEADING:
             e = parent[e]
         up = parent[e]
-        if tag[up] in ("section", "div") and first[up] == first[e] and HEADS.fullmatch(" ".join(parts)):
+        said = " ".join(parts)
+        if tag[up] in ("section", "div") and first[up] == first[e] and (HEADS.fullmatch(said) or not within[up] and LISTS.fullmatch(said)):
             marked[up] = True
+    replies, holding = sums(parent, replies), {}
+    for e in range(1, n):
+        if replies[e] and not holds[e]:
+            holding.setdefault((parent[e], tag[e]), []).append(e)
+    for comments in holding.values():  # like elements side by side, each with a link to reply
+        if len(comments) > 1:
+            for e in comments:
+                marked[e] = True
     in_link = below(parent, [t == "a" for t in tag])
     linked, links = sums(parent, [s if k else 0 for s, k in zip(size, in_link, strict=True)]), sums(parent, [int(t == "a") for t in tag])
     for e in range(1, n):
@@ -234,8 +273,8 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     """The article's blocks, joined by blank lines.
 
     Lines whose smoothed text-to-tag ratio reaches the page's standard deviation are content. The article is the
-    smallest article or main element, else the smallest container, that holds this share of the content's characters;
-    all of its lines outside boilerplate elements are kept, short ones too. What attributes and headings call boilerplate
+    smallest article or main element that holds this share of the content's characters, else the only such element that
+    the page has, else the smallest container that holds the share; all of its lines outside boilerplate elements are kept, short ones too. What attributes and headings call boilerplate
     is believed only while it leaves a fair part of the article.
     """
     if not html:
@@ -265,6 +304,12 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
         if fit:
             region = max(fit)  # the innermost: opened last
             break
+        if kinds is SEMANTIC:
+            alone = [e for e in range(1, len(held)) if page.tag[e] in kinds and not out[e]]
+            outermost = [e for e in alone if not any(x != e and x in alone for x in around(page.parent, e))] if len(alone) < 8 else []
+            if len(outermost) == 1 and held[outermost[0]]:
+                region = outermost[0]  # a page's only article or main says so itself, however short
+                break
     inside = below(page.parent, [e == region for e in range(len(page.tag))])
     return "\n\n".join(t for t, _, e in lines if inside[e])
 

@@ -27,6 +27,9 @@ FAMILIES = {
 #: Labelled rows that the models learn from, about: so many of each language, and of all together (many languages share
 #: these alike, one row each at least). The driver holds 16 KB for each.
 TRAIN_ROWS_PER_LANG, TRAIN_ROWS = 1200, 16_000
+#: Labels that a model learns at most; more are an error. A label outside FAMILIES makes a family, 16 KB of the model and
+#: one pass over the sample, of its own.
+MAX_LABELS = 1000
 #: Hashed character n-grams (of UTF-8 bytes) make so many features.
 N_FEATURES = 4096
 ORDERS = (1, 2, 3, 4)
@@ -136,16 +139,18 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     more than rows_in_all, those with the lowest hash of key and text (a null key is one like others; repeated rows teach
     once). No language is left out.
 
-    Rows with null text or label, or without a letter, teach nothing. Only the languages' counts and the sample's features
+    More than MAX_LABELS labels are an error. Rows with null text or label, or without a letter, teach nothing. Only the languages' counts and the sample's features
     reach the driver (4 KB a row, 16 KB while it learns). Without any row the model predicts und.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     most = 1 << 40
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(most))
-    counts = rows.groupBy(lang).agg(F.count(F.lit(1)), F.min(draw)).collect()
+    counts = rows.groupBy(lang).agg(F.count(F.lit(1)), F.min(draw)).limit(MAX_LABELS + 1).collect()
     if not counts:
         return Model()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"column {lang} has over {MAX_LABELS} labels: it holds something else than languages")
     wanted = max(1, min(rows_per_lang, rows_in_all // len(counts)))
     shares = [(name, max(least + 1, min(most, -(-most * wanted // n)))) for name, n, least in counts]
     shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "__lang string, __share long"))  # a row a language

@@ -75,6 +75,11 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op4_html_extraction, op5_url_filter, op6_source_mixing, op7_chat_formatting, op8_line_dedup, op10_minhash_near_dedup, op2_benchmark_decontamination, op9_embedding_near_dedup, op3_substring_dedup, op11_media_columns, op12_filter_audit, op13_importance_resampling)}
 
 _TERM = r"(^|[^\p{L}\p{N}])%ss?($|[^\p{L}\p{N}])"
+#: A URL's escapes of printable ASCII as characters, others as spaces.
+_UNESCAPED = "lower(coalesce(url, ''))"
+for _c in (*range(0x20, 0x25), *range(0x26, 0x7F)):
+    _UNESCAPED = f"replace({_UNESCAPED}, '%{_c:02x}', '{chr(_c).lower().replace(chr(39), 2 * chr(39))}')"
+_UNESCAPED = f"replace(regexp_replace({_UNESCAPED}, '%([013-9a-f][0-9a-f]|2[0-46-9a-f])', ' ', 'g'), '%25', '%')"
 _HIT = {t: f"CASE WHEN regexp_matches(u, '{_TERM % t}') THEN 1 ELSE 0 END" for t in url_filter.VOCABULARY}
 _STRICT, _SOFT = (" + ".join(h for t, h in _HIT.items() if (url_filter.VOCABULARY[t] >= url_filter.LIMIT) == strict) for strict in (True, False))
 _WEIGHT = " + ".join(f"{url_filter.VOCABULARY[t]} * {h}" for t, h in _HIT.items())
@@ -89,7 +94,7 @@ WITH a AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), b AS (
-  SELECT *, regexp_replace(lower(coalesce(url, '')), '%[0-9a-f]{{2}}', ' ', 'g') AS u,
+  SELECT *, {_UNESCAPED} AS u,
          CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
               WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'

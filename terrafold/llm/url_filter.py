@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -10,17 +11,29 @@ from pyspark.sql import functions as F
 
 from .common import ship, small_batches
 
-# The vocabulary by weight. A strict term rejects a URL alone; soft ones are telling or common words.
+# The vocabulary by weight, in several languages, without accents, as URLs mostly have words. A strict term
+# rejects a URL alone; soft ones are telling or common words.
 STRICT = (
     "porn porno pornography xxx hentai escort camgirl sexcam sextape milf nsfw casino sportsbook viagra cialis levitra kamagra tramadol "
-    "malware spyware ransomware phishing botnet warez keygen spam spambot doorway cloaking"
+    "malware spyware ransomware phishing botnet warez keygen spam spambot doorway cloaking "
+    "pornografie pornofilm hurenforum fickfilm pornographie pornographique pornografia pornografico pornofilme putas prostitutas xvideo"
 ).split()
 TELLING = (
     "adult sex sexy erotic erotica nude naked fetish webcam hookup bet betting gamble gambling poker slot roulette blackjack bookmaker lottery jackpot "
     "pill pharma pharmacy steroid weightloss loan payday forex crypto ad advert banner popup tracker affiliate clickbait torrent crack hack cheat pirate "
-    "backlink linkfarm"
+    "backlink linkfarm "
+    "erotik nackt nackte sexshop gluecksspiel spielautomat sportwetten wette wetten lotterie potenzmittel abnehmen kredit sofortkredit raubkopie "
+    "erotique nue sexe rencontre pari paris-sportifs loterie machine-a-sous credit pret regime-minceur piratage "
+    "erotico erotica desnuda desnudo sexo contactos apuesta apuestas tragamonedas ruleta loteria prestamo credito adelgazar pirateria "
+    "scommesse lotto prestito nuda sesso aposta apostas cassino emprestimo nudo gokken gokkast lening naakt"
+).split()
+COMMON = (
+    "free cheap win winner bonus deal discount offer prize dating girl hot click track redirect promo farm buy online fast cash money earn rich secret "
+    "gratis kostenlos billig gewinn gewinnspiel rabatt angebot preis geld verdienen reich geheim heiss kaufen schnell "
+    "gratuit gagner gagnant remise cadeau argent riche acheter rapide "
+    "gratuito barato ganar ganador descuento oferta premio dinero rico secreto comprar rapido "
+    "vincere sconto soldi guadagnare comprare ganhar dinheiro korting winnen geld"
 ).split()
-COMMON = "free cheap win winner bonus deal discount offer prize dating girl hot click track redirect promo farm buy online fast cash money earn rich secret".split()
 #: Weight of each term, and the weight of a URL's distinct terms that rejects it: one strict term, a telling one with any
 #: other, or three common ones. A plural in s counts as its term.
 VOCABULARY = dict.fromkeys(COMMON, 40) | dict.fromkeys(TELLING, 60) | dict.fromkeys(STRICT, 100)
@@ -28,6 +41,8 @@ LIMIT = 100
 #: Terms that a vocabulary given as a table may have at most; more are an error.
 MAX_TERMS = 1_000_000
 
+ESCAPE = re.compile("%([0-9a-f]{2})")
+
 #: (action, host, path prefix); the longest that fits decides.
 RULES = (
     ("allow", "com", "/"),
@@ -58,6 +73,12 @@ def automaton(vocabulary: Mapping[str, int]):
     return found
 
 
+def unescaped(url: str) -> str:
+    """A lower-case URL with percent escapes of printable ASCII as characters, and others as spaces, which part words."""
+    shown = lambda m: chr(c).lower() if 0x20 <= (c := int(m[1], 16)) < 0x7F else " "
+    return ESCAPE.sub(shown, url) if "%" in url else url
+
+
 def hits(matcher, url: str) -> tuple[int, int, int]:
     """Distinct strict and soft terms in a lower-case string, and their weight; a term counts only between non-alphanumerics."""
     seen = {}
@@ -77,7 +98,7 @@ def vocabulary_hits(vocabulary: Mapping[str, int] = VOCABULARY):
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = automaton(vocabulary)
         for urls in parts:
-            yield pd.DataFrame([hits(matcher, u) if u else (0, 0, 0) for u in urls], columns=["n_strict", "n_soft", "weight"]).astype({"n_strict": "int32", "n_soft": "int32", "weight": "int64"})
+            yield pd.DataFrame([hits(matcher, unescaped(u)) if u else (0, 0, 0) for u in urls], columns=["n_strict", "n_soft", "weight"]).astype({"n_strict": "int32", "n_soft": "int32", "weight": "int64"})
 
     return udf
 
@@ -107,16 +128,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def filter_urls(df: DataFrame, url: str = "url", vocabulary: Mapping[str, int] = VOCABULARY, limit: int = LIMIT, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Add host, path, rule, n_strict, n_soft, weight and verdict to each row; the rows stay whole and in place (no shuffle).
 
-    The vocabulary is matched over the whole lower-case URL, scheme, query and fragment too; percent escapes separate
-    words. URLs without :// have an empty host and path, fit no rule and are judged by the vocabulary; null and empty ones
+    The vocabulary is matched over the whole lower-case URL, scheme, query and fragment too; percent escapes of
+    printable ASCII are read as characters, others separate words. URLs without :// have an empty host and path, fit no rule and are judged by the vocabulary; null and empty ones
     have no hit and the verdict allow. Very long URLs are matched whole. Repeated rows are judged alike. Input columns of
     these names are replaced; others pass through. An empty table gives an empty table.
     """
     small_batches(df.sparkSession)
     taken = {"host", "path", "rule", "n_strict", "n_soft", "weight", "verdict"} - {url}
     out = df.drop(*taken).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    plain = F.regexp_replace(F.lower(url), "%[0-9a-f]{2}", " ")
-    out = out.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "__hits": vocabulary_hits(vocabulary)(plain)})
+    out = out.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "__hits": vocabulary_hits(vocabulary)(F.lower(url))})
     action: Mapping[str, str] = {h + p: a for a, h, p in rules}
     method = F.when(F.col("__hits.weight") >= limit, "block").otherwise("allow")
     by_rule = F.lit(None).cast("string")

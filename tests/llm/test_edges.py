@@ -82,6 +82,14 @@ def test_no_language_is_left_out_and_the_sample_is_bounded(spark, monkeypatch):
     assert collections.Counter(taught[1]) == collections.Counter(r[2] for r in set(rows))  # repeated rows teach once
 
 
+def test_free_text_is_no_language(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MAX_LABELS", 20)
+    df = spark.createDataFrame([(k, f"words of {k}", f"label {k}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 20 labels"):
+        lang_id.train(df)
+    assert lang_id.train(df.limit(20)).families
+
+
 def test_equal_votes_and_repeated_rows_agree(spark):
     rows = [(k, "same words here", lang) for k, lang in enumerate(["en", "de"] * 10)] + [(3, "same words here", "de")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -207,6 +215,25 @@ def article_page(rng):
     return page, "\n\n".join(blocks)
 
 
+def named_page(rng):
+    """Like article_page, with names and comments that no list of the operator was made from."""
+    page, text = article_page(rng)
+    say = lambda n: " ".join(rng.choice("water house old bridge river stone winter garden letter morning".split()) for _ in range(n)) + "."
+    menu = "<div class='x1'><ul>" + "".join(f"<li><a href=/{k}>{say(1)}</a></li>" for k in range(5)) + "</ul></div>"
+    talk = "".join(f"<div class='u{k}'><span>{say(2)}</span><time>May {k}</time><p>{say(9)}</p><a href=#r>{rng.choice(['Reply', 'Antworten', 'Responder'])}</a></div>" for k in range(rng.randint(2, 5)))
+    blocks = "".join(f"<p class='{rng.choice(['lede', 'k7', 'share-price', 'job-search', 'notice-of-death'])}'>{b}</p>" for b in text.split("\n\n"))
+    wrap = rng.choice(["<main>{}</main>", "<article class=a9>{}</article>", "<main><article>{}</article></main>"])
+    parts = [f"<div hidden><p>{say(30)}</p></div>", menu, wrap.format(blocks + rng.choice(["", f"<div>{talk}</div>"])), f"<div class=z2>{talk}</div>", f"<footer>{say(8)}</footer>"]
+    return f"<html><body><div id=q>{say(rng.randint(5, 25))}<a>OK</a></div>{''.join(parts)}</body></html>", text
+
+
+def test_articles_with_unknown_names():
+    rng = random.Random(27)
+    for _ in range(400):
+        page, text = named_page(rng)
+        assert html_extract.main_text(page) == text, page
+
+
 def test_articles_of_many_layouts():
     rng = random.Random(26)
     words = lambda t: collections.Counter(t.split())
@@ -239,6 +266,26 @@ def test_names_that_do_not_mark_boilerplate():
     assert html_extract.main_text(f'<article><p>{text}</p><p class="notice-period">One.</p><p class="social">Two.</p></article>') == f"{text.strip()}\n\nOne.\n\nTwo."
 
 
+def test_pages_that_were_read_wrongly():
+    text = "Long enough to be the content of the page, with words and words. " * 3
+    of, whole = html_extract.main_text, text.strip()
+    assert of(f"<div>We use cookies and others do too, as you know well. <a>Accept</a></div><main><p>{whole[:180]}</p></main>") == whole[:180].strip()
+    assert of(f'<article><p>{text}</p><div class="market-share"><p>{text}</p></div></article>') == f"{whole}\n\n{whole}"
+    for name in ("newsletter-signup-v2", "popular-now", "share-buttons", "social-share", "discussion"):
+        assert of(f'<article><p>{text}</p><div class="{name}"><p>Some words of it.</p></div></article>') == whole, name
+    for head in ("Articles", "Posts", "Stories", "Artikel"):
+        assert of(f"<article><p>{text}</p><section><h2>{head}</h2><p>{text}</p></section></article>") == f"{whole}\n\n{head}\n\n{whole}"
+        assert of(f"<div><div><p>{text}</p></div><section><h2>{head}</h2><p>One other.</p></section></div>") == whole
+    assert of(f"<article><p>{text}</p><div><h3>Meinungen der Leser</h3><p>Ganz falsch.</p></div></article>") == whole
+    comment = "<div><b>{}</b> <i>3 May</i><p>I do not think so at all, {}.</p><a href=#>{}</a></div>"
+    for word in ("Reply", "Antworten", "Répondre", "Responder"):
+        listed = "".join(comment.format(x, x, word) for x in ("Ann", "Bob", "Cem"))
+        assert of(f"<article><p>{text}</p><div>{listed}</div></article>") == whole
+    assert of(f"<article><p>{text}</p><p hidden>no</p><div style='color:red; display : none'><p>{text}</p></div></article>") == whole
+    assert of("<article><p>One <button>Buy</button>line <script>x</script>of text.</p></article>") == "One line of text."
+    assert of(f"<article><p>{text}</p><p><a href=#>Reply</a> is a word.</p></article>") == f"{whole}\n\nReply is a word."
+
+
 def test_page_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "<p>abc</p>", "old", "x"), (1, "<p>abc</p>", None, "x")], "page_id long, text string, n_chars string, __x string")
     got = html_extract.extract(df, html="text").collect()
@@ -254,6 +301,13 @@ def test_the_whole_url_is_judged_by_weight(spark):
         "casino.example.org/porn": "block",
         "http://x.org/a#viagra": "block",
         "http://x.org/%63%20casino%2F": "block",
+        "http://x.org/%63asino": "block",
+        "http://x.org/c%61sin%6F%2Fx": "block",
+        "http://x.org/%2563asino": "allow",
+        "http://x.org/casino%C3%A9": "block",
+        "http://x.de/sportwetten/gratis": "block",
+        "http://x.es/apuestas/dinero": "block",
+        "http://x.fr/gratuit/cadeau": "allow",
         "http://x.org/free-bet": "block",
         "http://x.org/pills/poker": "block",
         "http://x.org/poker/pokers": "allow",
