@@ -33,11 +33,12 @@ def _lists(found: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, lists: DataFrame, text: str, site: str | Column) -> DataFrame:
-    """docs joined with their site's list: __all (lines), __kept (those that stay)."""
+    """docs joined with their site's list: __all (lines), __hit (hashes of those that go), __kept (those that stay)."""
     out = docs.join(lists, _column(site).eqNullSafe(F.col("__site")), "left").withColumn("__all", F.split(text, "\n"))
     # The intersection hashes both sides once, so that a long list costs no more than its length for each page.
     out = out.withColumn("__hit", F.coalesce(F.array_intersect(_hashes(text), F.col("__lines")), F.array().cast("array<bigint>")))
-    return out.withColumn("__kept", F.filter("__all", lambda x: (F.trim(x) == "") | ~F.array_contains("__hit", F.xxhash64(x))))
+    stay = F.filter("__all", lambda x: (F.trim(x) == "") | ~F.array_contains("__hit", F.xxhash64(x)))
+    return out.withColumn("__kept", F.when(F.size("__hit") > 0, stay).otherwise(F.col("__all")))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str | Column = "source", ratio: float = RATIO, alike: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str | Column = "sourc
     if alike is None:
         return _lists(found)
     found = saved(found, "repeated-lines")
-    holders = _without(docs.where(F.col(text).isNotNull()), _lists(found), text, site).where(F.size("__kept") < F.size("__all"))
+    holders = _without(docs.where(F.col(text).isNotNull()), _lists(found), text, site).where(F.size("__hit") > 0)
     holders = saved(holders.select(F.xxhash64(text).alias("page"), F.col(text).alias("text")).dropDuplicates(["page"]), "pages-with-repeated-lines")
     groups = alike(holders).select("page", "group")
     near = found.withColumnsRenamed({"site": "__s", "line": "__l"})
@@ -79,4 +80,4 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str | Column = "sourc
     """
     out = _without(docs.drop("n_lines", "n_removed"), boilerplate(docs, text, site, ratio, alike), text, site)
     out = out.withColumns({"n_lines": F.coalesce(F.size("__all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__all") - F.size("__kept"), F.lit(0)).cast("long")})
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n"))).drop("__site", "__lines", "__all", "__hit", "__kept")
+    return out.withColumn(text, F.when(F.size("__hit") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__site", "__lines", "__all", "__hit", "__kept")
