@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import scope
@@ -135,6 +136,46 @@ def median(x: Column) -> Column:
     return F.when(even, round_half_up(F.median(x)).cast("double")).otherwise(F.median(x))
 
 
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """keys, median and n by selection, for groups of any size: the middle value, or the mean of the two middle ones.
+
+    A sketch of bounded size gives each group a range that is sure to hold its middle; what lies below is only counted, and
+    of what lies inside, some thousandths of the group, equal values meet in partial sums before they are numbered. So no
+    task holds a group. Nulls do not count; a group of nulls has none; NaN is above all numbers."""
+    x, within = F.col(value), [F.col(k) for k in keys]
+    share = F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy))
+    known = rows.where(x.isNotNull())
+    about = known.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.percentile_approx(x, share, F.lit(accuracy)).alias("__range"), F.count(F.lit(1)).alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    ranged = known.join(about, same)
+    low, high = F.element_at("__range", 1), F.element_at("__range", 2)
+    # Values outside the range are one row a group on each side; values inside are one row each, with their number.
+    spot = F.when(x < low, -1).when(x > high, 1).otherwise(0)
+    counted = ranged.groupBy(*within, "n", spot.alias("__side"), F.when(spot == 0, x).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
+    until = F.sum("__c").over(W.partitionBy(*within).orderBy("__side", "__value"))
+    placed = counted.withColumn("__until", until).withColumn("__from", F.col("__until") - F.col("__c") + 1)
+    at = lambda place: F.max(F.when((F.col("__from") <= place) & (F.col("__until") >= place), F.col("__value")))
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return placed.groupBy(*keys, "n").agg(((at(lower) + at(upper)) / 2).alias("median")).select(*keys, "median", "n")
+
+
+def normal_path(c: Column) -> Column:
+    """A relative path without empty, . and .. parts; null if it is absolute or climbs above where it starts."""
+    parts = F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    start = F.array().cast("array<string>")
+    up = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+    walked = F.aggregate(parts, start, lambda done, x: F.when(done.isNotNull(), F.when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))))
+    return F.when(~c.startswith("/"), F.array_join(walked, "/"))
+
+
+def contained(c: Column, root: Column | str) -> Column:
+    """Whether a relative path lies under a root, once both are normalised."""
+    path, base = normal_path(c), normal_path(F.lit(root) if isinstance(root, str) else root)
+    return F.coalesce((path != "") & ((base == "") | path.startswith(F.concat(base, F.lit("/")))), F.lit(False))
+
+
 def funding_gap(buy: Column, sale: Column, cash: Column, cost: Column, debt: Column) -> Column:
     """Net sale, available money and gap, if all five numbers are known."""
     b, s, c, f, d = (number(x) for x in (buy, sale, cash, cost, debt))

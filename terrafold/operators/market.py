@@ -89,7 +89,8 @@ def latest_per_day(rows: DataFrame, key: list[str], order: list[Column]) -> Data
 
 
 def price_list(prices: DataFrame, market: str | None, kinds: tuple[str, ...], s: QueryState) -> DataFrame:
-    """Price rows of a market and of kinds; the deal window binds deals only; newest first."""
+    """Price rows of a market and of kinds, with ord; the deal window binds deals only; newest first, then by id, kind and
+    time of observation. Numbers are dealt by day, so no task orders all rows."""
     event = F.col("event_date").cast("date")
     window = F.lit(True)
     if s.deal_from is not None:
@@ -98,4 +99,5 @@ def price_list(prices: DataFrame, market: str | None, kinds: tuple[str, ...], s:
         window = window & F.coalesce(event <= F.lit(s.deal_to).cast("date"), F.lit(False))
     ok = F.col("kind").isin(*kinds) & ((F.col("kind") != "deal") | window)
     rows = prices.where(ok if market is None else ok & (F.col("market") == market))
-    return rows.orderBy(F.coalesce("event_date", "observed_at").desc_nulls_last(), "id")
+    newest = F.coalesce(F.coalesce("event_date", "observed_at").cast("date"), F.lit("0001-01-01").cast("date"))
+    return global_rank(rows, [newest], [F.col("id"), F.col("kind"), F.col("observed_at")], "ord")

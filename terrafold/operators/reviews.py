@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, nfkc, norm
-from ..functions.values import day, present, safe_url
+from ..functions.values import contained, day, present, safe_url
 from .importers import NOTE_ID, SHA256, observation_body
 from .predicates import first_reason, must
 
@@ -145,7 +145,6 @@ def archive_requirements(records: DataFrame, hosts: dict[str, str], tree: str =
     """
     no = lambda c: ~F.coalesce(c, F.lit(False))
     compact = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
-    under = lambda c, root: c.startswith(root) & ~F.contains(c, F.lit(".."))
     page, text = F.coalesce(F.col("path").endswith(".body"), F.lit(False)), F.coalesce(F.col("path").endswith(".json"), F.lit(False))
     host = F.try_element_at(F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair]), F.col("district"))
     twice = F.count(F.lit(1)).over(W.partitionBy("bundle", "id")) > 1
@@ -154,7 +153,7 @@ def archive_requirements(records: DataFrame, hosts: dict[str, str], tree: str =
         "identity": no(F.col("id").rlike("^[a-z0-9:._-]{1,160}$")),
         "repeated_identity": twice,
         "source_identity": no(F.col("source_id") == F.col("id")),
-        "bundle_outside_tree": no(under(F.col("source_bundle_path"), tree)),
+        "bundle_outside_tree": ~contained(F.col("source_bundle_path"), tree),
         "not_as_sealed": no(F.col("sealed_matches") == 1),
         "unknown_district": host.isNull(),
         "url_not_canonical": no(safe_url(F.col("url")) == F.col("url")),
@@ -167,7 +166,7 @@ def archive_requirements(records: DataFrame, hosts: dict[str, str], tree: str =
         "publication_of_another_year": no(F.col("publication_date").startswith(F.col("source_year"))),
         "path_missing": F.col("path").isNull(),
         "paths_conflict": F.col("absolute_path").isNotNull() & no(F.col("absolute_path").endswith(F.col("path"))),
-        "copy_outside_bundle": no(under(F.col("preserved_copy"), F.col("source_bundle_path"))),
+        "copy_outside_bundle": ~contained(F.col("preserved_copy"), F.col("source_bundle_path")),
         "copy_differs": no(F.col("copy_sha256") == F.col("want_sha256")),
         "school_year_not_named": no(F.contains(compact(F.col("article")), F.concat(F.col("source_year"), F.lit("学年")))),
         "form": ~page & ~text,
@@ -200,9 +199,9 @@ def whole_bundles(sources: DataFrame, *further: DataFrame) -> DataFrame:
 
 
 def captured(rows: DataFrame, files: DataFrame, root: str = "data/incremental/") -> DataFrame:
-    """rows plus captured: whether the named body file lies under the root and has the stated digest."""
+    """rows plus captured: whether the named body file lies under the root, whatever .. it has, and has the stated digest."""
     f = files.select(F.col("path").alias("evidence_raw_path"), F.col("sha256").alias("evidence_sha256")).distinct().withColumn("__ok", F.lit(True))
-    inside = F.col("evidence_raw_path").startswith(root) & F.col("evidence_raw_path").endswith(".body") & ~F.contains("evidence_raw_path", F.lit(".."))
+    inside = contained(F.col("evidence_raw_path"), root) & F.col("evidence_raw_path").endswith(".body")
     return rows.join(f, ["evidence_raw_path", "evidence_sha256"], "left").withColumn("captured", F.coalesce(inside & F.col("__ok"), F.lit(False))).select(*rows.columns, "captured")
 
 

@@ -123,6 +123,20 @@ def q_source_rows(t):
     return importers.source_rows(rows).select("id", "label", "observed_at", F.col("source_as_of").cast("string").alias("source_as_of"), "url")
 
 
+@query("""
+SELECT lpad(CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(id, ''), lambda x: ascii(x)::HUGEINT)), lambda h, x: (xor(h, x) * 16777619::HUGEINT) % 4294967296::HUGEINT) % 128 AS VARCHAR), 3, '0') AS shard,
+       '{"id":"' || id || '","kind":"' || CASE WHEN id IN (SELECT min(id) FROM places) THEN 'changed' ELSE kind END || '"}' AS value, CAST(1 AS BIGINT) AS written, id IN (SELECT min(id) FROM places) AS changed FROM places""")
+def q_incremental_export(t):
+    root = publish.workspace(t.spark, "changed")
+    rows = t.places.select("id", "kind")
+    publish.export_changed(rows, root)
+    least = F.col("id") == rows.agg(F.min("id")).head()[0]
+    entry = publish.export_changed(rows.withColumn("kind", F.when(least, "changed").otherwise(F.col("kind"))), root)
+    now, before = publish.exported(t.spark, root), publish.exported(t.spark, root, "LISTING.previous")
+    old = before.select("value", F.lit(False).alias("changed"))
+    return now.join(old, "value", "left").select("shard", "value", F.lit(len(entry["written"])).cast("long").alias("written"), F.col("changed").isNull().alias("changed"))
+
+
 # --- versioned tables ---
 
 
@@ -286,6 +300,65 @@ def q_group_evidence(t):
     return got.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What row k of the archive breaks (its number modulo 40), and what a page and a text then fail.
+_BROKEN = {
+    1: ({"creates_official_admission_relation": "CAST(NULL AS BOOLEAN)"}, "creates_admissions", "creates_admissions"),
+    2: ({"id": "'P ' || k", "source_id": "'P ' || k"}, "identity", "identity"),
+    3: ({"source_id": "'z'"}, "source_identity", "source_identity"),
+    4: ({"source_bundle_path": "'data/other/'", "preserved_copy": "'data/other/c'"}, "bundle_outside_tree", "bundle_outside_tree"),
+    5: ({"sealed_matches": "2"}, "not_as_sealed", "not_as_sealed"),
+    6: ({"district": "'none'"}, "unknown_district,url_of_another_authority", "unknown_district,url_of_another_authority"),
+    7: ({"url": "'https://a1.gov.cn/n/1#z'", "json_url": "'https://a1.gov.cn/n/1#z'", "district": "'D1'"}, "url_not_canonical", "url_not_canonical"),
+    8: ({"url": "'https://b.gov.cn/n/1'", "json_url": "'https://b.gov.cn/n/1'"}, "url_of_another_authority", "url_of_another_authority"),
+    9: ({"this_run_network_fetch": "true"}, "claims_a_fetch", "claims_a_fetch"),
+    10: ({"tls_verified": "true"}, "claims_verified_tls,page_tls", "claims_verified_tls,text_tls"),
+    11: ({"tls_note": "' '"}, "tls_note_missing", "tls_note_missing"),
+    12: ({"source_year": "'26'"}, "year,publication_of_another_year", "year,publication_of_another_year"),
+    13: ({"publication_date": "'2026-3-1'"}, "publication_date,page_date", "publication_date,text_without_date"),
+    14: ({"path": "CAST(NULL AS STRING)"}, "path_missing,form", "path_missing,form"),
+    15: ({"absolute_path": "'/else/x'"}, "paths_conflict", "paths_conflict"),
+    16: ({"preserved_copy": "'data/incremental/b/../../../c'"}, "copy_outside_bundle", "copy_outside_bundle"),
+    17: ({"copy_sha256": "'z'"}, "copy_differs", "copy_differs"),
+    18: ({"article": "'x'", "page_text": "'x'"}, "school_year_not_named", "school_year_not_named"),
+    19: ({"path": "'data/incremental/b/o.pdf'"}, "form", "form"),
+    20: ({"page_text": "'z'"}, "page_is_not_the_article", ""),
+    21: ({"page_title": "'z'"}, "page_title", ""),
+    22: ({"page_date": "CAST(NULL AS STRING)"}, "page_date", ""),
+    23: ({"metadata_matches": "0"}, "metadata_ambiguous", ""),
+    24: ({"metadata_tls": "true"}, "page_tls", ""),
+    25: ({"exact_observed_at": "'o'"}, "server_time_as_client_time", ""),
+    26: ({"metadata_run_at": "'z'"}, "capture_run", ""),
+    27: ({"metadata_date": "'z'"}, "response_date", ""),
+    28: ({"want_headers_sha256": "CAST(NULL AS STRING)"}, "headers", ""),
+    29: ({"json_title": "'z'"}, "", "text_title"),
+    30: ({"json_url": "'z'"}, "", "text_url"),
+    31: ({"json_text": "'z'"}, "", "text_differs"),
+    32: ({"json_observed_at": "CAST(NULL AS STRING)"}, "", "text_observation"),
+    33: ({"tls_verified": "false"}, "", "text_tls"),
+    34: ({}, "repeated_identity", "repeated_identity"),
+    35: ({"source_bundle_path": "'data/incremental/x/../b/'"}, "", ""),
+}
+_SOUND = {
+    "id": "'p:' || k", "bundle": "'b'", "source_id": "'p:' || k", "creates_official_admission_relation": "false", "source_bundle_path": "'data/incremental/b/'", "sealed_matches": "1", "district": "'D' || (k % 3)", "url": "'https://a' || (k % 3) || '.gov.cn/n/' || k",
+    "this_run_network_fetch": "false", "tls_verified": "CASE WHEN page THEN false END", "tls_note": "'noted'", "source_year": "'2026'", "publication_date": "'2026-03-01'", "title": "'T' || k", "path": "CASE WHEN page THEN 'data/incremental/b/o.body' ELSE 'data/incremental/b/o.json' END",
+    "absolute_path": "CAST(NULL AS STRING)", "preserved_copy": "'data/incremental/b/./c'", "copy_sha256": "'h'", "want_sha256": "'h'", "article": "'2026 学年 ' || k", "visible": "'2026 学年 ' || k || ' of 2026-03-01'", "exact_observed_at": "CASE WHEN NOT page THEN 'o' END",
+    "page_text": "'2026学年' || k", "page_title": "'T' || k", "page_date": "'20260301'", "metadata_matches": "1", "metadata_tls": "false", "snapshot_run_at": "'r'", "metadata_run_at": "'r'", "response_date": "'d'", "metadata_date": "'d'", "headers_sha256": "'x'", "want_headers_sha256": "'x'",
+    "json_title": "'T' || k", "json_url": "'https://a' || (k % 3) || '.gov.cn/n/' || k", "json_text": "'2026 学年 ' || k || ' of 2026-03-01'", "json_observed_at": "'o'",
+}
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 40 AS r, (c_custkey // 40) % 2 = 0 AS page FROM customer UNION ALL SELECT c_custkey, c_custkey % 40, (c_custkey // 40) % 2 = 0 FROM customer WHERE c_custkey % 40 = 34)
+SELECT CASE WHEN r = 2 THEN 'P ' ELSE 'p:' END || k AS id, CASE r {' '.join(f"WHEN {r} THEN CASE WHEN page THEN '{p}' ELSE '{x}' END" for r, (_, p, x) in _BROKEN.items())} ELSE '' END AS failed FROM c""")
+def q_archive_requirements(t):
+    k = t.customer.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 40).alias("r"), (F.floor(F.col("c_custkey") / 40) % 2 == 0).alias("page"))
+    rows = k.unionByName(k.where("r = 34"))
+    changed = lambda name, sound: f"CASE r {' '.join(f'WHEN {r} THEN {change[name]}' for r, (change, _, _) in _BROKEN.items() if name in change)} ELSE {sound} END" if any(name in c for c, _, _ in _BROKEN.values()) else sound
+    records = rows.select(*[F.expr(changed(name, sound)).alias(name) for name, sound in _SOUND.items()])
+    hosts = {f"D{n}": f"a{n}.gov.cn" for n in range(3)}
+    return reviews.archive_requirements(records, hosts).select("id", F.array_join("failed", ",").alias("failed"))
+
+
 @query("""
 WITH r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'semantic_review_acceptance_required' WHEN doc_id % 13 = 0 THEN 'semantic_review_claim_body_hash_mismatch' WHEN doc_id % 17 = 0 THEN 'semantic_review_file_hash_required' WHEN doc_id % 19 = 0 THEN 'semantic_review_source_missing_or_outside'
   WHEN lang = 'es' THEN 'semantic_review_file_changed_or_hash_mismatch' WHEN lang = 'fr' THEN 'semantic_review_file_unreviewed' WHEN doc_id % 23 = 0 THEN 'semantic_review_note_not_found' WHEN doc_id % 29 = 0 THEN 'semantic_review_source_does_not_accept' WHEN doc_id % 31 = 0 THEN 'semantic_review_source_body_hash_mismatch' END AS reason FROM documents)

@@ -451,6 +451,10 @@ i AS (SELECT u.selected_id, u.tier, u.id, count(DISTINCT u.k) AS rows FROM (SELE
 """
 
 
+_NEAR = """near AS (SELECT a.id, b.id AS entity_id, """ + _DIST.format(a="a", b="b") + """ AS distance FROM places a JOIN places b ON abs(a.lat - b.lat) <= 0.019 AND abs(a.lng - b.lng) <= 0.023
+  WHERE ((a.kind = 'residential' AND b.kind = 'school' AND b.primary_school) OR (a.kind = 'school' AND b.kind = 'residential')) AND """ + _DIST.format(a="a", b="b") + " <= 2000), "
+
+
 def _items(t: Tables) -> tuple[DataFrame, DataFrame]:
     selected = t.places.where("kind = 'school'").select("id")
     s = ASIA.but(admission="A")
@@ -648,9 +652,17 @@ def q_day(t):
     return t.orders.select("o_orderkey", values.day(odd).cast("string").alias("d"))
 
 
-@query("SELECT page_id, 'unknown' AS market FROM pages")
+@query("""
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'new' WHEN o_orderkey % 9 IN (1, 2, 4, 5) THEN 'resale' WHEN o_orderkey % 9 = 7 THEN 'new' ELSE 'unknown' END AS market FROM orders""")
 def q_price_market(t):
-    return t.pages.select("page_id", values.price_market(F.lit("base"), F.lit("deal"), F.col("url"), [F.col("html")]).alias("market"))
+    k = F.col("o_orderkey") % 9
+    pick = lambda other, **at: F.coalesce(*[F.when(k == int(n[1:]), F.lit(v)) for n, v in at.items()], F.lit(other))
+    # 0 a project's reference, 1 an imported deal, 2 the deals' own source, 3 a project's deal, 4 and 5 a channel, 6 a channel of another site, 7 a worded reference, 8 none
+    source = pick("base", k0="new-project:1", k1="incremental-price:1", k2="deals", k3="new-project:2")
+    kind = pick("listing", k0="reference", k1="deal", k3="deal", k7="reference")
+    url = pick("https://x.test/a", k4="https://x.test/ershoufang/1", k5="https://hz.fang.com/esf/2", k6="https://hz.other.com/esf/2")
+    note = pick("", k7="历史／新房楼盘口径", k8="历史／新房楼盘口径")
+    return t.orders.select(F.col("o_orderkey").alias("k"), values.price_market(source, kind, url, [note]).alias("market"))
 
 
 @query("SELECT c_custkey, c_acctbal - 100 AS net_sale, c_acctbal - 100 + 50 AS available, 900 + 20 - (c_acctbal - 100 + 50) AS gap FROM customer WHERE c_acctbal >= 0")
@@ -901,10 +913,26 @@ def q_source_status(t):
 # --- panels, lists, exports ---
 
 
-@query("SELECT id, kind, line_no FROM prices WHERE kind IN ('deal', 'listing') AND (kind <> 'deal' OR (event_date >= DATE '1996-01-01' AND event_date <= DATE '1997-12-31')) AND order_no % 2 = 1")
+@query("""
+WITH r AS (SELECT DISTINCT id, kind, event_date, observed_at FROM prices WHERE kind IN ('deal', 'listing') AND (kind <> 'deal' OR (event_date >= DATE '1996-01-01' AND event_date <= DATE '1997-12-31')) AND order_no % 2 = 1)
+SELECT id, kind, row_number() OVER (ORDER BY coalesce(event_date, observed_at) DESC, id, kind, observed_at) AS ord FROM r""")
 def q_price_list(t):
-    rows = t.prices.withColumn("market", F.when(F.col("order_no") % 2 == 1, "resale").otherwise("new"))
-    return market.price_list(rows, "resale", ("deal", "listing"), ASIA.but(deal_from="1996-01-01", deal_to="1997-12-31")).select("id", "kind", "line_no")
+    rows = t.prices.withColumn("market", F.when(F.col("order_no") % 2 == 1, "resale").otherwise("new")).select("id", "kind", "event_date", "observed_at", "market").distinct()
+    return market.price_list(rows, "resale", ("deal", "listing"), ASIA.but(deal_from="1996-01-01", deal_to="1997-12-31")).select("id", "kind", F.col("ord").cast("long").alias("ord"))
+
+
+@query("""
+WITH rec AS (SELECT 'home:' || CAST(o_custkey AS STRING) AS id, year(o_orderdate) AS y FROM orders)
+SELECT id, coalesce(array_to_string(list_sort(list(DISTINCT y) FILTER (WHERE y IS NOT NULL)), ','), '') AS years, coalesce(array_to_string(list_sort(list(DISTINCT kind) FILTER (WHERE kind IS NOT NULL)), ','), '') AS kinds FROM (SELECT id, y, NULL AS kind FROM rec UNION ALL SELECT entity_id, NULL, kind FROM prices) x GROUP BY id""")
+def q_distinct_lists(t):
+    years = t.orders.select(F.concat(F.lit("home:"), F.col("o_custkey").cast("string")).alias("id"), F.year("o_orderdate").alias("y"), F.lit(None).cast("string").alias("kind"))
+    both = years.unionByName(t.prices.select(F.col("entity_id").alias("id"), F.lit(None).cast("int").alias("y"), "kind"))
+    return both.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("y")), ",").alias("years"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+
+
+@query("SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median, count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def q_hot_median(t):
+    return values.exact_median(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice")
 
 
 @query("""
@@ -1013,7 +1041,7 @@ UNION ALL SELECT 'school_records', id FROM (SELECT entity_id AS id, entity_id, y
 UNION ALL SELECT 'school_links', id FROM (SELECT campus_id AS id, * FROM links UNION SELECT official_school_id, * FROM links) x
 UNION ALL SELECT 'policies', id FROM (SELECT first_school AS id, id AS p FROM policies UNION SELECT second_school, id FROM policies
   UNION SELECT k.id, p.id FROM linked k JOIN (SELECT id, year, first_school AS s FROM policies UNION SELECT id, year, second_school FROM policies) p ON p.s = k.school_id AND p.year = k.year) x)
-SELECT section, sec.id, count(*) AS n FROM sec JOIN sel ON sel.id = sec.id GROUP BY section, sec.id""")
+SELECT section, sec.id, count(*) AS n FROM sec JOIN sel ON sel.id = sec.id GROUP BY section, sec.id""".replace("UNION ALL SELECT 'policies', id FROM", "UNION ALL SELECT 'nearby', id FROM near UNION ALL SELECT 'policies', id FROM").replace("sec AS (", _NEAR + "sec AS (", 1))
 def q_dossier(t):
     sel = t.places.where("district = 'ASIA' and kind in ('residential', 'school')").select("id")
     school = F.col("entity_id").startswith("school:")
@@ -1024,9 +1052,25 @@ def q_dossier(t):
     members = t.supplier.select(F.concat(F.lit("group:"), F.col("s_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("school:"), F.col("s_suppkey").cast("string")).alias("school_id"), F.lit("1998").alias("year"), (F.col("s_acctbal") > 0).alias("active"))
     found = detail.dossier(
         sel, t.entities, t.admissions.withColumnRenamed("id", "admission_id").distinct(), t.links, _records(t), t.posts, t.post_places, t.prices, t.projects, t.snapshots, together, policies, t.history,
-        t.projects.select(F.concat(prefix, "source_id").alias("source_id"), "entity_id"), members, sel.limit(0).select("id", F.col("id").alias("entity_id"), F.lit(0).cast("long").alias("distance")),
+        t.projects.select(F.concat(prefix, "source_id").alias("source_id"), "entity_id"), members, spatial.nearby(t.places, sel),
+    )
+    return detail.section_counts({k: v for k, v in found.items() if k != "group_memberships"})  # no group is selected: q_dossier_rows has them
+
+
+@query(f"""
+WITH {{near}}m AS (SELECT 'group:' || CAST(s_nationkey AS STRING) AS id, 'school:' || CAST(s_suppkey AS STRING) AS school FROM supplier)
+SELECT 'nearby' AS section, id, entity_id, CAST(distance AS BIGINT) AS distance FROM near WHERE id IN (SELECT id FROM places WHERE district = 'ASIA')
+UNION ALL SELECT 'group_memberships', id, school, NULL FROM m WHERE id IN (SELECT id FROM places WHERE district = 'ASIA')""".replace("{near}", _NEAR))
+def q_dossier_rows(t):
+    sel = t.places.where("district = 'ASIA'").select("id")
+    members = t.supplier.select(F.concat(F.lit("group:"), F.col("s_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("school:"), F.col("s_suppkey").cast("string")).alias("school_id"), F.lit("1998").alias("year"), (F.col("s_acctbal") > 0).alias("active"))
+    none = lambda *names: t.links.limit(0).select(*[F.lit("").alias(n) for n in names])
+    found = detail.dossier(
+        sel, t.entities, t.admissions.withColumnRenamed("id", "admission_id").distinct(), t.links, _records(t), t.posts, t.post_places, t.prices, t.projects, t.snapshots,
+        none("a", "b", "post_ids"), none("policy_id", "year").withColumn("school_ids", F.array().cast("array<string>")), t.history, none("source_id", "entity_id"), members, spatial.nearby(t.places, sel),
     )
-    return detail.section_counts({k: v for k, v in found.items() if k not in ("nearby", "group_memberships")})
+    near = found["nearby"].select(F.lit("nearby").alias("section"), "id", "entity_id", F.col("distance").cast("long").alias("distance"))
+    return near.unionByName(found["group_memberships"].select(F.lit("group_memberships").alias("section"), "id", F.col("official_id").alias("entity_id"), F.lit(None).cast("long").alias("distance")))
 
 
 @query("SELECT id, CAST(to_json({'type': 'Feature', 'geometry': {'type': 'Point', 'coordinates': [lng, lat]}, 'properties': {'id': id, 'name': name}}) AS STRING) AS feature FROM places WHERE lat IS NOT NULL")

@@ -37,6 +37,77 @@ def workspace(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole in place of an old one."""
+    fs, draft, jvm = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(draft, jvm.org.apache.hadoop.fs.Path(path), options)
+
+
+def _read(spark: SparkSession, path: str) -> str | None:
+    fs, at, _ = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    read = fs.open(at)
+    try:
+        return bytes(read.readAllBytes()).decode()
+    finally:
+        read.close()
+
+
+def export_changed(details: DataFrame, root: str, key: str = "id", shards: int = scope.SHARDS, **facts) -> dict:
+    """Export one JSON row per place in shards, writing only those that differ from the last export; the new listing.
+
+    A shard is compared by its number of rows and a digest that does not depend on their order. Listings name each shard's
+    folder, so an unchanged shard stays where it lies; LISTING is replaced whole at the end, and the one before stays as
+    LISTING.previous. A failed export leaves both as they were. A row per shard reaches the driver."""
+    spark, revision = details.sparkSession, uuid.uuid4().hex
+    rows = details.select(shard(F.col(key), shards).alias("shard"), F.to_json(F.struct(*details.columns), {"ignoreNullFields": "false"}).alias("value"))
+    found = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("a"), F.sum(F.hash("value").cast("decimal(38,0)")).alias("b")).collect()
+    old = json.loads(_read(spark, f"{root}/LISTING") or '{"shards": {}}')
+    listed = {}
+    for r in sorted(found):
+        digest = f"{r['rows']}:{r['a']}:{r['b']}"
+        kept = old["shards"].get(r["shard"], {})
+        listed[r["shard"]] = {"digest": digest, "rows": r["rows"], "folder": kept["folder"] if kept.get("digest") == digest else f"exports/{revision}/shard={r['shard']}"}
+    written = sorted(s for s, x in listed.items() if revision in x["folder"])
+    if written:
+        rows.where(F.col("shard").isin(*written)).repartition(len(written), "shard").write.partitionBy("shard").text(f"{root}/exports/{revision}")
+    entry = {"schema_version": 1, "revision": revision, "shards": listed, "written": written, **facts}
+    if old["shards"]:
+        _replace(spark, f"{root}/LISTING.previous", json.dumps(old))
+    _replace(spark, f"{root}/LISTING", json.dumps(entry, ensure_ascii=False))
+    return entry
+
+
+def exported(spark: SparkSession, root: str, listing: str = "LISTING") -> DataFrame:
+    """(shard, value): the rows of an export, as its listing has them."""
+    entry = json.loads(_read(spark, f"{root}/{listing}") or '{"shards": {}}')
+    folders = [f"{root}/{x['folder']}" for x in entry["shards"].values()]
+    read = spark.read.text(folders) if folders else spark.createDataFrame([], "value string").withColumn("path", F.lit(""))
+    return read.select(F.regexp_extract(F.col("_metadata.file_path") if folders else F.col("path"), "shard=([0-9]+)", 1).alias("shard"), "value")
+
+
+def static_page(template: str, marker: str, head: str, swaps: dict[str, str]) -> str:
+    """A page for a static site: marker and head go in after the only <head>, and swaps replace what is there exactly once.
+
+    A template in which one of them is missing or ambiguous is refused."""
+    for found in ("<head>", *swaps):
+        if template.count(found) != 1:
+            raise ValueError(f"the template has {template.count(found)} of {found}")
+    if marker in template:
+        raise ValueError("the template is a static page already")
+    out = template.replace("<head>", f"<head>{marker}{head}")
+    for old, new in swaps.items():
+        out = out.replace(old, new)
+    return out
+
+
 def publish(tables: dict[str, DataFrame], root: str, checks: dict[str, DataFrame] | None = None) -> str:
     """Write all tables under a new revision, run the checks (each must have no row), then point CURRENT at it.
 
@@ -48,15 +119,7 @@ def publish(tables: dict[str, DataFrame], root: str, checks: dict[str, DataFrame
     for name, bad in (checks or {}).items():
         if not bad.isEmpty():
             raise ValueError(f"check failed: {name}")
-    fs, path, jvm = _fs(spark, f"{root}/CURRENT.{revision}")
-    out = fs.create(path, True)
-    out.write(bytearray(revision.encode()))
-    out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(path, target, options)
+    _replace(spark, f"{root}/CURRENT", revision)
     return revision
 
 
