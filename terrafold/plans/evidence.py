@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import scope
 from ..functions import geo, text, values
-from ..operators import detail, importers, mentions, predicates, resolve, reviews, search, upsert
+from ..operators import detail, importers, mentions, predicates, resolve, reviews, search, textindex, upsert
 from ..sources import publish, readers, versions
 from ..streaming import bundles
 from .queries import _RECORDS, ASIA, _records, query
@@ -137,6 +137,42 @@ def q_incremental_export(t):
     return now.join(old, "value", "left").select("shard", "value", F.lit(len(entry["written"])).cast("long").alias("written"), F.col("changed").isNull().alias("changed"))
 
 
+@query("""
+SELECT r_name, n.n FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) n ON n_regionkey = r_regionkey
+UNION ALL SELECT 'nations', count(*) FROM nation UNION ALL SELECT 'largest region key', max(n_regionkey) FROM nation UNION ALL SELECT 'unchanged tables', 2 UNION ALL SELECT 'revisions after a failed gate', 1""")
+def q_publish_receipt(t):
+    root = publish.workspace(t.spark, "receipt")
+    tables = {"nation": t.nation, "region": t.region}
+    counted = {"nation": {"largest": F.max("n_regionkey"), **{f"region {r.r_regionkey}": F.count_if(F.col("n_regionkey") == r.r_regionkey) for r in t.region.collect()}}}
+    revision = publish.publish(tables, root, metrics=counted, gates={"all regions": lambda m: m["region"]["rows"] == m["nation"]["largest"] + 1})
+    try:
+        publish.publish(tables, root, metrics=counted, gates={"more nations than regions": lambda m: m["nation"]["rows"] <= m["region"]["rows"]})
+    except ValueError:
+        pass
+    found = publish.receipt(t.spark, root)
+    same = sum(now["digest"] == found[name]["digest"] and now["rows"] == found[name]["rows"] for name, now in publish.recounted(t.spark, root).items())
+    facts = {"nations": found["nation"]["rows"], "largest region key": found["nation"]["largest"], "unchanged tables": same, "revisions after a failed gate": int(publish.current(t.spark, root) == revision)}
+    rows = t.spark.createDataFrame(list(facts.items()), "r_name string, n long")
+    of = t.spark.createDataFrame([(int(k[7:]), v) for k, v in found["nation"].items() if k.startswith("region ")], "k int, n long")
+    return rows.unionByName(of.join(t.region, F.col("k") == F.col("r_regionkey")).select("r_name", "n"))
+
+
+@query("""
+WITH q AS (SELECT * FROM (VALUES ('anea'), ('THE '), ('e'), ('100%'), ('ea. Eri'), ('_')) v(term))
+SELECT term, id, posted FROM posts JOIN q ON contains(lower(coalesce(title, '')), lower(term)) OR contains(lower(coalesce(description, '')), lower(term))""")
+def q_indexed_search(t):
+    index = textindex.PostIndex(versions.Versions(t.spark, publish.workspace(t.spark, "index")))
+    posts = t.posts.select("id", "title", "description", "posted")
+    late = F.col("id").cast("long") % 3 == 0
+    index.build(posts.where(~late), parts=16, buckets=4)
+    index.add(posts.where(late | (F.col("id").cast("long") % 3 == 1)))
+    found = [index.find(term).select(F.lit(term).alias("term"), "id", "posted") for term in ("anea", "THE ", "e", "100%", "ea. Eri", "_")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 # --- versioned tables ---
 
 

@@ -7,8 +7,9 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scope
@@ -108,21 +109,49 @@ def static_page(template: str, marker: str, head: str, swaps: dict[str, str]) ->
     return out
 
 
-def publish(tables: dict[str, DataFrame], root: str, checks: dict[str, DataFrame] | None = None) -> str:
-    """Write all tables under a new revision, run the checks (each must have no row), then point CURRENT at it.
+def digest_of(columns: Sequence[str]) -> list[Column]:
+    """Aggregates: number of rows, and two sums of row hashes, which do not depend on the rows' order."""
+    row = [F.col(c) for c in columns]
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*row).cast("decimal(38,0)")).alias("a"), F.sum(F.hash(*row).cast("decimal(38,0)")).alias("b")]
 
-    A failed write or check leaves the last good revision current. Returns the revision."""
+
+def _shown(found: dict) -> dict:
+    return {"rows": found["rows"], "digest": f"{found['a'] or 0}:{found['b'] or 0}"}
+
+
+def publish(tables: dict[str, DataFrame], root: str, checks: dict[str, DataFrame] | None = None, metrics: dict[str, dict[str, Column]] | None = None, gates: dict[str, Callable[[dict], bool]] | None = None) -> str:
+    """Write all tables under a new revision, judge them, then point CURRENT at it; the revision.
+
+    While a table is written its rows are counted and digested, and its metrics (aggregates by name) are gathered: one job
+    a table. Gates get all of that as {table: {rows, digest, metric…}} and must hold; checks must have no row. What was
+    gathered is the revision's receipt. A failed write, gate or check leaves the last good revision current."""
     spark = next(iter(tables.values())).sparkSession
-    revision = uuid.uuid4().hex
+    revision, receipt = uuid.uuid4().hex, {}
     for name, df in tables.items():
-        df.write.parquet(f"{root}/revisions/{revision}/{name}")
+        seen, more = Observation(), (metrics or {}).get(name, {})
+        df.observe(seen, *digest_of(df.columns), *[c.alias(f"m_{k}") for k, c in more.items()]).write.parquet(f"{root}/revisions/{revision}/{name}")
+        receipt[name] = _shown(seen.get) | {k: seen.get[f"m_{k}"] for k in more}
+    for name, holds in (gates or {}).items():
+        if not holds(receipt):
+            raise ValueError(f"gate failed: {name}")
     for name, bad in (checks or {}).items():
         if not bad.isEmpty():
             raise ValueError(f"check failed: {name}")
+    _replace(spark, f"{root}/revisions/{revision}/RECEIPT", json.dumps(receipt, default=str))
     _replace(spark, f"{root}/CURRENT", revision)
     return revision
 
 
+def receipt(spark: SparkSession, root: str) -> dict:
+    """What was gathered while the current revision was written."""
+    return json.loads(_read(spark, f"{root}/revisions/{current(spark, root)}/RECEIPT"))
+
+
+def recounted(spark: SparkSession, root: str) -> dict:
+    """Rows and digest of the current revision's tables, counted anew: equal to the receipt's unless a file has changed."""
+    return {name: _shown(df.agg(*digest_of(df.columns)).head().asDict()) for name in receipt(spark, root) for df in [table(spark, root, name)]}
+
+
 def current(spark: SparkSession, root: str) -> str:
     return spark.read.text(f"{root}/CURRENT").head()[0]
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import values
-from terrafold.operators import mentions
+from terrafold.operators import mentions, spatial, textindex
 from terrafold.sources import publish, readers
+from terrafold.sources.versions import Versions
 
 
 @pytest.mark.parametrize("block", [1 << 20, 13])
@@ -84,3 +85,57 @@ def test_ambiguous_templates_are_refused():
     for bad in ("<html><i>local</i></html>", "<head><head><i>local</i>", "<head></head>", "<head></head><i>local</i><i>local</i>", "<head><meta m></head><i>local</i>"):
         with pytest.raises(ValueError):
             publish.static_page(bad, "<meta m>", "", swap)
+
+
+def test_a_city_with_a_third_of_all_places(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 50)
+    rng = random.Random(6)
+    spots = [(f"c{k}", 30.2501 + rng.random() * 0.015, 120.1501 + rng.random() * 0.018) for k in range(300)] + [(f"o{k}", 29.5 + rng.random(), 119.5 + rng.random()) for k in range(600)]
+    spots += [spots[0]] * 3 + [("none", None, None)]
+    left = spark.createDataFrame(spots, "id string, lat double, lng double")
+    got = spatial.within(left, left, 700, (0.023, 0.019))
+    rows = [(r.id, r.r_id, r.distance) for r in got.collect()]
+    every = left.alias("a").crossJoin(left.select(*[F.col(c).alias(f"r_{c}") for c in left.columns])).withColumn("distance", spatial.distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))).where("distance <= 700")
+    assert sorted(rows) == sorted((r.id, r.r_id, r.distance) for r in every.collect()) and len(rows) > 5000
+    # No key of the join has more than about a block of either side.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__p" in plan and "__q" in plan
+
+
+def test_search_by_index_reads_little_and_finds_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "LEAST_COMMON", 50)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    rows = [(k, f"Title {word()}", " ".join(word() for _ in range(12))) for k in range(2000)]
+    rows += [(3000, "100% \\_ off", None), (3001, None, "The Unique-Needle's here"), (3002, "x", ""), (3003, "中文字符测试", "emoji \U0001f600\U0001f600 end")]
+    df = spark.createDataFrame(rows, "id long, title string, description string")
+    index = textindex.PostIndex(Versions(spark, str(tmp_path / "log")))
+    index.build(df.where("id < 1500"), buckets=2)
+    index.add(df.where("id >= 1400"))
+    index.add(df.where("id = 1"))
+    for query in ("unique-needle", "NEEDLE'S", "title a", "100%", "\\_", "_", "%", "文字符", "\U0001f600\U0001f600", "abc", "abcd", "ab", "zzzz", "le", "", rows[17][2][5:20]):
+        low = lambda x: "".join(c.lower() if c.isascii() else c for c in x or "")
+        want = {i for i, a, b in rows if not query.strip() or low(query) in low(a) or low(query) in low(b)}
+        found = index.find(query)
+        assert {r.id for r in found.collect()} == want, query
+    needle = index.find("unique-needle")
+    read = spark.read.parquet(*[f for f in needle.inputFiles() if "/posts/" in f]).count()
+    assert 0 < read < 0.05 * len(rows)
+    # A gram that most posts have is no list.
+    common = {r.gram for r in index.log.table("posts_common").collect()}
+    title = {r.g for r in spark.range(1).select(F.explode(textindex.grams(F.lit("title"))).alias("g")).collect()}
+    assert title <= common and index.log.table("posts_grams").where(F.col("gram").isin(*title)).isEmpty()
+
+
+def test_publishing_gathers_while_it_writes(spark, tmp_path):
+    root, df = str(tmp_path / "pub"), spark.range(100).withColumn("x", F.col("id") % 7)
+    first = publish.publish({"t": df}, root, metrics={"t": {"top": F.max("x")}}, gates={"some": lambda m: m["t"]["rows"] == 100 and m["t"]["top"] == 6})
+    found = publish.receipt(spark, root)
+    assert found["t"]["rows"] == 100 and found["t"]["top"] == 6
+    assert publish.recounted(spark, root) == {"t": {k: found["t"][k] for k in ("rows", "digest")}}
+    assert {k: v for k, v in publish.recounted(spark, root)["t"].items()} == publish._shown(df.repartition(7).agg(*publish.digest_of(df.columns)).head().asDict())
+    with pytest.raises(ValueError, match="gate failed: none"):
+        publish.publish({"t": df.limit(5)}, root, gates={"none": lambda m: m["t"]["rows"] > 5})
+    assert publish.current(spark, root) == first
+    df.limit(99).write.mode("overwrite").parquet(f"{root}/revisions/{first}/t")
+    assert publish.recounted(spark, root)["t"]["digest"] != found["t"]["digest"]
