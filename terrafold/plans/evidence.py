@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .. import scope
 from ..functions import geo, text, values
 from ..operators import detail, importers, mentions, predicates, resolve, reviews, search, textindex, upsert
-from ..sources import publish, readers, versions
+from ..sources import paged, publish, readers, versions
 from ..streaming import bundles
 from .queries import _RECORDS, ASIA, _records, query
 
@@ -82,6 +82,24 @@ def q_paged_receipts(t):
     return readers.paged_receipts(pages.unionByName(again), "id").select("query", F.col("ord").cast("long").alias("ord"), "id")
 
 
+@query("SELECT CAST(s_nationkey AS STRING) AS query, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ord, s_suppkey AS id, CASE WHEN (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 < 1 + s_nationkey % 2 THEN 1 ELSE 2 END AS run FROM supplier")
+def q_paged_stream(t):
+    paged.register(t.spark)
+    folder = publish.workspace(t.spark, "pages")
+    s = t.supplier.groupBy(F.col("s_nationkey").alias("query")).agg(F.sort_array(F.collect_list(F.col("s_suppkey"))).alias("all"))
+    pages = s.select("query", "all", F.size("all").alias("total"), F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(3))).alias("start"))
+    body = F.to_json(F.struct("start", "total", F.transform(F.slice("all", F.col("start") + 1, F.lit(3)), lambda x: F.struct(x.alias("id"))).alias("items")))
+    pages = pages.select("query", (F.col("start") / 3).cast("int").alias("page"), body.alias("value"))
+    here = F.col("page") < 1 + F.col("query") % 2
+    for part in (pages.where(here), pages.where(~here)):  # fetching stops after a page or two, and goes on later
+        part.repartition("query", "page").write.mode("append").partitionBy("query", "page").text(f"{folder}/in")
+        stream = t.spark.readStream.format("paged_receipts").load(f"{folder}/in")
+        kept = lambda batch, k: batch.withColumn("run", F.lit(k + 1)).write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
+        stream.writeStream.foreachBatch(kept).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = t.spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    return found.select("query", "ord", F.get_json_object("item", "$.id").cast("long").alias("id"), "run")
+
+
 # --- publishing ---
 
 

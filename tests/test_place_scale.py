@@ -1,5 +1,6 @@
 """What is done without one large task: names in texts, medians, exports of what changed, paths and pages that are refused."""
 
+import json
 import random
 import statistics
 import unicodedata
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import values
 from terrafold.operators import mentions, spatial, textindex
-from terrafold.sources import publish, readers
+from terrafold.sources import paged, publish, readers
 from terrafold.sources.versions import Versions
 
 
@@ -139,3 +140,32 @@ def test_publishing_gathers_while_it_writes(spark, tmp_path):
     assert publish.current(spark, root) == first
     df.limit(99).write.mode("overwrite").parquet(f"{root}/revisions/{first}/t")
     assert publish.recounted(spark, root)["t"]["digest"] != found["t"]["digest"]
+
+
+def test_pages_are_resumed_where_they_stopped(spark, tmp_path):
+    paged.register(spark)
+    root = tmp_path / "in"
+
+    def fetched(query, page, items, total, again=""):
+        folder = root / f"query={query}" / f"page={page}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"r{again}.json").write_text(json.dumps({"start": 2 * page, "total": total, "items": [{"id": i} for i in items]}))
+
+    def run():
+        stream = spark.readStream.format("paged_receipts").load(str(root))
+        kept = lambda batch, k: batch.write.mode("overwrite").json(str(tmp_path / "out" / f"batch={k}"))
+        stream.writeStream.foreachBatch(kept).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.query, r.page, r.ord, json.loads(r.item)["id"], r.batch) for r in spark.read.json(str(tmp_path / "out")).collect())
+
+    fetched("a", 0, [1, 2], 5)
+    fetched("a%20b", 0, [7], 1)
+    fetched("a", 2, [5], 5)  # page 1 is missing: this one has to wait
+    first = run()
+    assert first == [("a", 0, 0, 1, 0), ("a", 0, 1, 2, 0), ("a b", 0, 0, 7, 0)]
+    fetched("a", 1, [3, 4], 5)
+    fetched("a", 0, [1, 2], 5, again="2")  # fetched twice
+    fetched("c", 0, [], 0)
+    assert run() == first[:2] + [("a", 1, 2, 3, 1), ("a", 1, 3, 4, 1), ("a", 2, 4, 5, 1)] + first[2:]
+    batch = spark.read.format("paged_receipts").load(str(root))
+    assert sorted((r.query, r.ord) for r in batch.collect()) == [("a", k) for k in range(5)] + [("a b", 0)]
+    assert spark.read.format("paged_receipts").load(str(tmp_path / "none")).count() == 0
