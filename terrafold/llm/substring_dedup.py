@@ -2,8 +2,8 @@
 
 A window (WIDTH consecutive words) has as fingerprint the least hash of the PROBE-word runs in it, so neighbouring windows
 mostly share one. A batch of documents becomes a run: its distinct fingerprints with a holder, sorted, in buckets by hash,
-written once. A new run is merge-joined bucket by bucket with the older ones; documents whose fingerprints meet are
-candidates. Candidates are verified on 96-bit hashes of their whole windows. Once there are MAX_RUNS runs, the next merge
+written once. A new run is merge-joined bucket by bucket with the older ones, which lie in the same buckets and are not
+dealt again; documents whose fingerprints meet are candidates. Candidates are verified on 96-bit hashes of their whole windows. Once there are MAX_RUNS runs, the next merge
 writes them, and the new one, as one compacted run in the same pass. A log can live in a folder, for batches to come.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _path, drop_saved, saved, ship, small_batches
+from .common import _path, drop_saved, saved, shared_dir, ship, small_batches
 from .hashing import mixed, rolling, text_chunks, words
 
 WIDTH, PROBE = 13, 5
@@ -32,6 +32,8 @@ CHUNK = 1 << 21
 PARTITION_CHARS = 64_000_000
 #: A batch that finds so many runs compacts them; a whole table is taken in so many batches, so it meets that.
 MAX_RUNS, BATCHES = 2, 3
+#: Buckets of a run's table at most; an index of more buckets has several in each.
+MOST_TABLE_BUCKETS = 8192
 _CHECK = np.uint64(0xA0761D6478BD642F)
 RUN = "bucket int, base long, keys binary, checks binary, docs binary"
 
@@ -111,10 +113,21 @@ def _frame(rows: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
 
 
 class FingerprintLog:
-    """Sorted immutable runs of fingerprints, each a table: in a folder that outlives the session, if one is named."""
+    """Sorted immutable runs of fingerprints, each a table in buckets: in a folder that outlives the session, if one is named.
+
+    A run has one row per bucket, with its sorted distinct fingerprints; runs lie in the same buckets, so a batch meets
+    them bucket by bucket where they lie, and only the batch itself is dealt."""
 
     def __init__(self, n_buckets: int, width: int = WIDTH, folder: str | None = None) -> None:
         self.n_buckets, self.width, self.folder, self.runs, self.version = n_buckets, width, folder, [], 0
+        #: The session's tables of the runs, by run; the folders of those that were listed.
+        self._names: list[str] = []
+        self._places: list[str] = []
+
+    @property
+    def spread(self) -> int:
+        """Buckets of the tables: each holds some of the index's buckets."""
+        return min(self.n_buckets, MOST_TABLE_BUCKETS)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> FingerprintLog:
@@ -124,25 +137,56 @@ class FingerprintLog:
         found = [n for n in listed if n.startswith("listing-") and fs.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0])]
         row = spark.read.parquet(f"{folder}/{max(found)}").head()
         log = cls(row["n_buckets"], row["width"], folder)
-        log.version, log.runs = int(max(found)[8:]), [spark.read.schema(RUN).parquet(f"{folder}/{n}") for n in row["runs"]]
+        log.version = int(max(found)[8:])
+        for n in row["runs"]:
+            log._add(spark, f"{folder}/{n}")
         return log
 
-    def _kept(self, rows: DataFrame) -> DataFrame:
+    def _add(self, spark: SparkSession, place: str) -> DataFrame:
+        """A bucketed table of the session's catalog over a run's folder, as the newest run."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.spread} BUCKETS LOCATION '{place}'")
+        self._names.append(name)
+        self._places.append(place)
+        self.runs.append(spark.table(name))
+        return self.runs[-1]
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        small_batches(spark)
+        root = self.folder or shared_dir(spark)
+        place = f"{root}/run-{uuid.uuid4().hex}"
+        at, fs = _path(spark, place)
+        place = fs.makeQualified(at).toString()
         if self.folder is None:
-            return saved(rows, "run")
-        small_batches(rows.sparkSession)
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return rows.sparkSession.read.schema(RUN).parquet(path)
+            fs.deleteOnExit(at)
+        run = self._add(spark, place)
+        rows.write.insertInto(self._names[-1])
+        spark.catalog.refreshTable(self._names[-1])
+        return run
+
+    def _forget(self, spark: SparkSession, n: int) -> None:
+        """Take the oldest n runs out of the log, and their files away unless the log lives in a folder of its own."""
+        for name, place in zip(self._names[:n], self._places[:n], strict=True):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            if self.folder is None:
+                at, fs = _path(spark, place)
+                fs.delete(at, True)
+        del self.runs[:n], self._names[:n], self._places[:n]
+
+    def close(self, spark: SparkSession) -> None:
+        """Forget all runs; those of a named folder can be opened again."""
+        self._forget(spark, len(self.runs))
 
     def _list(self, spark: SparkSession) -> None:
         if self.folder is not None:
             self.version += 1
-            names = [r.inputFiles()[0].rsplit("/", 2)[1] for r in self.runs]
+            names = [p.rstrip("/").rsplit("/", 1)[1] for p in self._places]
             row = spark.createDataFrame([(self.n_buckets, self.width, names)], "n_buckets int, width int, runs array<string>")
             row.coalesce(1).write.parquet(f"{self.folder}/listing-{self.version:012d}")
 
-    def _run(self, docs: DataFrame) -> DataFrame:
+    def _fresh(self, docs: DataFrame) -> DataFrame:
+        """A batch's fingerprints by bucket; candidates that a chunk has found itself have negative buckets and no docs."""
         n_buckets, width = self.n_buckets, self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +198,7 @@ class FingerprintLog:
                     key, doc, _, new = _distinct(print_, ids[at + row])
                     shared = ~new
                     shared[:-1] |= ~new[1:]
-                    out.rows += [(-1, d, k, None, b"") for d, k in _by_doc(doc[shared], key[shared])]
+                    out.rows += [(-1 - d % (4 * n_buckets), d, k, None, None) for d, k in _by_doc(doc[shared], key[shared])]
                     out.to_buckets((key[new] % np.uint64(n_buckets)).astype(np.int64), key[new], doc[new])
                     yield out.batch()
 
@@ -164,37 +208,43 @@ class FingerprintLog:
         """Append a run for the rows (doc, text); returns the candidates (doc, keys): fingerprints shared within the
         batch or with an older run, for the batch's documents and for the older holders.
 
-        Where MAX_RUNS runs are there already, the same merge also writes all of them and the new one as one run, with
-        the smallest holder of each fingerprint; the others have been candidates before."""
-        run, due = self._kept(self._run(docs)), len(self.runs) >= MAX_RUNS
+        The batch is dealt by bucket and merged with the older runs where they lie; what is written is the candidates and
+        the new run, in one table. Where MAX_RUNS runs are there already, the new run takes all of them in, with the
+        smallest holder of each fingerprint; the others have been candidates before."""
+        spark, due, before = docs.sparkSession, len(self.runs) >= MAX_RUNS, len(self.runs)
 
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
+            bucket = int(rows["bucket"].iloc[0])
+            if bucket < 0:
+                return rows.drop(columns="fresh")
             fresh = rows["fresh"].to_numpy(bool)
             key, doc, _ = _unpacked(rows)
-            lengths = [len(k) // 8 for k in rows["keys"]]
-            fresh_keys = key[np.repeat(fresh, lengths)]
+            mine = np.repeat(fresh, [len(k) // 8 for k in rows["keys"]])
+            own_key, own_doc, _, own_new = _distinct(key[mine], doc[mine])
             key, doc, _, new = _distinct(key, doc)
             shared = ~new
             shared[:-1] |= ~new[1:]
-            shared &= np.isin(key, fresh_keys)
+            if len(own_key):
+                at = np.minimum(np.searchsorted(own_key, key), len(own_key) - 1)
+                shared &= own_key[at] == key
+            else:
+                shared[:] = False
             out = _Out()
-            out.rows += [(-1, d, k, None, b"") for d, k in _by_doc(doc[shared], key[shared])]
+            out.rows += [(bucket, d, k, None, None) for d, k in _by_doc(doc[shared], key[shared])]
             if due:
-                out.to_buckets(np.full(new.sum(), rows["bucket"].iloc[0]), key[new], doc[new])
+                out.to_buckets(np.full(new.sum(), bucket), key[new], doc[new])
+            elif len(own_key):
+                out.to_buckets(np.full(own_new.sum(), bucket), own_key[own_new], own_doc[own_new])
             return out.batch().to_pandas()
 
-        rows = run.where("bucket >= 0").withColumn("fresh", F.lit(True))
+        rows = self._fresh(docs).withColumn("fresh", F.lit(True)).repartition(self.spread, "bucket")
         for old in self.runs:
-            rows = rows.unionByName(old.where("bucket >= 0").withColumn("fresh", F.lit(False)))
-        met = rows.groupBy("bucket").applyInPandas(merge, RUN)
-        met = self._kept(met) if due else met
-        found = saved(met.unionByName(run).where("bucket < 0").select(F.col("base").alias("doc"), "keys"), "candidates")
-        gone = [*self.runs, run] if due else []
-        self.runs = [met] if due else [*self.runs, run]
-        self._list(docs.sparkSession)
-        if self.folder is None:
-            for old in gone:
-                drop_saved(old)
+            rows = rows.unionByName(old.where("docs is not null").withColumn("fresh", F.lit(False)))
+        met = self._written(rows.groupBy("bucket").applyInPandas(merge, RUN))
+        found = saved(met.where("docs is null").select(F.col("base").alias("doc"), "keys"), "candidates")
+        if due:
+            self._forget(spark, before)
+        self._list(spark)
         return found
 
     def compact(self) -> None:
@@ -208,8 +258,10 @@ class FingerprintLog:
             return out.batch().to_pandas()
 
         if self.runs:
+            before = len(self.runs)
             rows = reduce(DataFrame.unionByName, self.runs)
-            self.runs = [self._kept(rows.where("bucket >= 0").groupBy("bucket").applyInPandas(merge, RUN))]
+            self._written(rows.where("docs is not null").groupBy("bucket").applyInPandas(merge, RUN))
+            self._forget(rows.sparkSession, before)
             self._list(rows.sparkSession)
 
 
@@ -313,8 +365,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         part = known if low is None else known.where(F.col("doc") > low)
         candidates.append(log.add(part if high is None else part.where(F.col("doc") <= high)))
     parts = saved(gathered(reduce(DataFrame.unionByName, candidates)), "candidate-parts")
-    for old in [*candidates, *log.runs]:
+    for old in candidates:
         drop_saved(old)
+    log.close(docs.sparkSession)
     spread = -(-chars // PARTITION_CHARS)
     if spread > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         known = known.repartition(spread, "doc")

@@ -175,14 +175,28 @@ def test_words_that_only_a_weak_hash_confuses_stay(spark):
 
 
 def test_a_whole_table_compacts_its_runs(spark, monkeypatch):
-    compacted, to_buckets = [], substring_dedup.FingerprintLog._kept
-    monkeypatch.setattr(substring_dedup.FingerprintLog, "_kept", lambda self, rows: compacted.append(len(self.runs)) or to_buckets(self, rows))
+    before, left, write, forget = [], [], substring_dedup.FingerprintLog._written, substring_dedup.FingerprintLog._forget
+    monkeypatch.setattr(substring_dedup.FingerprintLog, "_written", lambda self, rows: before.append(len(self.runs)) or write(self, rows))
+    monkeypatch.setattr(substring_dedup.FingerprintLog, "_forget", lambda self, spark, n: left.append(len(self.runs) - n) or forget(self, spark, n))
     rng = random.Random(24)
     passage = prose(rng, 30)
     rows = [(k, f"{prose(rng, 20)} {passage} {prose(rng, 5)}") for k in range(30)]
     got = sorted((tuple(r) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute_substrings(rows)
-    assert compacted == [0, 1, 2, 2]  # three runs, and the compacted one that the third merge writes
+    assert before == [0, 1, 2] and left == [1, 0]  # three runs, the third of which takes the others in
+
+
+def test_old_runs_are_not_dealt_again(spark, monkeypatch):
+    plans, write = [], substring_dedup.FingerprintLog._written
+    monkeypatch.setattr(substring_dedup.FingerprintLog, "_written", lambda self, rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(self, rows))
+    rng = random.Random(32)
+    log = substring_dedup.FingerprintLog(8)
+    for k in range(3):
+        log.add(spark.createDataFrame([(10 * k + j, prose(rng, 40)) for j in range(5)], "doc long, text string"))
+    assert len(log.runs) == 1
+    log.close(spark)
+    for k, plan in enumerate(plans):  # one exchange, of the batch; each older run is read in its buckets
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == k, plan
 
 
 def test_a_log_in_a_folder_serves_later_batches(spark, tmp_path):
