@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import scope
 from ..functions.values import shard
+from .files import file_digests
 
 
 def _fs(spark: SparkSession, path: str):
@@ -168,8 +169,7 @@ def export_shards(details: DataFrame, path: str, key: str = "id", shards: int =
 def manifest(spark: SparkSession, path: str, **facts) -> str:
     """JSON with the bytes and digest of each exported file, and facts. Digests are made by executors; only names,
     sizes and digests, one row per file, reach the driver."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
+    rows = file_digests(spark, path).orderBy("path").collect()
     base = path.rstrip("/").split("/")[-1]
     listed = [{"path": r.path.rsplit(f"/{base}/", 1)[-1], "bytes": r.length, "sha256": r.sha256} for r in rows]
     return json.dumps({"schema_version": 1, "files": listed, **facts}, ensure_ascii=False)

@@ -11,17 +11,17 @@ from pyspark.sql import types as T
 
 from .. import scope
 from ..operators.predicates import must
+from .files import file_digests
 
 
 def file_hashes(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """(path, length, sha256) of files. With a root, a path that does not lie under it once it is resolved is refused
+    """(path, length, sha256) of files of any size. With a root, a path that does not lie under it once it is resolved is refused
     before anything is read."""
     if root is not None:
         resolve = lambda p: posixpath.normpath(p if "://" in p or p.startswith("/") else posixpath.join(root, p))
         if not (resolve(path) + "/").startswith(resolve(root) + "/"):
             raise ValueError(f"{path} lies outside {root}")
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return read.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return file_digests(spark, path)
 
 
 def json_documents(spark: SparkSession, path: str, row: T.StructType, wrappers: Sequence[str] = ("places", "items", "mentions", "records")) -> DataFrame:
