@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ FAMILIES = {
 }
 
 #: Labelled rows that the models learn from, about: so many of each language, and of all together (many languages share
-#: these alike, one row each at least). The driver holds 16 KB for each.
+#: these alike, one row each at least). The driver holds 4 KB for each.
 TRAIN_ROWS_PER_LANG, TRAIN_ROWS = 1200, 16_000
 #: Labels that a model learns at most; more are an error. A label outside FAMILIES makes a family, 16 KB of the model and
 #: one pass over the sample, of its own.
@@ -65,16 +66,35 @@ GAPS[91:97] = 32
 GAPS[123:128] = 32
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
+class Rows:
+    """Rows of features in a byte each, decoded to length 1 one at a time: the driver holds neither decoded rows nor copies of parts."""
+
+    def __init__(self, codes: np.ndarray, norms: np.ndarray | None = None, at: np.ndarray | None = None) -> None:
+        self.codes, self.at = codes, np.arange(len(codes)) if at is None else at
+        self.norms = np.array([max(float(np.sqrt((r * r).sum())), 1e-9) for r in (c.astype(np.float32) for c in codes)], np.float32) if norms is None else norms
+        self.shape = (len(self.at), codes.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.codes[self.at[i]].astype(np.float32) / self.norms[self.at[i]]
+
+    def where(self, mask: np.ndarray) -> Rows:
+        return Rows(self.codes, self.norms, self.at[mask])
+
+
+def train_svm(x: Rows, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by dual coordinate descent; y is +1 or -1. Deterministic."""
     w, bias, alpha, rng = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.random.default_rng(0)
-    diag = np.einsum("kd,kd->k", x, x) + 1 + 0.5 / c
+    diag = np.array([np.einsum("d,d->", r, r) for r in map(x.__getitem__, range(len(x)))], np.float32) + 1 + 0.5 / c
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (x[i] @ w + bias) - 1 + 0.5 / c * alpha[i]) / diag[i], 0.0) - alpha[i]
+            row = x[i]
+            step = max(alpha[i] - (y[i] * (row @ w + bias) - 1 + 0.5 / c * alpha[i]) / diag[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
+                w += step * y[i] * row
                 bias += step * y[i]
     return w.astype(np.float32), float(bias)
 
@@ -113,7 +133,7 @@ class Model:
         return langs[best], min(1.0, max(0.0, score))
 
 
-def fit(x: np.ndarray, lang: list[str], families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Model:
+def fit(x: Rows, lang: list[str], families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Model:
     known = {code: name for name, codes in families.items() for code in codes}
     lang_arr, names = np.array(lang, dtype=object), sorted(set(lang))
     members: dict[str, list[str]] = {}
@@ -128,7 +148,7 @@ def fit(x: np.ndarray, lang: list[str], families: Mapping[str, tuple[str, ...]]
     for f in model.families:
         for a, b in model.pairs[f]:
             rows = np.isin(lang_arr, [members[f][a], members[f][b]])
-            columns.append(train_svm(x[rows], np.where(lang_arr[rows] == members[f][a], 1.0, -1.0)))
+            columns.append(train_svm(x.where(rows), np.where(lang_arr[rows] == members[f][a], 1.0, -1.0)))
     model.weights = np.stack([w for w, _ in columns], 1) if columns else np.zeros((N_FEATURES, 0), np.float32)
     model.bias = np.array([b for _, b in columns], np.float32)
     return model
@@ -140,7 +160,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     once). No language is left out.
 
     More than MAX_LABELS labels are an error. Rows with null text or label, or without a letter, teach nothing. Only the languages' counts and the sample's features
-    reach the driver (4 KB a row, 16 KB while it learns). Without any row the model predicts und.
+    reach the driver (4 KB a row, twice that while it sorts them). Without any row the model predicts und.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
@@ -155,17 +175,20 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     shares = [(name, max(least + 1, min(most, -(-most * wanted // n)))) for name, n, least in counts]
     shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "__lang string, __share long"))  # a row a language
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"key": p["key"], "lang": p["lang"], "x": [(features(t) * 255).round().astype(np.uint8).tobytes() for t in p["text"]]})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [(features(t.as_py()) * 255).round().astype(np.uint8).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], ["key", "lang", "x"])
 
     drawn = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("__draw"))
     drawn = drawn.join(shares, F.col("lang") == F.col("__lang")).where("__draw < __share").select("key", "text", "lang").distinct()
-    got = drawn.mapInPandas(encode, "key string, lang string, x binary").toPandas()
-    got = got.sort_values(["lang", "key", "x"], kind="stable", na_position="first")
-    x = np.stack([np.frombuffer(b, np.uint8) for b in got["x"]]).astype(np.float32)
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    return fit(x, got["lang"].tolist())
+    got = drawn.mapInArrow(encode, "key string, lang string, x binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["key"] is not None, r["key"] or "", r["x"]))
+    codes, langs = np.empty((len(got), N_FEATURES), np.uint8), [r["lang"] for r in got]
+    for k, r in enumerate(got):
+        codes[k] = np.frombuffer(r["x"], np.uint8)
+    del got
+    return fit(Rows(codes), langs)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
