@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from .common import drop_saved, saved
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Each step links nodes to the smallest neighbour, in a groupBy with partial minima and a join back; the edge table never
-    grows, and each round is written to the shared folder. Rounds go with the logarithm of the longest chain. Self-loops,
-    repeated edges and edges with a null end are ignored; no edges give no rows.
+    grows, and each round is written to the shared folder. Rounds go with the logarithm of the longest chain; edges that
+    already lead to their smallest node take one round, no edges take none. Self-loops, repeated edges and edges with a
+    null end are ignored; no edges give no rows.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    state = _state(edges)
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written, so that the join reads plain exchanges: adaptive execution splits the rows of a hub among tasks then.
         least_a = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -25,11 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = saved(small, "edges")
-        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        now = _state(after)
         drop_saved(edges)
         drop_saved(least_a)
         edges = after
-        if now == state or not now[0]:
+        if now == state:
             break
         state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

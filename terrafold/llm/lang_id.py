@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,11 +183,12 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     drawn = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("__draw"))
     drawn = drawn.join(shares, F.col("lang") == F.col("__lang")).where("__draw < __share").select("key", "text", "lang").distinct()
-    got = drawn.mapInArrow(encode, "key string, lang string, x binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["key"] is not None, r["key"] or "", r["x"]))
-    codes, langs = np.empty((len(got), N_FEATURES), np.uint8), [r["lang"] for r in got]
-    for k, r in enumerate(got):
-        codes[k] = np.frombuffer(r["x"], np.uint8)
+    # As Arrow the batches pass through the driver's JVM; for collect() it would hold all of them, and then all as rows.
+    got = drawn.mapInArrow(encode, "key string, lang string, x binary").toArrow()
+    order = pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("lang", "key", "x")], null_placement="at_start")
+    codes, langs = np.empty((len(got), N_FEATURES), np.uint8), got.column("lang").take(order).to_pylist()
+    for k, i in enumerate(order.to_pylist()):
+        codes[k] = np.frombuffer(got.column("x")[i].as_buffer(), np.uint8)
     del got
     return fit(Rows(codes), langs)
 
